@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, mixing, sharding
 from .ngram_join import ngram_classes
 
 
@@ -15,5 +16,22 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(_documents(spark, sf_dir), words=3, num=90, den=100)
 
 
-QUERIES = {"op3_ngram_join": op3_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir), shards=8).drop("virtual_slot", "map_version")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(_documents(spark, sf_dir)).drop("copies")
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op3_ngram_join": op3_ngram_join,
+    "op4_sharding": op4_sharding,
+    "op5_mixing": op5_mixing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
