@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, pii, sharding
 from .ngram_join import ngram_classes
 
 
@@ -24,6 +24,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_documents(spark, sf_dir)).drop("copies")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
+    "op6_pii": op6_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
