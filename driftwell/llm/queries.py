@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, sharding
+from . import exact_dedup, mixing, pii, quality, sharding, token_counts, token_store
 from .ngram_join import ngram_classes
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; these files are on every machine and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -32,6 +39,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -42,6 +57,8 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
+    "op8_token_counts": op8_token_counts,
+    "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -52,11 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Texts laid end to end: bytes, the offset of each text (one more at the end), and the rows they come from."""
+    """Texts laid end to end: bytes, the offset of each text (one more at the end), the first of the rows they come
+    from, and the place of the bytes among those of the whole column."""
 
     data: np.ndarray
     offsets: np.ndarray
     first: int
+    base: int
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -75,7 +77,7 @@ def blocks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Block]:
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
-        yield Block(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lo)
+        yield Block(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lo, int(at[lo] - at[0]))
         lo = hi
 
 
