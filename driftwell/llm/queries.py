@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, sharding, token_counts, token_store
+from . import exact_dedup, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
 from .ngram_join import ngram_classes
 
 
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digest(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_sharding": op4_sharding,
