@@ -63,6 +63,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which ``exact_groups`` has ``kept``.
+
+    What goes is looked up by id and text; rows that repeat both are thinned to the longest original text, one row.
+    """
+    told = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = written(told.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), F.col("kept").alias("__thin")), "dropped")
+    few = told.count() <= BROADCAST_HASHES
+    marked = docs.withColumn("__norm_sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    on = marked[id_col].eqNullSafe(told["__id"]) & (F.col("__norm_sha") == F.col("__sha"))
+    marked = marked.join(F.broadcast(told) if few else told, on, "left").drop("__id", "__sha")
+    out = marked.where("__thin is null").drop("__thin", "__norm_sha")
+    if told.where("__thin").head(1):
+        order = Window.partitionBy(id_col, "__norm_sha").orderBy(F.length(text_col).desc_nulls_last())
+        thin = marked.where("__thin").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+        out = out.unionByName(thin.drop("__thin", "__norm_sha", "__row"))
+    return out
+
+
 ORACLE = r"""
 with d as (
   select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as n from documents

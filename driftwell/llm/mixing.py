@@ -85,6 +85,13 @@ def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    rows = docs.select(F.struct("*").alias("__row"))
+    taken = sample(rows, f"__row.{id_col}", f"__row.{source_col}", f"__row.{text_col}", keep=("__row",)).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+
+
 ORACLE = r"""
 with d as (
   select doc_id, source, coalesce('s:' || source, 'null') as k,

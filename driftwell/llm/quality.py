@@ -142,7 +142,11 @@ def _run_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         columns, texts = measure(batch.column(at))
-        out = batch.set_column(at, batch.schema.field(at), pa.array([t if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(at).to_pylist(), strict=True)], batch.schema.field(at).type))
+        texts = [t if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(at).to_pylist(), strict=True)]
+        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        if (n := batch.schema.get_field_index("n_chars")) >= 0:
+            chars = [len(t or "") if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(n).to_pylist(), strict=True)]
+            out = out.set_column(n, batch.schema.field(n), pa.array(chars, batch.schema.field(n).type))
         yield out.filter(pa.array(columns["kept"]))
 
 
@@ -160,7 +164,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows that ``quality`` keeps, all their columns, with the failing lines taken out of ``text``."""
+    """The rows that ``quality`` keeps, all their columns, with the failing lines taken out of ``text``; where lines
+    went, a column ``n_chars`` is counted anew."""
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_run_clean, docs.schema)
 

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from .shared import bounded_batches
 from .words import blocks, hashes
@@ -354,7 +355,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "ids", "n_fallback")], F.col(text_col).alias("__text"))
-    schema = rest.drop("__text").schema.add("ids", "array<int>").add("n_fallback", "long")
+    schema = rest.drop("__text").schema.add("ids", ArrayType(IntegerType())).add("n_fallback", LongType())
     return rest.mapInArrow(_encode(model), schema)
 
 

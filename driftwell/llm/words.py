@@ -99,14 +99,19 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``data[start:end]`` for each pair, from one running sum over the bytes."""
-    n = len(data)
+def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair, from one running sum over 64-bit values."""
+    n = len(values)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _power_table(_BASE, n)[:n], out=total[1:])
+    np.cumsum(values * _power_table(_BASE, n)[:n], out=total[1:])
     return mix((total[ends] - total[starts]) * _power_table(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes ``data[start:end]`` for each pair."""
+    return hash_ranges(_TABLE[data], starts, ends)
+
+
 @dataclass
 class Words:
     """Words of a block: byte ranges, hashes and, for each text, the index of its first word (one more at the end)."""
