@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
+from . import exact_dedup, langid, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
 from .ngram_join import ngram_classes
 
 
@@ -43,6 +43,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_documents(spark, sf_dir)))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
