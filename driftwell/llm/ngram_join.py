@@ -11,8 +11,8 @@ which leaves at least one full slice in common.
 Work inside tiles is linear in their rows.  First each document of a tile is held against the one before it: parity
 bitmaps bound the difference from below (each differing element flips one bit at most), and pairs that pass are
 checked by intersecting the sorted hash arrays.  Only tiles whose documents are then still in different components are
-compared in full, in blocks of bounded size, and only across components; tiles that overlap are then taken together
-as one while they hold no more documents than a block.  Copies with equal sets are one node.
+compared in full, in blocks of bounded size, and only across components; tiles that overlap are taken together as one
+where that moves fewer rows.  Copies with equal sets are one node.
 """
 
 from __future__ import annotations
@@ -257,19 +257,28 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
 
 
 def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that the first comparison left out: tiles of three or more documents in two or more components."""
-    family = components(tested).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    small = family.groupBy("family").count().where(F.col("count") <= BLOCK_ROWS).select("family", F.lit(True).alias("small"))
-    family = family.join(small, "family", "left")
-    held = rows.where("many").select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    held = held.join(family, "doc_id").select(F.when(F.col("small"), F.xxhash64("family")).otherwise(F.col("key")).alias("key"), "doc_id", "component").distinct()
+    """Links that the first comparison left out: tiles of three or more documents in two or more components.
+
+    A family is what candidate pairs connect, and holds every tile of its documents.  It is compared as a whole where
+    that moves fewer rows (its documents, and the blocks that hold different components) than its open tiles do.
+    """
+    family = components(tested).withColumnRenamed("component", "family")
+    nodes = family.join(found, "node", "left").select(F.col("node").alias("doc_id"), "family", F.coalesce("component", "node").alias("component"))
+    nodes = written(nodes, "families")
+    held = rows.where("many").select("key", "doc_id").join(nodes, "doc_id")
     tiles = held.groupBy("key").agg(
-        F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+        F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("family").alias("family"),
         F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("h0"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h1"),
     ).where("c0 <> c1")
-    tiles = tiles.groupBy("rows", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    tiles = written(tiles.groupBy("rows", "family", "h0", "h1").agg(F.min("key").alias("key")), "open")
+    by_tile = tiles.groupBy("family").agg(F.sum("rows").alias("by_tile"))
+    sizes = nodes.groupBy("family", "component").agg(F.count("*").cast("double").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    whole = sizes.join(by_tile, "family").where(F.col("n") + (F.col("n") * F.col("n") - F.col("q")) / BLOCK_ROWS <= F.col("by_tile")).select("family")
+    at_once = nodes.join(whole, "family", "left_semi").select(F.xxhash64("family").alias("key"), "doc_id", "component")
+    in_tiles = held.join(tiles.join(whole, "family", "left_anti").select("key"), "key", "left_semi").select("key", "doc_id", "component")
+    held = at_once.unionByName(in_tiles)
     order = Window.partitionBy("key").orderBy("component", "doc_id")
-    members = written(held.join(tiles, "key", "left_semi").withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "members")
+    members = written(held.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "members")
     parts = members.groupBy("key", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     other = parts.select("key", F.col("part").alias("part2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     duels = parts.join(other, "key").where("part <= part2 and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", "part", "part2")
