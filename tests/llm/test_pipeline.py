@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -13,7 +14,7 @@ from driftwell.llm import mixing, quality, sentencepiece  # noqa: E402
 from driftwell.llm.queries import tokenizer_path  # noqa: E402
 from driftwell.llm.shared import written  # noqa: E402
 
-from test_operators import brute_components, brute_exact, table  # noqa: E402
+from test_operators import base_texts, brute_components, brute_exact, table  # noqa: E402
 
 
 def rows_of(df):
@@ -21,14 +22,16 @@ def rows_of(df):
 
 
 def test_stages(spark):
-    docs, _ = table(spark)
+    long = [f"n{i}" for i in range(150)]
+    near = [" ".join(long[:k] + ["changed"] + long[k + 1 :]) + "." for k in (5, 50, 100)]
+    docs, _ = table(spark, [*base_texts(), *near])
     docs = docs.drop("hash", "size", "bucket")
     steps = dict(corpus_pipeline.STAGES)
     assert list(steps) == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "encode_pieces"]
 
     before = rows_of(docs)
     docs = written(steps["quality_rules"](spark, docs, ""), "t")
-    verdict = {(i, t): quality.measure(__import__("pyarrow").array([t], "string"))[0]["kept"][0] for i, t, *_ in before}
+    verdict = {(i, t): quality.measure(pa.array([t], pa.string()))[0]["kept"][0] for i, t, *_ in before}
     assert Counter(r[0] for r in rows_of(docs)) == Counter(i for i, t, *_ in before if verdict[i, t])
 
     before = rows_of(docs)
