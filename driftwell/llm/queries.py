@@ -59,6 +59,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+#: Links by the shingles that two documents share, then what links reach.
+NGRAM_ORACLE = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as x
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by all
+), l as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 90 * (na.n + nb.n - c)
+), r(doc_id, seen) as (
+  select doc_id, doc_id from d union select r.doc_id, l.b from r join l on l.a = r.seen
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.seen as component_id
+from d left join n using (doc_id) join (select doc_id, min(seen) as seen from r group by doc_id) m using (doc_id)
+"""
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
@@ -71,4 +91,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
