@@ -14,6 +14,7 @@ from .operators.detectors import DETECTORS, longest_runs, summarise
 from .operators.signals import KEYS, Normaliser
 from .operators.thresholds import THRESHOLDS, fuse, robust_scaled
 from .plans.observability import TRANSITIONS, metric_rollup, state_audit
+from .session import workers_find_package
 from .sources.synthetic import inject_drift, inject_regression, inject_spike
 
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
@@ -27,6 +28,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
