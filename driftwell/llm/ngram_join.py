@@ -3,10 +3,12 @@
 Two sets of sizes p and q with Jaccard similarity of t or more differ in at most ``(1 - t) / (1 + t) * (p + q)``
 elements.  Documents are put into bands by set size (each band 1.5 times the one before; a document near the upper end
 also enters the next band, so any two that may link share a band).  In a band whose sets may differ in d elements the
-hash space is cut into ``d + 1 + SPARE`` slices: of two linked sets at least ``1 + SPARE`` slices hold the same
+hash space is cut into ``d + 1 + spare`` slices: of two linked sets at least ``1 + spare`` slices hold the same
 elements.  A *tile* is (band, slice, digest of the slice's elements), and every link joins two documents of one tile.
-Slices that hold nothing would gather unrelated documents; a set leaves them out while it has at most SPARE of them,
-which leaves at least one full slice in common.
+Slices that hold nothing, or only n-grams that are common in the corpus, would gather unrelated documents; a set leaves
+them out while it has at most ``spare`` of them, which leaves at least one other slice in common.  Common n-grams are
+those in overfull buckets of a table of fixed size, into which all n-grams of all documents are counted by hash; it
+decides which tiles are made, never which documents link.
 
 Work inside tiles is linear in their rows.  First each document of a tile is held against the one before it: parity
 bitmaps bound the difference from below (each differing element flips one bit at most), and pairs that pass are
@@ -26,18 +28,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bounded_batches, written
+from .shared import bounded_batches, remove, written
 from .words import blocks, mix, shingles, words_of
 
-SPARE = 2
 BAND = 1.5
+#: Slices beyond those needed: two, and one for so many others.
+SLICES_PER_SPARE = 12
+#: Buckets of the table of counts; those above the median by so many times its square root are common.
+BUCKETS, BUCKET_CHUNK = 1 << 17, 1024
+OVERFULL = 6
 _PLACE = np.uint64(0xA0761D6478BD642F)
-#: 64-bit lanes of a parity bitmap.
-LANES = 32
+#: 64-bit lanes of a parity bitmap, at least; doubled until it has two bits for each element.
+LANES = 16
 #: Documents of a block; two blocks are compared at a time.
 BLOCK_ROWS = 256
 #: Ids that may be broadcast (8 bytes each); beyond, the tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of bitmaps or arrays that may be broadcast.
+BROADCAST_BYTES = 96 << 20
 
 
 @lru_cache(None)
@@ -51,43 +59,58 @@ def band_of(n: int) -> int:
 
 
 @lru_cache(None)
-def slices_in(band: int, num: int, den: int) -> int:
-    """Slices of a band; 0 where sets that are not equal cannot link."""
+def slices_in(band: int, num: int, den: int) -> tuple[int, int]:
+    """Slices of a band, and how many of them are spare; no slices where sets that are not equal cannot link."""
     top = int(np.ceil(BAND ** (band + 1))) - 1
     apart = (den - num) * 2 * top // (den + num)
-    return apart + 1 + SPARE if apart else 0
+    spare = 2 + (apart + 1) // SLICES_PER_SPARE
+    return (apart + 1 + spare, spare) if apart else (0, 0)
 
 
 @lru_cache(None)
 def _cuts(band: int, num: int, den: int) -> np.ndarray:
     """Lower bounds of the slices of a band but the first."""
-    k = slices_in(band, num, den)
+    k, _ = slices_in(band, num, den)
     return np.array([(i << 64) // k for i in range(1, k)], np.uint64)
 
 
-def tile_keys(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tiles of a set, given its sorted distinct hashes."""
+def tile_keys(values: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
+    """The tiles of a set, given its sorted distinct hashes and which buckets are common."""
     n, keys = len(values), []
     band = band_of(n)
     near_top = n * den >= num * BAND ** (band + 1)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=running[1:])
+    rare = np.arange(n + 1)
+    if common is not None:
+        np.cumsum(~common[(values & np.uint64(BUCKETS - 1)).astype(np.int64)], out=rare[1:])
     for b in (band, band + 1) if near_top else (band,):
-        if not (k := slices_in(b, num, den)):
+        k, spare = slices_in(b, num, den)
+        if not k:
             continue
         at = np.empty(k + 1, np.int64)
         at[0], at[1:-1], at[-1] = 0, np.searchsorted(values, _cuts(b, num, den)), n
         held = at[1:] - at[:-1]
         key = mix(running[at[1:]] - running[at[:-1]] + (np.arange(k, dtype=np.uint64) + np.uint64(b << 32)) * _PLACE + held.astype(np.uint64))
-        empty = held == 0
-        keys.append(key[~empty] if empty.sum() <= SPARE else key)
+        void = rare[at[1:]] == rare[at[:-1]]
+        keys.append(key[~void] if void.sum() <= spare else key)
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
 def parity_bitmap(values: np.ndarray) -> np.ndarray:
-    bit = mix(values) % np.uint64(64 * LANES)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * LANES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    """A bit for each residue of the mixed hashes, set if an odd number of elements has it."""
+    size = 64 * LANES
+    while size < 2 * len(values):
+        size *= 2
+    bit = mix(values) & np.uint64(size - 1)
+    odd = np.bincount(bit.astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def same_width(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps folded to the shortest of them: residues of half the size are the parities of two halves."""
+    width = min(map(len, maps), default=LANES)
+    return np.stack([m if len(m) == width else np.bitwise_xor.reduce(m.reshape(-1, width), axis=0) for m in maps]) if maps else np.zeros((0, width), np.uint64)
 
 
 def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -106,7 +129,37 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
-def _signatures(size: int, num: int, den: int):
+def _bucket_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                code, _ = shingles(words_of(block, lower=True), size)
+                total += np.bincount((code & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        parts = total.reshape(-1, BUCKET_CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "counts"])
+
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = np.zeros(BUCKET_CHUNK, np.int64)
+    for x in table.column("counts").to_pylist():
+        total += np.frombuffer(x, np.int64)
+    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def common_buckets(docs: DataFrame, size: int) -> np.ndarray:
+    """Which buckets of n-gram hashes are overfull; what comes to the driver is a table of BUCKETS numbers."""
+    parts = docs.select("text").mapInArrow(_bucket_counts(size), "chunk long, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk long, counts binary")
+    total = np.zeros((BUCKETS // BUCKET_CHUNK, BUCKET_CHUNK), np.int64)
+    for r in parts.collect():
+        total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    middle = float(np.median(total))
+    return total.ravel() > middle + OVERFULL * max(1.0, middle**0.5)
+
+
+def _signatures(size: int, num: int, den: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, d0, d1, keys = [], [], [], []
@@ -114,7 +167,7 @@ def _signatures(size: int, num: int, den: int):
                 count.append(len(one))
                 d0.append(one.sum(dtype=np.uint64))
                 d1.append((one * one).sum(dtype=np.uint64))
-                keys.append(tile_keys(one, num, den) if len(one) else one)
+                keys.append(tile_keys(one, num, den, common) if len(one) else one)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d0, d1)), _lists(keys)],
                 ["doc_id", "n_shingles", "d0", "d1", "keys"],
@@ -156,8 +209,14 @@ def _bound(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, LANES) for i in (3, 5))
-            yield batch.select([0, 1]).filter(pa.array(may_link(n, p, m, q, num, den)))
+            p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (3, 5))
+            good = np.zeros(len(n), bool)
+            width = np.minimum([len(x) for x in p], [len(x) for x in q])
+            for w in np.unique(width):
+                rows = np.flatnonzero(width == w)
+                left, right = (np.stack([np.bitwise_xor.reduce(x[i].reshape(-1, w), axis=0) for i in rows]) for x in (p, q))
+                good[rows] = may_link(n[rows], left, m[rows], right, num, den)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -174,37 +233,29 @@ def _verify(num: int, den: int):
     return run
 
 
-def link_block(ids: list, comp: list, left: np.ndarray, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple]:
-    """Links across components among the documents of a block pair; documents of one component are not compared."""
-    boss: dict = {}
-
-    def top(x):
-        while boss.get(x, x) != x:
-            boss[x] = x = boss.get(boss[x], boss[x])
-        return x
+def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block pair and the rows of other components that the bitmaps let link with each; with two sides, only
+    pairs of one row from each."""
+    two = side.any() and not side.all()
+    for c in np.unique(component):
+        own, rest = np.flatnonzero(component == c), np.flatnonzero(component > c)
+        few, many = (own, rest) if len(own) <= len(rest) else (rest, own)
+        for i in few:
+            j = many[side[many] != side[i]] if two else many
+            j = j[may_link(n[j], bits[j], int(n[i]), bits[i], num, den)]
+            if len(j):
+                yield i, j
 
-    found = []
-    for i in range(len(ids)):
-        rest = np.arange(i + 1, len(ids))
-        if not len(rest):
-            break
-        for j in rest[may_link(n[rest], bits[rest], int(n[i]), bits[i], num, den)]:
-            if (left[i] == left[j] and left.any() != left.all()) or top(comp[i]) == top(comp[j]):
-                continue
-            if alike(sets[i], sets[j], num, den):
-                boss[max(top(comp[i]), top(comp[j]))] = min(top(comp[i]), top(comp[j]))
-                found.append((comp[i], comp[j]))
-    return found
 
-
-def _link_blocks(num: int, den: int):
+def _across(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        x = {k: table.column(k) for k in table.column_names}
-        sides = x["side"].to_numpy()
-        bits = np.frombuffer(b"".join(x["bits"].to_pylist()), np.uint64).reshape(-1, LANES)
-        sets = [np.frombuffer(v, np.uint64) for v in x["hashes"].to_pylist()]
-        found = link_block(x["doc_id"].to_pylist(), x["component"].to_pylist(), sides, x["n"].to_numpy(), bits, sets, num, den)
-        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+        ids, component, side, n = (table.column(k).to_numpy() for k in ("doc_id", "component", "side", "n"))
+        bits = same_width([np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()])
+        found = [np.zeros((0, 2), np.int64)]
+        for i, j in across(component, side, n, bits, num, den):
+            found.append(np.sort(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1), axis=1))
+        out = np.concatenate(found)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     return run
 
@@ -214,6 +265,25 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def _sides(pairs: DataFrame, arrays: DataFrame, *cols: str) -> DataFrame:
+    """Pairs with columns of ``arrays`` for both ids; only the rows that pairs name are moved.
+
+    Their bytes are counted first: up to BROADCAST_BYTES they are broadcast, beyond they are joined by shuffles.
+    """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "named")
+    named = written(_texts_of(arrays, ids).select("doc_id", *cols), "rows")
+    size = named.agg(F.coalesce(F.sum(sum((F.octet_length(c) if t == "binary" else F.lit(8) for c, t in named.dtypes), F.lit(32))), F.lit(0))).first()[0]
+    named = F.broadcast(named) if size <= BROADCAST_BYTES else named
+    side = lambda k: named.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{k}" for k in "ab" for c in cols))
+
+
+def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose exact similarity is high enough."""
+    pairs = written(pairs, "bounded")
+    return written(_sides(pairs, arrays, "hashes").mapInArrow(_verify(num, den), "a long, b long"), "verified")
+
+
 def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``num / den`` or more of their n-gram sets.
 
@@ -225,11 +295,13 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    made = written(docs.mapInArrow(_signatures(words, num, den), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>"), "sets")
-    full = made.where("n_shingles > 0")
+    common = common_buckets(docs, words)
+    made = written(docs.mapInArrow(_signatures(words, num, den, common), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>"), "sets")
+    base = written(made.drop("keys"), "bases")
+    full = base.where("n_shingles > 0")
     same = full.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))
 
-    nodes = full.where("size(keys) > 0").select("doc_id", "keys").join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    nodes = made.where("size(keys) > 0").select("doc_id", "keys").join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     tile = Window.partitionBy("key").orderBy("doc_id")
     rows = nodes.select("doc_id", F.explode("keys").alias("key")).select(
         "key", "doc_id", F.lag("doc_id").over(tile).alias("before"), F.lead("doc_id").over(tile).alias("after"),
@@ -237,27 +309,27 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     ).where("before is not null or after is not null")
     rows = written(rows.select("key", "doc_id", "before", F.expr("before is not null and after is not null or before2 is not null or after2 is not null").alias("many")), "tiles")
 
+    remove(spark, made)
     pairs = rows.where("before <> doc_id").select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = pairs = written(pairs, "pairs")
+    tested = written(pairs, "pairs")
     ids = written(rows.select("doc_id").distinct(), "candidates")
     arrays = written(_texts_of(docs, ids).mapInArrow(_arrays(words), "doc_id long, n long, bits binary, hashes binary"), "arrays")
-    side = lambda k, *cols: arrays.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
-    pairs = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_bound(num, den), "a long, b long")
-    links = pairs.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify(num, den), "a long, b long")
-    links = written(links, "verified")
+    bounded = _sides(tested, arrays, "n", "bits").mapInArrow(_bound(num, den), "a long, b long")
+    links = _verified(bounded, arrays, num, den)
     found = written(components(links), "components")
 
-    more = written(_open_tiles(rows, tested, found, arrays, num, den), "verified")
+    more = _verified(_open_tiles(rows, tested, found, arrays, num, den), arrays, num, den)
     if more.head(1):
         found = written(components(links.unionByName(more)), "components")
     classes = same.join(found.withColumnRenamed("component", "c"), same["node"] == found["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("c", same["node"]).alias("component_id"))
-    return made.select("doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1", "n_shingles"], "left").select(
+    return base.join(classes, ["d0", "d1", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that the first comparison left out: tiles of three or more documents in two or more components.
+    """Pairs that the first comparison left out and that may link, from tiles of three or more documents in two or more
+    components.
 
     A family is what candidate pairs connect, and holds every tile of its documents.  It is compared as a whole where
     that moves fewer rows (its documents, and the blocks that hold different components) than its open tiles do.
@@ -284,5 +356,5 @@ def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: Da
     duels = parts.join(other, "key").where("part <= part2 and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", "part", "part2")
     seats = duels.select("key", F.struct("part", "part2").alias("duel"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
     work = members.join(seats, ["key", "part"]).select("key", "duel", "doc_id", "component", (F.col("part") > F.col("duel.part")).alias("side"))
-    work = work.join(arrays, "doc_id").select("key", F.col("duel.part").alias("p"), F.col("duel.part2").alias("q"), "doc_id", "component", "side", "n", "bits", "hashes")
-    return work.groupBy("key", "p", "q").applyInArrow(_link_blocks(num, den), "a long, b long").distinct()
+    work = work.join(arrays.select("doc_id", "n", "bits"), "doc_id").select("key", F.col("duel.part").alias("p"), F.col("duel.part2").alias("q"), "doc_id", "component", "side", "n", "bits")
+    return work.groupBy("key", "p", "q").applyInArrow(_across(num, den), "a long, b long").distinct()

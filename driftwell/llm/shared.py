@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import workers_find_package
+
 #: Rows of one Arrow batch; texts may be long, so a batch stays far below an executor's memory.
 BATCH_ROWS = 2000
 
@@ -43,4 +45,6 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches, and lets Python workers find this package where the driver found it."""
+    workers_find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
