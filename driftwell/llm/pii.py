@@ -13,15 +13,32 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Added by this operator.
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Characters of an IBAN by country, those in use outside the registry included.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _by_country() -> str:
+    """IBANs cut to the length of their country, whatever follows; other codes take the longest run, as in IBAN."""
+    known = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())}){IBAN})"
+
+
 #: The base patterns for Java's engine: equal matches, but a failing run of characters is not tried again from its middle.
 LINEAR = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": PHONE,
-    "iban": IBAN,
+    "iban": _by_country(),
     "ssn": SSN,
 }
+#: Kinds whose matches may overlap: each place is tried, and of the confirmed spans the leftmost stay.
+OVERLAPPING = ("iban",)
 #: What a text needs for a kind to occur in it.
 HINTS = {
     "email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+",
@@ -51,16 +68,22 @@ def _total(lengths: Column, first: Column, n: Column) -> Column:
     return F.aggregate(F.slice(lengths, first, n), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as ``start, stop, value`` in code points, stop exclusive.
+def matches(text: Column, pattern: str, overlapping: bool = False) -> Column:
+    """Leftmost non-overlapping matches as ``start, stop, value`` in code points, stop exclusive; with ``overlapping``
+    the match at every place that has one.
 
     The pieces between matches and the matches themselves are measured; places are sums of these lengths, taken in
     chunks so that a text of very many matches costs little more than its length.
     """
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    if overlapping:
+        # The text is cut before each match; a match at its start leaves no piece, so an empty one is put there.
+        cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), F.lit(1)).alias("m"), F.split(text, f"(?={pattern})", -1).alias("g"))
+        found = _let(cut, lambda s: F.struct(s["m"].alias("m"), F.when(F.size(s["g"]) == F.size(s["m"]), F.concat(F.array(F.lit("")), s["g"])).otherwise(s["g"]).alias("g")))
+    else:
+        found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
     def places(s: Column) -> Column:
-        step = F.transform(s["m"], lambda x, i: (F.length(F.get(s["g"], i)) + F.length(x)).cast("long"))
+        step = F.transform(s["m"], lambda x, i: (F.length(F.get(s["g"], i)) + (F.lit(0) if overlapping else F.length(x))).cast("long"))
         return _let(step, lambda steps: _let(
             F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / _CHUNK).cast("int")), lambda c: _total(steps, c * _CHUNK + 1, F.lit(_CHUNK))),
             lambda sums: F.transform(s["m"], lambda x, i: _let(
@@ -72,6 +95,14 @@ def matches(text: Column, pattern: str) -> Column:
     return _let(found, places)
 
 
+def apart(spans: Column) -> Column:
+    """Of spans in the order of their places those that start where no earlier one that stays is left open."""
+    def add(kept: Column, s: Column) -> Column:
+        return F.when((F.size(kept) == 0) | (s["start"] >= F.get(kept, F.size(kept) - 1)["stop"]), F.concat(kept, F.array(s))).otherwise(kept)
+
+    return F.aggregate(spans, F.array().cast(_EMPTY), add)
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a right Luhn check digit."""
     def add(total: Column, i: Column) -> Column:
@@ -114,7 +145,8 @@ def spans_of(text: Column, kind: str) -> Column:
     """``array<struct<kind, start, stop, score>>`` of one kind in a text that is not null."""
     hint = HINTS[kind]
     may = F.contains(text, F.lit(hint)) if len(hint) == 1 else text.rlike(hint)
-    found = F.when(may, F.filter(matches(text, LINEAR[kind]), lambda s: confirmed(kind, s["value"]))).otherwise(F.array().cast(_EMPTY))
+    good = F.filter(matches(text, LINEAR[kind], kind in OVERLAPPING), lambda s: confirmed(kind, s["value"]))
+    found = F.when(may, apart(good) if kind in OVERLAPPING else good).otherwise(F.array().cast(_EMPTY))
     base, more = SCORES[kind]
 
     def scored(s: Column) -> Column:

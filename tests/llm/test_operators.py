@@ -308,6 +308,20 @@ def test_pii(spark):
     assert scores[6][0].score == 0.9 and scores[3][0].score == 1.0
 
 
+def test_iban_before_capitals_and_digits(spark):
+    """An IBAN ends at its country's length, whatever follows, and one that fails hides none that starts inside it."""
+    de, blanks, gb, no, mt = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"
+    texts = {
+        f"IBAN {blanks} Commerzbank": [(5, blanks)], f"{de} Bank": [(0, de)], f"é🙂 {gb} BIC DEUTDEFF": [(3, gb)], f"{de} 12 EUR": [(0, de)], f"{de}": [(0, de)],
+        f"{no} 7 A": [(0, no)], f"{mt} X1": [(0, mt)], f"{de} {gb} {no}": [(0, de), (23, gb), (46, no)], f"BE10 {de} A": [(5, de)], f"{de}, {blanks}": [(0, de), (24, blanks)],
+        "DE88 3704 0044 0532 0130 00 Commerzbank": [], "DE89 3704 0044 0532": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert got[i] == [(a, a + len(v)) for a, v in want], text
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 HARD = [
