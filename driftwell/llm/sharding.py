@@ -33,7 +33,8 @@ def balanced_map(slot_bytes: dict[int, int], shards: int, slots: int = SLOTS) ->
 
 def grown_map(assigned: list[int], slot_bytes: dict[int, int], shards: int) -> list[int]:
     """The map edited for one more shard: slots move only into the new shard (number ``shards``), from the fullest
-    shard each time, while the new shard stays below its even share."""
+    shard each time, while the new shard stays below its even share.  Where the slots of the fullest are too large to
+    move, the next fullest gives one, if it stays no emptier than the new shard."""
     load = [0] * shards
     held: dict[int, list[tuple[int, int]]] = {s: [] for s in range(shards)}
     for slot, shard in enumerate(assigned):
@@ -43,9 +44,11 @@ def grown_map(assigned: list[int], slot_bytes: dict[int, int], shards: int) -> l
         slots.sort()
     share, taken, out = sum(load) / (shards + 1), 0, list(assigned)
     while True:
-        fullest = max(range(shards), key=lambda s: (load[s], -s))
-        fit = [x for x in held[fullest] if taken + x[0] <= share and x[0] > 0]
-        if not fit:
+        for place, fullest in enumerate(sorted(range(shards), key=lambda s: (-load[s], s))):
+            fit = [x for x in held[fullest] if taken + x[0] <= share and x[0] > 0 and (place == 0 or load[fullest] - x[0] >= taken + x[0])]
+            if fit:
+                break
+        else:
             return out
         size, slot = fit[-1]
         held[fullest].remove((size, slot))
@@ -85,6 +88,21 @@ def slot_totals(records: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in got}
 
 
+def _placed(records: DataFrame, totals: dict[int, tuple[int, int]], stored: DataFrame, assigned: list[int], shards: int) -> DataFrame:
+    """Records with the shard of their slot in a stored map and their place in it; ``assigned`` is that map."""
+    first, seen = [0] * len(assigned), [0] * shards
+    for slot, shard in enumerate(assigned):
+        first[slot] = seen[shard]
+        seen[shard] += totals.get(slot, (0, 0))[1]
+    starts = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
+    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    return records.join(F.broadcast(stored), "virtual_slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.get(starts, F.col("virtual_slot").cast("int")) + F.row_number().over(order) - 1).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
+    )
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Places every row in a shard so that the shards hold nearly equal bytes.
 
@@ -101,15 +119,26 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     assigned = balanced_map({s: b for s, (b, _) in totals.items()}, shards, slots)
     map_path = map_path or new_path(spark, "slot-map")
     save_map(spark, assigned, map_path, 1)
-    first, seen = [0] * slots, [0] * shards
-    for slot in range(slots):
-        first[slot] = seen[assigned[slot]]
-        seen[assigned[slot]] += totals.get(slot, (0, 0))[1]
-    starts = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
-    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = records.join(F.broadcast(load_map(spark, map_path)), "virtual_slot")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.get(starts, F.col("virtual_slot").cast("int")) + F.row_number().over(order) - 1).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
-    )
+    return _placed(records, totals, load_map(spark, map_path, 1), assigned, shards)
+
+
+def grow_documents(docs: DataFrame, map_path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Places every row after shard number ``shards`` joins the ``shards`` shards of the map stored at ``map_path``.
+
+    Returns the columns of ``shard_documents`` and ``shard_before``.  The latest stored version is loaded and edited
+    with ``grown_map`` for the bytes of ``docs``, saved as the next version and read back; earlier versions stay.
+    ``shard``, ``slot`` and ``map_version`` are of the new version: rows keep their shard or move into the new one, and
+    ``slot`` is numbered anew.  A map has no more rows than slots, whatever the input.
+    """
+    spark = docs.sparkSession
+    stored = load_map(spark, map_path).orderBy("virtual_slot").collect()
+    before, version = [r["shard"] for r in stored], stored[0]["version"] + 1
+    if max(before) >= shards:
+        raise ValueError(f"the map at {map_path} has shard {max(before)}, so more than {shards} shards")
+    records = sized_records(docs, id_col, text_col, len(before))
+    totals = slot_totals(records)
+    assigned = grown_map(before, {s: b for s, (b, _) in totals.items()}, shards)
+    save_map(spark, assigned, map_path, version)
+    placed = _placed(records, totals, load_map(spark, map_path, version), assigned, shards + 1)
+    held = F.from_json(F.lit(json.dumps(before)), "array<int>")
+    return placed.withColumn("shard_before", F.get(held, F.col("virtual_slot").cast("int")))

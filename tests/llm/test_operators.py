@@ -238,6 +238,33 @@ def test_slot_map(spark, tmp_path):
     assert read(1) == first and read(None) == grown
 
 
+def test_grow_documents(spark, tmp_path):
+    """Each growth edits the latest stored map and saves the next version; rows move only into the new shard."""
+    df, rows = table(spark)
+    path = f"file://{tmp_path}/map"
+    key = lambda r: (r.virtual_slot, str(r.doc_id), r.text_crc32, r["size"])
+    last = sharding.shard_documents(df, shards=8, map_path=path).collect()
+    for shards in (8, 9):
+        got = sharding.grow_documents(df, path, shards).collect()
+        assert len(got) == len(rows) and {r.map_version for r in got} == {shards - 6}
+        assert Counter((key(r), r.shard_before) for r in got) == Counter((key(r), r.shard) for r in last)
+        assert all(r.shard in (r.shard_before, shards) and r.law == "bytes" and r.grown_shard is None for r in got)
+        assert any(r.shard != r.shard_before for r in got)
+        load = Counter()
+        for r in got:
+            load[r.shard] += r["size"]
+        assert 0 < load[shards] <= sum(load.values()) / (shards + 1)
+        for s in load:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        stored = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path).collect()}
+        assert len(stored) == sharding.SLOTS and all(stored[r.virtual_slot] == r.shard for r in got)
+        last = got
+    first = {r.virtual_slot: r.shard for r in sharding.load_map(spark, path, 1).collect()}
+    assert len(first) == sharding.SLOTS and max(first.values()) < 8
+    with pytest.raises(ValueError):
+        sharding.grow_documents(df, path, 9)
+
+
 def test_mixing(spark):
     df, rows = table(spark)
     got = mixing.sample(df).collect()
