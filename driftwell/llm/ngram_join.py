@@ -1,8 +1,8 @@
 """Jaccard self-join of documents on word n-grams: size-banded tiles, hashed bitmaps, exact intersections.
 
 Two sets of sizes p and q with Jaccard similarity of t or more differ in at most ``(1 - t) / (1 + t) * (p + q)``
-elements.  Documents are put into bands by set size (each band 1.5 times the one before; a document near the upper end
-also enters the next band, so any two that may link share a band).  In a band whose sets may differ in d elements the
+elements.  Documents are put into bands by set size (each band 1.5 times the one before; a document also enters the
+bands up to that of the largest set it may link with, so any two that may link share a band).  In a band whose sets may differ in d elements the
 hash space is cut into ``d + 1 + spare`` slices: of two linked sets at least ``1 + spare`` slices hold the same
 elements.  A *tile* is (band, slice, digest of the slice's elements), and every link joins two documents of one tile.
 Slices that hold nothing, or only n-grams that are common in the corpus, would gather unrelated documents; a set leaves
@@ -78,13 +78,15 @@ def tile_keys(values: np.ndarray, num: int, den: int, common: np.ndarray | None
     """The tiles of a set, given its sorted distinct hashes and which buckets are common."""
     n, keys = len(values), []
     band = band_of(n)
-    near_top = n * den >= num * BAND ** (band + 1)
+    last = band
+    while n * den >= num * BAND ** (last + 1):
+        last += 1
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=running[1:])
     rare = np.arange(n + 1)
     if common is not None:
         np.cumsum(~common[(values & np.uint64(BUCKETS - 1)).astype(np.int64)], out=rare[1:])
-    for b in (band, band + 1) if near_top else (band,):
+    for b in range(band, last + 1):
         k, spare = slices_in(b, num, den)
         if not k:
             continue

@@ -135,6 +135,27 @@ def test_tiles_meet_for_all_links():
             assert ngram_join.may_link(n, b, len(q), ngram_join.parity_bitmap(q), num, den).all()
 
 
+def test_tiles_meet_bands_apart():
+    """Below 2/3 a set enters every band up to that of the largest set it may link with."""
+    rng = np.random.default_rng(2)
+    for num, den in ((1, 2), (3, 5), (1, 3), (1, 10), (2, 3), (4, 5), (90, 100)):
+        for n in (1, 2, 4, 6, 11, 40, 97):
+            q = np.unique(rng.integers(0, 1 << 63, n * den // num, dtype=np.uint64) * 2)
+            p = np.sort(rng.choice(q, n, replace=False))
+            assert ngram_join.alike(p, q, num, den)
+            if len(p) < len(q):
+                assert set(ngram_join.tile_keys(p, num, den)) & set(ngram_join.tile_keys(q, num, den)), (num, den, n)
+
+
+def test_ngram_links_bands_apart(spark):
+    """Sets of 4 and 8 words at 1/2, and of 11 and 18 at 3/5, link two bands apart."""
+    words = [f"w{i}" for i in range(18)]
+    for small, large, num, den in ((4, 8, 1, 2), (11, 18, 3, 5)):
+        df = spark.createDataFrame([(1, " ".join(words[:small])), (2, " ".join(words[:large])), (3, "other words here")], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df, 1, num, den).collect()}
+        assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7), (None, 3), (200, 100)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
