@@ -21,6 +21,18 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
 #: A line ends with one of these, blanks aside.
 ENDINGS = ".!?:;…\"'”’»)]"
+#: Or with a sentence end, colon or closing mark of another script; the SQL has none of these.
+MORE_ENDINGS = "".join(chr(c) for a, b in (
+    (0x037E, 0x037E), (0x0589, 0x0589), (0x061B, 0x061B), (0x061D, 0x061F), (0x06D4, 0x06D4), (0x0700, 0x0702), (0x07F9, 0x07F9), (0x0837, 0x0837), (0x0839, 0x0839), (0x083D, 0x083E),
+    (0x0964, 0x0965), (0x0F0D, 0x0F0E), (0x104A, 0x104B), (0x1362, 0x1362), (0x1364, 0x1368), (0x166E, 0x166E), (0x1735, 0x1736), (0x17D4, 0x17D6), (0x1803, 0x1804), (0x1809, 0x1809),
+    (0x1944, 0x1945), (0x1AA8, 0x1AAB), (0x1B5A, 0x1B5B), (0x1B5E, 0x1B5F), (0x1B7D, 0x1B7F), (0x1C3B, 0x1C3C), (0x1C7E, 0x1C7F), (0x203C, 0x203D), (0x2047, 0x2049), (0x2CF9, 0x2CFB),
+    (0x2E2E, 0x2E2E), (0x2E3C, 0x2E3C), (0x2E53, 0x2E54), (0x3002, 0x3002), (0xA4FF, 0xA4FF), (0xA60E, 0xA60F), (0xA6F3, 0xA6F7), (0xA876, 0xA877), (0xA8CE, 0xA8CF), (0xA92F, 0xA92F),
+    (0xA9C8, 0xA9C9), (0xAA5D, 0xAA5F), (0xAAF0, 0xAAF1), (0xABEB, 0xABEB), (0xFE12, 0xFE16), (0xFE52, 0xFE52), (0xFE54, 0xFE57), (0xFF01, 0xFF01), (0xFF0E, 0xFF0E), (0xFF1A, 0xFF1B),
+    (0xFF1F, 0xFF1F), (0xFF61, 0xFF61), (0x10A56, 0x10A57), (0x10F55, 0x10F59), (0x10F86, 0x10F89), (0x11047, 0x11048), (0x110BE, 0x110C1), (0x11141, 0x11143), (0x111C5, 0x111C6),
+    (0x111CD, 0x111CD), (0x111DE, 0x111DF), (0x11238, 0x11239), (0x1123B, 0x1123C), (0x112A9, 0x112A9), (0x1144B, 0x1144C), (0x115C2, 0x115C3), (0x115C9, 0x115D7), (0x11641, 0x11642),
+    (0x1173C, 0x1173E), (0x11944, 0x11944), (0x11946, 0x11946), (0x11A42, 0x11A43), (0x11A9B, 0x11A9C), (0x11C41, 0x11C42), (0x11EF7, 0x11EF8), (0x16A6E, 0x16A6F), (0x16AF5, 0x16AF5),
+    (0x16B37, 0x16B38), (0x16B44, 0x16B44), (0x16E98, 0x16E98), (0x1BC9F, 0x1BC9F), (0x1DA88, 0x1DA88),
+) for c in range(a, b + 1)) + "‹“‘」』）］｝】》〉〕｣"
 #: Menu separators; a line fails with one for every four words or more.
 SEPARATORS = "|»›>•·"
 WORDS_PER_SEPARATOR = 4
@@ -45,7 +57,7 @@ def line_fails(line: str, words: int, marks: bool = True, phrases: bool = True)
 
     ``marks`` and ``phrases`` are false where the text is known to hold no symbol or separator, or no phrase.
     """
-    if line.rstrip(_blanks)[-1:] not in ENDINGS:
+    if (last := line.rstrip(_blanks)[-1:]) not in ENDINGS and last not in MORE_ENDINGS:
         return True
     if marks:
         if (n := len(_symbol.findall(line))) >= LEAST_SYMBOLS and WORDS_PER_SYMBOL * n >= words:

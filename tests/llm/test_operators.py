@@ -225,6 +225,15 @@ def test_quality(spark):
     assert all(WORD.search(r.text) for r in stays.collect())
 
 
+def test_lines_of_other_scripts(spark):
+    """Prose whose sentences end in the marks of its script stays; lines without an end still go."""
+    lines = ["これは 文 です。", "本当 です か？", "「はい」", "यह एक वाक्य है।", "هل هذا سؤال؟", "یہ ایک جملہ ہے۔", "Սա նախադասություն է։", "ይህ ዓረፍተ ነገር ነው።", "ဒါက စာကြောင်း ပါ။"]
+    assert not any(quality.line_fails(x, 3) for x in lines) and quality.line_fails("これは 文", 2)
+    df = spark.createDataFrame([(1, "\n".join([*lines, "これは 文"])), (2, "これは 文 " * 6)], "doc_id long, text string")
+    got = {r.doc_id: (r.lines_removed, r.words_lost, r.kept) for r in quality.quality(df).collect()}
+    assert got[1] == (1, 2, True) and not got[2][2]
+
+
 # --- sharding and mixing -----------------------------------------------------------------------------------------
 
 
