@@ -1,43 +1,61 @@
-"""Stream clustering of sparse codes with anti-habituation; sequential in the order of the rows."""
+"""Stream clustering of sparse codes with anti-habituation.
+
+A row becomes a sparse code: random units sum a few channels each, and the strongest units stay.  A background trace is
+taken off, and spheres are grown over the codes in the order of the rows.  Only the trace and the spheres are
+sequential; codes and scores are matrix operations over blocks of rows.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 
 TINY = 1e-8
+#: Rows that are coded at a time; a code has ``expansion`` numbers for each channel.
+BLOCK = 4096
 
 
-def projection(dim: int, expansion: int = 40, density: float = 0.1, seed: int = 0) -> np.ndarray:
-    """A random 0/1 matrix of ``expansion * dim`` rows, each with a 1 at least."""
-    rng = np.random.default_rng(seed)
-    matrix = (rng.random((expansion * dim, dim)) < density).astype(float)
-    bare = np.flatnonzero(~matrix.any(axis=1))
-    if len(bare):
-        matrix[bare, rng.integers(0, dim, size=len(bare))] = 1.0
-    return matrix
-
-
-def winners(codes: np.ndarray, share: float) -> np.ndarray:
-    """Keeps the ``max(1, round(share * m))`` largest values of each row, zero elsewhere."""
-    codes = np.atleast_2d(np.asarray(codes, float))
-    m = codes.shape[1]
-    k = min(max(1, round(share * m)), m)
-    best = np.argpartition(codes, m - k, axis=1)[:, m - k :]
-    out = np.zeros_like(codes)
-    np.put_along_axis(out, best, np.take_along_axis(codes, best, axis=1), axis=1)
-    return out
+@dataclass
+class Units:
+    """Random units as lists of channels: unit ``u`` sums ``channel[first[u]:first[u + 1]]``."""
+
+    channel: np.ndarray
+    first: np.ndarray
+    share: float
+
+    @classmethod
+    def draw(cls, channels: int, expansion: int = 40, density: float = 0.1, share: float = 0.05, seed: int = 0) -> Units:
+        """The order of the draws is fixed: a uniform number for each unit and channel, then a channel for each unit
+        that got none."""
+        rng = np.random.default_rng(seed)
+        unit, channel = np.nonzero(rng.random((expansion * channels, channels)) < density)
+        silent = np.setdiff1d(np.arange(expansion * channels), unit)
+        unit, channel = np.append(unit, silent), np.append(channel, rng.integers(0, channels, len(silent)))
+        order = np.lexsort([channel, unit])
+        return cls(channel[order], np.searchsorted(unit[order], np.arange(expansion * channels)), share)
 
+    def __len__(self) -> int:
+        return len(self.first)
 
-def habituate(codes: np.ndarray, alpha: float, beta: float) -> tuple[np.ndarray, np.ndarray]:
-    """What each row exceeds the background by, and the background that the rows leave behind."""
-    background = np.zeros(codes.shape[1])
-    out = np.empty_like(codes)
-    for i, row in enumerate(codes):
-        out[i] = np.maximum(row - background, 0.0)
-        background = (1 - beta) * background + alpha * out[i]
-    return out, background
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the units, with all but the strongest share of them (one at least) at 0."""
+        sums = np.add.reduceat(rows[:, self.channel], self.first, axis=1)
+        weak = len(self) - min(len(self), max(1, round(self.share * len(self))))
+        if weak:  # which of equal sums stay is numpy's choice
+            np.put_along_axis(sums, np.argpartition(sums, weak, axis=1)[:, :weak], 0.0, axis=1)
+        return sums
+
+
+def traces(codes: np.ndarray, trace: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """The background before each code, and after the last: it fades by ``beta``, and where a code exceeds it, takes
+    ``alpha`` of the excess, so the new value is the larger of the two."""
+    out = np.empty((len(codes) + 1, codes.shape[1]))
+    out[0] = trace
+    for before, after, code in zip(out[:-1], out[1:], codes, strict=True):
+        np.maximum((1 - beta) * before, (1 - beta - alpha) * before + alpha * code, out=after)
+    return out
 
 
 POTENTIAL, CORE, BUFFER = 0, 1, 2
@@ -48,20 +66,25 @@ def grown_radius(radius: float, distance: float, theta: float, most: float) -> f
     return min(radius + (2 * distance / radius - 1) / theta, most)
 
 
-def seeds(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 5) -> np.ndarray:
-    """k-means centres: each drawn with the squared distance to those before as its weight, then a few mean updates."""
-    k = min(k, len(rows))
-    chosen = [rows[rng.integers(len(rows))]]
-    while len(chosen) < k:
-        far = np.min([((rows - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        whole = far.sum()
-        chosen.append(rows[rng.choice(len(rows), p=far / whole if whole > 0 else np.full(len(rows), 1 / len(rows)))])
-    centers = np.array(chosen)
+def gaps(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distances, a row for each row and a column for each centre."""
+    return np.stack([np.linalg.norm(rows - c, axis=1) for c in centers], axis=1)
+
+
+def seeds(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Centres spread over the rows, and the number of rows nearest to each: the first drawn evenly, others with the
+    squared distance to the nearest before as weight, then a few rounds of means."""
+    centers = rows[[rng.integers(len(rows))]]
+    far = np.full(len(rows), np.inf)
+    while len(centers) < min(k, len(rows)):
+        far = np.minimum(far, ((rows - centers[-1]) ** 2).sum(axis=1))
+        weight = far if far.any() else np.ones(len(rows))
+        centers = np.vstack([centers, rows[rng.choice(len(rows), p=weight / weight.sum())]])
     for _ in range(rounds):
-        nearest = np.linalg.norm(rows[:, None, :] - centers[None, :, :], axis=2).argmin(axis=1)
-        for c in np.unique(nearest):
-            centers[c] = rows[nearest == c].mean(axis=0)
-    return centers
+        member = gaps(rows, centers).argmin(axis=1) == np.arange(len(centers))[:, None]
+        some = member.any(axis=1)
+        centers[some] = member[some] @ rows / member[some].sum(axis=1, keepdims=True)
+    return centers, np.bincount(gaps(rows, centers).argmin(axis=1), minlength=len(centers))
 
 
 class Space:
@@ -140,10 +163,26 @@ class Space:
                 setattr(self, name, getattr(self, name)[keep])
             self.stale = True
 
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Distance of codes from the nearest sphere of the nearest group, by its radius; infinite without spheres."""
+        if not len(self):
+            return np.full(len(rows), np.inf)
+        if self.stale:
+            self.regroup()
+        group = gaps(rows, self.group_center).argmin(axis=1)
+        away = np.where(self.group == group[:, None], gaps(rows, self.center), np.inf)
+        best = away.argmin(axis=1)
+        return away[np.arange(len(rows)), best] / (self.radius[best] + TINY)
+
+
+def _matrix(rows: np.ndarray) -> np.ndarray:
+    rows = np.asarray(rows, float)
+    return rows[:, None] if rows.ndim == 1 else rows
+
 
 @dataclass
 class StreamClusters:
-    """Random projection, winners, habituation, then one pass of micro-clustering."""
+    """Codes, background and spheres learned in one pass over a baseline, and scores against them."""
 
     expansion: int = 40
     density: float = 0.1
@@ -157,44 +196,51 @@ class StreamClusters:
     rebuild_every: int = 50
     seed: int = 0
     space: Space | None = None
-
-    def codes(self, rows: np.ndarray) -> np.ndarray:
-        return winners(rows @ self.matrix.T, self.wta_frac)
+    units: Units | None = field(default=None, repr=False)
+    background: np.ndarray | None = field(default=None, repr=False)
+
+    def _excess(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Codes less the background before each, a block at a time; leaves the last background behind."""
+        self.background = np.zeros(len(self.units))
+        for lo in range(0, len(rows), BLOCK):
+            codes = self.units.codes(rows[lo : lo + BLOCK])
+            trace = traces(codes, self.background, self.alpha, self.beta)
+            self.background = trace[-1]
+            yield np.maximum(codes - trace[:-1], 0.0)
 
     def fit(self, rows: np.ndarray) -> StreamClusters:
-        rows = np.asarray(rows, float).reshape(len(rows), -1)
-        rng = np.random.default_rng(self.seed)
-        self.matrix = projection(rows.shape[1], self.expansion, self.density, self.seed)
-        code, self.background = habituate(self.codes(rows), self.alpha, self.beta)
-        radius = float(np.median(np.linalg.norm(code - code.mean(axis=0), axis=1))) + TINY
-        self.space = space = Space(code.shape[1], self.theta, 10 * radius, self.delta)
-        head = min(len(code), max(5 * self.n_init, 50))
-        centers = seeds(code[:head], self.n_init, rng)
-        nearest = np.linalg.norm(code[:head, None, :] - centers[None, :, :], axis=2).argmin(axis=1)
-        for c, n in enumerate(np.bincount(nearest, minlength=len(centers))):
-            if n:
-                space.add(centers[c], radius, int(n), CORE if n >= self.delta else POTENTIAL)
-        space.regroup()
-        for i, row in enumerate(code[head:], 1):
-            best, distance = space.nearest(row)
-            if best >= 0 and distance <= space.radius[best]:
-                space.absorb(best, row, distance, self.core_share)
-            else:
-                space.add(row, radius, 1, POTENTIAL)
-            if i % self.rebuild_every == 0:
-                space.fade()
-                space.regroup()
+        """Three passes over the rows, so that codes are never held for more than a block of them: their mean, the
+        median distance from it (the first radius), the spheres."""
+        rows = _matrix(rows)
+        self.units = Units.draw(rows.shape[1], self.expansion, self.density, self.wta_frac, self.seed)
+        mean = sum(x.sum(axis=0) for x in self._excess(rows)) / len(rows)
+        radius = float(np.median(np.concatenate([np.linalg.norm(x - mean, axis=1) for x in self._excess(rows)]))) + TINY
+        self.space = space = Space(len(self.units), self.theta, 10 * radius, self.delta)
+        head = min(len(rows), max(5 * self.n_init, 50))  # less than a block
+        at = 0
+        for block in self._excess(rows):
+            if not at:
+                for center, n in zip(*seeds(block[:head], self.n_init, np.random.default_rng(self.seed)), strict=True):
+                    if n:
+                        space.add(center, radius, int(n), CORE if n >= self.delta else POTENTIAL)
+                block, at = block[head:], head
+            for code in block:
+                best, distance = space.nearest(code)
+                if best >= 0 and distance <= space.radius[best]:
+                    space.absorb(best, code, distance, self.core_share)
+                else:
+                    space.add(code, radius, 1, POTENTIAL)
+                at += 1
+                if (at - head) % self.rebuild_every == 0:
+                    space.fade()
         space.fade()
         space.regroup()
         return self
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        """Distance from the nearest microcluster by its radius; the background does not change."""
+        """Scores of rows against the spheres; the background stays as the baseline left it."""
         if self.space is None:
             raise RuntimeError("the clustering is not fitted")
-        code = np.maximum(self.codes(np.asarray(rows, float).reshape(len(rows), -1)) - self.background, 0.0)
-        out = np.empty(len(code))
-        for i, row in enumerate(code):
-            best, distance = self.space.nearest(row)
-            out[i] = distance if best < 0 else distance / (self.space.radius[best] + TINY)
-        return out
+        rows = _matrix(rows)
+        parts = [self.space.scores(np.maximum(self.units.codes(rows[lo : lo + BLOCK]) - self.background, 0.0)) for lo in range(0, len(rows), BLOCK)]
+        return np.concatenate([np.zeros(0), *parts])

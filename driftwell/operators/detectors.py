@@ -248,8 +248,9 @@ class SpatiotemporalDetector(Detector):
 class HabituationDetector(Detector):
     """Distance from the nearest microcluster of a habituating stream clustering, by its radius.
 
-    The baseline's rows are clustered one by one in order of ``t``, so the baseline must fit one task (``rows_bound``);
-    scoring is row by row in Arrow batches with the frozen model.
+    The baseline's rows are clustered one by one, stream after stream and window after window in order of ``t``, so
+    their channels must fit the driver (``rows_bound``; an error beyond); scoring is done by blocks of rows in Arrow
+    batches with the frozen model.
     """
 
     name = "habituation"
@@ -263,7 +264,7 @@ class HabituationDetector(Detector):
     def learn(self, df: DataFrame) -> None:
         from .ahsc import StreamClusters
 
-        rows = df.select("t", *self.channels).orderBy("t").limit(self.rows_bound + 1).toPandas()
+        rows = df.select(*KEYS, "t", *self.channels).orderBy(*KEYS, "t").limit(self.rows_bound + 1).toPandas()
         if len(rows) > self.rows_bound:
             raise ConfigError(f"a baseline of more than {self.rows_bound} rows is not clustered in one pass")
         self.model = StreamClusters(**self.params).fit(rows[self.channels].to_numpy(float))

@@ -231,9 +231,10 @@ def test_cli(spark, capsys, tmp_path):
 
 
 def test_clusters():
-    m = ahsc.projection(4, 40, 0.1, 0)
-    assert m.shape == (160, 4) and set(np.unique(m)) <= {0.0, 1.0} and (m.sum(1) >= 1).all()
-    w = ahsc.winners(np.array([[1, 9, 2, 8, 3, 4, 5, 6, 7, 0.5]]), 0.2)
+    units = ahsc.Units.draw(4, 40, 0.1, 0.05, 0)
+    m = ahsc.Units(units.channel, units.first, 1.0).codes(np.eye(4))
+    assert m.shape == (4, 160) and set(np.unique(m)) <= {0.0, 1.0} and (m.sum(0) >= 1).all()
+    w = ahsc.Units(np.arange(10), np.arange(10), 0.2).codes(np.array([[1, 9, 2, 8, 3, 4, 5, 6, 7, 0.5]]))
     assert sorted(w[w > 0]) == [8, 9]
     assert ahsc.grown_radius(1, 1, 2, 9) == 1.5 and ahsc.grown_radius(1, 50, 2, 3) == 3
     s = ahsc.Space(2, 100, 10, 2)
