@@ -1,4 +1,8 @@
-"""Personal data in texts: patterns propose spans, checksums confirm them, nearby words adjust the score."""
+"""Personal data and secrets in texts: patterns propose spans, checks confirm them, nearby words adjust the score.
+
+Kinds whose form says little by itself (numbers like social security numbers, long mixed strings like keys) start below
+LEAST and count only where a word nearby speaks for them; spans of the base kinds stay whatever their score.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Added by this operator.
 IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+SECRET = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/_-]{20,}"
+#: How the keys of well-known services begin.
+KEY_PREFIXES = r"-----BEGIN|AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|eyJ"
 #: Characters of an IBAN by country, those in use outside the registry included.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -23,9 +30,10 @@ IBAN_LENGTHS = {
 
 
 def _by_country() -> str:
-    """IBANs cut to the length of their country, whatever follows; other codes take the longest run, as in IBAN."""
+    """IBANs that begin a word, cut to the length of their country, whatever follows; other codes take the longest run, as
+    in IBAN."""
     known = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
-    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())}){IBAN})"
+    return f"(?<![A-Za-z0-9_])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())}){IBAN})"
 
 
 #: The base patterns for Java's engine: equal matches, but a failing run of characters is not tried again from its middle.
@@ -36,21 +44,26 @@ LINEAR = {
     "phone": PHONE,
     "iban": _by_country(),
     "ssn": SSN,
+    "secret": r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 #: Kinds whose matches may overlap: each place is tried, and of the confirmed spans the leftmost stay.
 OVERLAPPING = ("iban",)
 #: What a text needs for a kind to occur in it.
 HINTS = {
     "email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}", "ssn": SSN,
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}", "ssn": SSN,
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}|-----BEGIN ",
 }
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "secret")
 #: Score of a confirmed span, and what a context word within WINDOW characters adds to it.
-SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.7, 0.3), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "ssn": (0.3, 0.5)}
+SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.7, 0.3), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "ssn": (0.3, 0.5), "secret": (0.3, 0.5)}
+#: Score of a secret that begins as the keys of a well-known service do.
+KNOWN_KEY = 0.9
 CONTEXT = {
     "email": "mail|contact|address", "ip": "ip|host|server|address|login", "card": "card|visa|credit|debit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax|whatsapp", "iban": "iban|bank|account|konto|compte|cuenta", "ssn": "ssn|social security",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|bearer",
 }
 WINDOW = 40
 #: Added kinds need this score; spans of the base kinds stay whatever their score.
@@ -136,6 +149,8 @@ def confirmed(kind: str, value: Column) -> Column:
         return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
         return _let(F.translate(value, " ", ""), lambda c: F.when(F.length(c).between(15, 34), mod97(c)).otherwise(False))
+    if kind == "secret":
+        return value.rlike(r"^-----BEGIN|[0-9]") & value.rlike("[A-Za-z]")
     if kind == "ssn":
         return ~value.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -154,18 +169,20 @@ def spans_of(text: Column, kind: str) -> Column:
             F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WINDOW)).cast("int")),
             F.lit(" "), F.substring(text, (s["stop"] + 1).cast("int"), F.lit(WINDOW)),
         ))
-        score = F.lit(base) + F.when(around.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), more).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.round(score, 3).alias("score"))
+        first = F.lit(base) if kind != "secret" else F.when(s["value"].rlike(f"^(?:{KEY_PREFIXES})"), KNOWN_KEY).otherwise(base)
+        score = first + F.when(around.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})"), more).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.round(F.least(score, F.lit(1.0)), 3).alias("score"))
 
     out = F.transform(found, scored)
     return out if kind in BASE else F.filter(out, lambda s: s["score"] >= LEAST)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, spans`` for every row: spans by kind (email, ip, card, phone, iban, ssn), then start, in code points.
+    """``doc_id, spans`` for every row: ``kind, start, stop, score`` by kind (email, ip, card, phone, iban, ssn, secret),
+    then start, in code points.
 
     Null and empty texts have none.  Rows are treated one by one, so repeated rows, null ids, ties and other columns
-    have no effect on each other; an empty table gives none.
+    have no effect on each other; an empty table gives none.  Texts may be of any length and hold any number of spans.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return docs.select("doc_id", F.concat(*(spans_of(F.col("text"), k) for k in KINDS)).alias("spans"))
@@ -176,10 +193,16 @@ def told(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the hash of their spans and all spans as a string."""
+    """Counts of the base kinds, the hash of their spans, all spans as a string, ``n_added`` (spans of the added kinds),
+    ``top_score`` (the largest score, 0 without spans) and ``flagged`` (whether a span scores LEAST or more)."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *(count(k) for k in BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["kind"].isin(*BASE))).cast("long").alias("n_added"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
+        F.exists("spans", lambda s: s["score"] >= LEAST).alias("flagged"),
+    )
 
 
 def _oracle() -> str:
@@ -204,22 +227,26 @@ def _oracle() -> str:
         kind("ip", IP, r"len(list_filter(string_split(s.v, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(ltrim(p, '0') as int), 0) > 255)) = 0"),
         kind("card", CARD, luhn_sql),
         kind("phone", PHONE, f"length({digits}) between 9 and 15"),
-        kind("iban", IBAN, f"length(replace(s.v, ' ', '')) between 15 and 34 and {mod_sql}"),
+        kind("iban", r"\b" + IBAN, f"length(replace(s.v, ' ', '')) between 15 and 34 and {mod_sql}"),
         kind("ssn", SSN, "not regexp_matches(s.v, '^(?:000|666|9)|-00-|-0000$')"),
+        kind("secret", SECRET, "regexp_matches(s.v, '^-----BEGIN|[0-9]') and regexp_matches(s.v, '[A-Za-z]')"),
     ]
+    scores = " ".join(f"when kind = '{k}' then {f'case when regexp_matches(v, {chr(39)}^(?:{KEY_PREFIXES}){chr(39)}) then {KNOWN_KEY} else {a} end' if k == 'secret' else a} + case when {near(k)} then {b} else 0 end" for k, (a, b) in SCORES.items())
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), f as ({' union all '.join(parts)}
 ), kept as (
-  select * from f where kind not in ('iban', 'ssn') or (kind = 'iban') or (kind = 'ssn' and {near('ssn')})
+  select * from (select *, round(least((case {scores} end)::double, 1.0), 3) as score from f) where k < {len(BASE)} or score >= {LEAST}
 ), g as (
   select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip,
     count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
     string_agg(kind || ':' || a::bigint || ':' || b::bigint, ',' order by k, a) filter (where k < {len(BASE)}) as base,
-    string_agg(kind || ':' || a::bigint || ':' || b::bigint, ',' order by k, a) as spans
+    string_agg(kind || ':' || a::bigint || ':' || b::bigint, ',' order by k, a) as spans,
+    count(*) filter (where k >= {len(BASE)}) as n_added, max(score) as top_score
   from kept group by doc_id
 )
 select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_added, 0) as n_added, coalesce(top_score, 0)::double as top_score, coalesce(top_score >= {LEAST}, false) as flagged
 from d left join g using (doc_id)
 """
 
