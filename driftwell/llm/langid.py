@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, written
+from .shared import bounded_batches, slices, written
 from .words import hash_ranges, mix, runs
 
 ORDER = 4
@@ -103,8 +103,11 @@ def _discount(counts: np.ndarray) -> float:
 
 
 def fit(words: pd.DataFrame) -> Models:
-    """Models from ``lang, word, n`` rows: one set of sorted arrays, a column for each language in code point order."""
+    """Models from ``lang, word, n`` rows: one set of sorted arrays, a column for each language in code point order.
+    No rows give a model of no language."""
     models = Models(sorted(words["lang"].unique()))
+    if not models.languages:
+        return models
     tables: list[list[pd.DataFrame]] = [[] for _ in range(ORDER)]
     for lang in models.languages:
         mine = words[words["lang"] == lang]
@@ -196,7 +199,7 @@ def calibrate(models: Models, h: np.ndarray, lang: np.ndarray) -> None:
 
 def _entropy_rows(models: Models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             h = entropies(batch.column(1).to_pylist(), models)
             at = np.arange(len(h) + 1, dtype=np.int32) * len(models.languages)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.ravel()))], ["lang", "h"])
@@ -206,7 +209,7 @@ def _entropy_rows(models: Models):
 
 def _predict(models: Models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = batch.column(2).to_pylist()
             names, scores, refused = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if models.languages:
@@ -227,34 +230,40 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Models:
     """Fits and calibrates the models on labelled rows that are not held out.
 
-    Each language gives its rows with the smallest id hashes, FIT_ROWS for the models and CALIBRATION_ROWS more (a
-    fifth of them, where a language has fewer than both).  What comes to the driver are the distinct words of these
-    rows and a few numbers for each calibration row, whatever the size of the table.
+    Each language gives its distinct rows (id and text) with the smallest hashes, FIT_ROWS for the models and
+    CALIBRATION_ROWS more (a fifth of them, where a language has fewer than both); repeated rows count once, so that
+    they cannot make the sample larger.  What comes to the driver are the distinct words of these rows and a few numbers
+    for each calibration row and language, whatever the size of the table.  Languages whose sample holds no letter are
+    not learned; where none is, every text is ``und``.
     """
     doc = F.col(id_col)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(doc))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(doc).alias("h"), F.hash(F.col(text_col)).alias("h2"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(doc.cast("string"), F.col(text_col)).alias("h"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Models([])
     want = FIT_ROWS + CALIBRATION_ROWS
     # twice the rows wanted, by hash: no more than these is sorted
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * want / n))]), F.col("lang"))
     few = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
-    keys = few.select("lang", "h", "h2").collect()
-    chosen: dict[str, list[tuple[int, int]]] = {}
-    for r in keys:
-        chosen.setdefault(r["lang"], []).append((r["h"], r["h2"]))
+    chosen: dict[str, list[int]] = {}
+    for r in few.select("lang", "h").distinct().collect():
+        chosen.setdefault(r["lang"], []).append(r["h"])
     cut = []
     for lang, got in chosen.items():
         got.sort()
         got = got[:want]
         fit_rows = min(FIT_ROWS, len(got) - len(got) // 5)
-        cut.append((lang, got[fit_rows - 1][0], got[-1][0]))
+        cut.append((lang, got[fit_rows - 1], got[-1]))
     bound = lambda i: F.element_at(F.create_map(*[F.lit(x) for c in cut for x in (c[0], c[i])]), F.col("lang"))
-    sample = written(few.where(F.col("h") <= bound(2)).select("lang", "text", (F.col("h") <= bound(1)).alias("fit")), "sample")
+    if not cut:
+        return Models([])
+    sample = few.where(F.col("h") <= bound(2)).dropDuplicates(["lang", "h"])
+    sample = written(sample.select("lang", "text", (F.col("h") <= bound(1)).alias("fit")), "sample")
     words = sample.where("fit").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     models = fit(words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas())
+    if not models.languages:
+        return models
     got = sample.where("not fit").select("lang", "text").mapInArrow(_entropy_rows(models), "lang string, h array<double>").collect()
     got = [r for r in got if r["lang"] in models.languages]
     h = np.array([r["h"] for r in got]).reshape(len(got), len(models.languages))
