@@ -32,7 +32,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_documents(spark, sf_dir), shards=8).drop("virtual_slot", "map_version")
+    return sharding.rebalanced(_documents(spark, sf_dir), shards=8).drop("virtual_slot", "map_version")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op4_sharding": sharding.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
