@@ -37,7 +37,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     code points in its original text stays, then the one with the smallest id (a null id only where no other is left);
     of rows that also share these one stays, so exactly one row of a group has ``kept``.  ``hasher`` gives the content
     hash; hashes under which different texts meet are told apart by the texts themselves.  Only ids, hashes and lengths
-    are shuffled, and of the texts the least and greatest of each hash that occurs twice.  An empty table gives none.
+    are shuffled, and of the texts the least and greatest of each hash that occurs twice.  Ids may be of any type that has
+    an order.  Texts may be of any length; other columns are not read.  An empty table gives none.
     """
     norm = normalised(F.col(text_col))
     docs = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
@@ -52,9 +53,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.join(told, ["hash", "sha"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
     else:
         rows = rows.withColumn("part", F.lit(0))
-    best = rows.groupBy("hash", "part").agg(
-        F.sum("n").alias("group_size"), F.max(F.struct("chars", (-F.col("doc_id")).alias("minus_id"))).alias("best")
-    ).select("hash", "part", "group_size", F.col("best.chars").alias("best_chars"), (-F.col("best.minus_id")).alias("keep_id"))
+    first = F.min(F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"))
+    best = rows.groupBy("hash", "part").agg(F.sum("n").alias("group_size"), first.alias("best"))
+    best = best.select("hash", "part", "group_size", (-F.col("best.less")).alias("best_chars"), F.col("best.doc_id").alias("keep_id"))
     out = rows.join(best, ["hash", "part"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select(
         "doc_id", "keep_id", "group_size",
@@ -64,22 +65,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which ``exact_groups`` has ``kept``.
+    """The rows of ``docs``, all columns whatever their names, of which ``exact_groups`` has ``kept``.
 
     What goes is looked up by id and text; rows that repeat both are thinned to the longest original text, one row.
     """
     told = exact_groups(docs, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    told = written(told.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), F.col("kept").alias("__thin")), "dropped")
+    told = written(told.where("not kept or n > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("kept").alias("thin")), "dropped")
     few = told.count() <= BROADCAST_HASHES
-    marked = docs.withColumn("__norm_sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    on = marked[id_col].eqNullSafe(told["__id"]) & (F.col("__norm_sha") == F.col("__sha"))
-    marked = marked.join(F.broadcast(told) if few else told, on, "left").drop("__id", "__sha")
-    out = marked.where("__thin is null").drop("__thin", "__norm_sha")
-    if told.where("__thin").head(1):
-        order = Window.partitionBy(id_col, "__norm_sha").orderBy(F.length(text_col).desc_nulls_last())
-        thin = marked.where("__thin").withColumn("__row", F.row_number().over(order)).where("__row = 1")
-        out = out.unionByName(thin.drop("__thin", "__norm_sha", "__row"))
-    return out
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col(f"row.{id_col}").alias("id"), F.unhex(F.sha2(normalised(F.col(f"row.{text_col}")), 256)).alias("norm_sha"))
+    marked = rows.join(F.broadcast(told) if few else told, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("norm_sha") == F.col("sha")), "left")
+    out = marked.where("thin is null").select("row")
+    if told.where("thin").head(1):
+        order = Window.partitionBy("id", "norm_sha").orderBy(F.length(F.col(f"row.{text_col}")).desc_nulls_last())
+        out = out.unionByName(marked.where("thin").withColumn("place", F.row_number().over(order)).where("place = 1").select("row"))
+    return out.select("row.*")
 
 
 ORACLE = r"""
