@@ -1,9 +1,13 @@
-"""Half-open intervals: algebra, affiliation zones, and the closed forms of precision and recall by affiliation."""
+"""Half-open intervals: algebra, affiliation zones, and the closed forms of precision and recall by affiliation, for
+numbers on the driver and as columns."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Interval = tuple[float, float]
 
 
@@ -83,6 +87,43 @@ def _recall_mass(i: Interval, j: Interval, e: Interval) -> float:
     return out
 
 
+Bounds = tuple[Column, Column]
+
+
+def _half_squares(a: Column, b: Column) -> Column:
+    """Integral of x from a to b."""
+    return (b * b - a * a) / 2
+
+
+def precision_mass(i: Bounds, j: Bounds, e: Bounds) -> Column:
+    """``_precision_mass`` over columns: of a part ``i`` of the zone ``e`` of the event ``j``."""
+    room, near = e[1] - e[0], F.least(j[0] - e[0], e[1] - j[1])
+    clip = lambda d: F.least(d, near)
+    out = F.greatest(F.least(i[1], j[1]) - F.greatest(i[0], j[0]), F.lit(0.0))
+    for d0, d1 in ((j[0] - F.least(i[1], j[0]), j[0] - F.least(i[0], j[0])), (F.greatest(i[0], j[1]) - j[1], F.greatest(i[1], j[1]) - j[1])):
+        clipped = _half_squares(clip(d0), clip(d1)) + near * ((d1 - clip(d1)) - (d0 - clip(d0)))
+        out = out + (d1 - d0) - (clipped + _half_squares(d0, d1) + (j[1] - j[0]) * (d1 - d0)) / room
+    return out
+
+
+def recall_mass(i: Bounds, j: Bounds, e: Bounds) -> Column:
+    """``_recall_mass`` over columns: of a stretch ``j`` of the event that is nearest to the part ``i`` of the zone ``e``.
+
+    Left and right of the part the distance from it is a line, and so is the distance to the zone's end on that side; the
+    lesser of the two changes where they meet.
+    """
+    out = F.greatest(F.least(i[1], j[1]) - F.greatest(i[0], j[0]), F.lit(0.0))
+    for far0, far1, room in (
+        (i[0] - F.least(j[1], i[0]), i[0] - F.least(j[0], i[0]), i[0] - e[0]),
+        (F.greatest(j[0], i[1]) - i[1], F.greatest(j[1], i[1]) - i[1], e[1] - i[1]),
+    ):
+        # over distances d from far0 to far1 the integral of d, and of the lesser of d and room - d
+        meet = F.least(F.greatest(room / 2, far0), far1)
+        lesser = _half_squares(far0, meet) + _half_squares(room - far1, room - meet)
+        out = out + (far1 - far0) - (lesser + _half_squares(far0, far1)) / (e[1] - e[0])
+    return out
+
+
 def precision(pred: list[Interval], j: Interval, e: Interval | None = None) -> float:
     """Precision of the predictions in the zone of ``j`` (a mean distance without a zone); NaN without predictions."""
     if not pred:

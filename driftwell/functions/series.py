@@ -88,3 +88,14 @@ def mean_of(columns: list[Column]) -> Column:
     for c in columns[1:]:
         total = total + c
     return total / len(columns)
+
+
+def softplus(x: Column) -> Column:
+    """``ln(1 + e**x)``, without overflow for large x."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def sigmoid(x: Column) -> Column:
+    """``1 / (1 + e**-x)``, without overflow for large negative x."""
+    small = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
+from ..functions.order import running
 from ..functions.series import exceeds, run_length
 
 
@@ -71,23 +71,30 @@ def point_adjusted(df: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("adjusted", F.when((F.col("label") == 1) & (F.col("t") > 0), hit).otherwise(F.col("flag"))).drop("__island")
 
 
-def events_of(df: DataFrame, flag: str, by: list[str]) -> DataFrame:
-    """Runs of flagged rows as half-open intervals ``start, stop``."""
-    out = df.withColumn("__on", F.col(flag).cast("int") == 1).withColumn("__island", run_length(F.col("__on"), by))
+def events_of(df: DataFrame, flag: str, by: list[str], gaps: bool = False) -> DataFrame:
+    """Runs of flagged rows as half-open intervals ``start, stop``; with ``gaps`` rows that are not flagged are absent,
+    so a gap in ``t`` ends a run."""
+    out = df.withColumn("__on", F.col(flag).cast("int") == 1)
+    if gaps:
+        out = out.where("__on").withColumn("__island", F.col("t") - F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+    else:
+        out = out.withColumn("__island", run_length(F.col("__on"), by))
     return out.where("__on").groupBy(*by, "__island").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop")).drop("__island")
 
 
+def _f1(p: Column, r: Column) -> Column:
+    return ratio(2 * p * r, p + r)
+
+
 def best_f1(df: DataFrame) -> DataFrame:
     """The best F1 over all thresholds ``score >= s``, ties of scores taken together: one row.
 
-    Labels are summed by distinct score first, then from the top down.
+    Labels are summed by distinct score first, then from the top down by ranges of scores.
     """
     by_score = df.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = by_score.select("score", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("hits"), F.sum("pos").over(whole).alias("all"))
+    s = running(by_score, {"tp": "pos", "hits": "n"}, -F.col("score")).join(F.broadcast(df.agg(F.sum("label").alias("all"))))
     s = s.withColumns({"precision": ratio(F.col("tp"), F.col("hits")), "recall": ratio(F.col("tp"), F.col("all"))})
-    s = s.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    s = s.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
     return s.orderBy(F.col("f1").desc(), "score").limit(1).select(F.col("score").alias("threshold"), "precision", "recall", "f1", F.col("tp").cast("long").alias("pred_anomaly"), F.col("all").cast("long").alias("true_anomaly"))
 
 
@@ -101,38 +108,139 @@ def best_f1_adjusted(df: DataFrame, by: list[str]) -> DataFrame:
 def roc_auc(df: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, equal scores half: one row, from counts per score."""
     by_score = df.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = by_score.select("pos", "neg", F.coalesce(F.sum("neg").over(below), F.lit(0.0)).alias("under"))
-    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    s = running(by_score, {"upto": "neg"}, F.col("score"))
+    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def accuracy(df: DataFrame, threshold: Column | float, by: list[str] | None = None) -> DataFrame:
+    """``confusion`` with ``tn`` and ``accuracy``, the share of rows told right (null without rows)."""
+    n = df.groupBy(*(by or [])).agg(F.count("*").alias("__n"))
+    out = confusion(df, threshold, by)
+    out = out.join(n, by) if by else out.join(F.broadcast(n))
+    out = out.withColumn("tn", F.col("__n") - F.col("tp") - F.col("fp") - F.col("fn"))
+    return out.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("__n"))).drop("__n")
+
+
+def macro_average(df: DataFrame, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """Means of measures over entities or runs, a row each, and how many there were."""
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("runs"), *[F.avg(m).alias(m) for m in measures])
+
 
+def percentile_threshold(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0) -> float:
+    """The score that ``anomaly_ratio`` percent of the scores of both tables exceed, interpolated linearly."""
+    both = initial.select("score").unionByName(test.select("score"))
+    return both.agg(F.percentile("score", F.lit(1 - anomaly_ratio / 100)).alias("v")).first()["v"]
 
-def affiliation(events: DataFrame, spans: DataFrame) -> DataFrame:
+
+def affiliation(events: DataFrame, spans: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """``series_id, precision, recall, f1`` by affiliation.
 
-    ``events``: ``series_id, kind ('pred' | 'truth'), start, stop``; ``spans``: ``series_id, lo, hi``.  The events of one
-    series are gathered in a task; there are few of them, however long the series.
+    ``events``: ``series_id, kind ('pred' | 'truth'), start, stop``; ``spans``: ``series_id, lo, hi``.  Predictions are cut
+    to the zones of the ground-truth events; the measures of each part are closed forms over its bounds and those of the
+    event and the zone, and are summed by zone, then averaged by series.  Zones without a prediction have recall 0 and no
+    precision.  Events that overlap, have no length or leave the span are errors.
     """
-    rows = events.join(spans, "series_id")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("start")
-        of = lambda kind: [(float(a), float(b)) for a, b in frame.loc[frame["kind"] == kind, ["start", "stop"]].to_numpy()]
-        got = I.affiliation(of("pred"), of("truth"), (float(frame["lo"].iloc[0]), float(frame["hi"].iloc[0])))
-        return pd.DataFrame([{"series_id": frame["series_id"].iloc[0], **got}])
+    by = list(by)
+    before = F.lag("stop").over(Window.partitionBy(*by, "kind").orderBy("start", "stop"))
+    wrong = (F.col("stop") <= F.col("start")) | F.coalesce(before > F.col("start"), F.lit(False)) | (F.col("start") < F.col("lo")) | (F.col("stop") > F.col("hi"))
+    faults = events.join(spans, by).withColumn("wrong", wrong).groupBy(*by).agg(F.max("wrong").alias("wrong"))
+    pred, truth = (events.where(F.col("kind") == k).drop("kind") for k in ("pred", "truth"))
+    zone = zones(truth, spans, by)
+    one = [*by, "start", "stop"]
+    row = Window.partitionBy(*one).orderBy("part_lo")
+    lo, hi = (F.lag("part_hi").over(row) + F.col("part_lo")) / 2, (F.col("part_hi") + F.lead("part_lo").over(row)) / 2
+    parts = in_zones(pred, zone, by).join(zone, one)
+    parts = parts.withColumns({"cell_lo": F.coalesce(lo, F.col("zone_lo")), "cell_hi": F.coalesce(hi, F.col("zone_hi"))})
+    part, event, whole = ((F.col(a), F.col(b)) for a, b in (("part_lo", "part_hi"), ("start", "stop"), ("zone_lo", "zone_hi")))
+    own = (F.greatest("start", "cell_lo"), F.least("stop", "cell_hi"))
+    masses = parts.groupBy(*one).agg(
+        (F.sum(I.precision_mass(part, event, whole)) / F.sum(part[1] - part[0])).alias("p"),
+        (F.sum(F.when(own[0] < own[1], I.recall_mass(part, own, whole)).otherwise(0.0)) / F.first(event[1] - event[0])).alias("r"),
+    )
+    measured = truth.select(*one).join(masses, one, "left").groupBy(*by).agg(F.avg("p").alias("precision"), F.avg(F.coalesce("r", F.lit(0.0))).alias("recall"))
+    told = F.raise_error(F.lit("events overlap, have no length or leave the span of their series")).cast("double")
+    measured = measured.join(faults, by).withColumn("recall", F.when(F.col("wrong"), told).otherwise(F.col("recall"))).drop("wrong")
+    f1 = F.coalesce(_f1(F.col("precision"), F.col("recall")), F.lit(0.0))
+    return measured.withColumn("f1", f1).withColumn("precision", F.coalesce("precision", F.lit(float("nan"))))
 
-    return rows.groupBy("series_id").applyInPandas(one, "series_id string, precision double, recall double, f1 double")
 
+def best_affiliation_f1(df: DataFrame, steps: int = 200, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
+    """The first threshold of a grid of quantiles of the scores with the best affiliation F1: one row for each series,
+    ``series_id, threshold, precision, recall, f1``.
 
-def zones(truth: DataFrame, spans: DataFrame) -> DataFrame:
+    ``df``: ``series_id, t, label, score``, rows without gaps in ``t``.  All thresholds go through one plan: a row is
+    repeated for the thresholds that it exceeds, and predictions are told apart by series and place in the grid.  A
+    threshold that no score exceeds is left out.
+    """
+    grid = [lo + i * (hi - lo) / (steps - 1) for i in range(steps)]
+    cuts = df.groupBy("series_id").agg(F.percentile("score", F.array(*map(F.lit, grid))).alias("cuts"), F.lit(0.0).alias("lo"), F.count("*").cast("double").alias("hi"))
+    places = F.filter(F.transform("cuts", lambda c, i: F.when(F.col("score") > c, i)), lambda i: i.isNotNull())
+    hits = df.join(F.broadcast(cuts.select("series_id", "cuts")), "series_id").select("series_id", "t", F.explode(places).alias("place"))
+    pred = events_of(hits.withColumn("on", F.lit(1)), "on", ["series_id", "place"], gaps=True)
+    truth = events_of(df, "label", ["series_id"])
+    used = pred.select("series_id", "place").distinct()
+    as_double = [F.col(c).cast("double").alias(c) for c in ("start", "stop")]
+    events = pred.select("series_id", "place", F.lit("pred").alias("kind"), *as_double).unionByName(truth.join(used, "series_id").select("series_id", "place", F.lit("truth").alias("kind"), *as_double))
+    spans = cuts.join(used, "series_id").select("series_id", "place", "lo", "hi")
+    got = affiliation(events, spans, ("series_id", "place"))
+    f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8)
+    best = got.groupBy("series_id").agg(F.min_by(F.struct("place", "precision", "recall", f1.alias("f1")), F.struct((-F.nanvl(f1, F.lit(-1.0))).alias("less"), "place")).alias("b"))
+    return best.join(cuts, "series_id").select("series_id", F.get("cuts", F.col("b.place")).alias("threshold"), "b.precision", "b.recall", "b.f1")
+
+
+def evaluate(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0, affiliated: bool = False, best: bool = True, adjusted: bool = True) -> DataFrame:
+    """``auc, threshold, precision, recall, f1`` of the test scores (``series_id, t, label, score``): one row.
+
+    With ``best`` the threshold with the best F1 (point-adjusted or not, or by affiliation over a grid); else the
+    percentile of all scores that ``anomaly_ratio`` percent exceed.  By affiliation a score at the threshold is a hit,
+    else only one above it.
+    """
+    auc = roc_auc(test)
+    if best:
+        if affiliated:
+            got = best_affiliation_f1(test).drop("series_id")
+        else:
+            got = best_f1_adjusted(test, ["series_id"]) if adjusted else best_f1(test)
+        return auc.join(F.broadcast(got.select("threshold", "precision", "recall", "f1")))
+    cut = percentile_threshold(initial, test, anomaly_ratio)
+    if affiliated:
+        hit = test.withColumn("hit", (F.col("score") >= cut).cast("int"))
+        of = lambda flag, kind: events_of(hit, flag, ["series_id"]).select("series_id", F.lit(kind).alias("kind"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+        spans = test.groupBy("series_id").agg(F.lit(0.0).alias("lo"), F.count("*").cast("double").alias("hi"))
+        got = affiliation(of("hit", "pred").unionByName(of("label", "truth")), spans)
+    else:
+        flagged = test.withColumn("flag", exceeds(F.col("score"), cut))
+        if adjusted:
+            flagged = point_adjusted(flagged, ["series_id"]).withColumn("flag", F.col("adjusted"))
+        got = confusion(flagged.withColumn("score", F.col("flag").cast("double")), 0.5)
+    return auc.join(F.broadcast(got.select(F.lit(cut).alias("threshold"), "precision", "recall", "f1")))
+
+
+def zones(truth: DataFrame, spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The affiliation zone of each ground-truth event: half-way to its neighbours, outer ones to the span's ends."""
-    w = Window.partitionBy("series_id").orderBy("start")
+    by = by or ["series_id"]
+    w = Window.partitionBy(*by).orderBy("start")
     left = F.coalesce((F.lag("stop").over(w) + F.col("start")) / 2, F.col("lo"))
     right = F.coalesce((F.col("stop") + F.lead("start").over(w)) / 2, F.col("hi"))
-    return truth.join(spans, "series_id").select("series_id", "start", "stop", left.cast("double").alias("zone_lo"), right.cast("double").alias("zone_hi"))
+    return truth.join(spans, by).select(*by, "start", "stop", left.cast("double").alias("zone_lo"), right.cast("double").alias("zone_hi"))
+
 
+def in_zones(pred: DataFrame, zone: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Predicted events cut to the zones that they overlap.
 
-def in_zones(pred: DataFrame, zone: DataFrame) -> DataFrame:
-    """Predicted events cut to the zones that they overlap."""
-    p = pred.select("series_id", F.col("start").alias("p0"), F.col("stop").alias("p1"))
-    out = p.join(zone, "series_id").where("p1 > zone_lo and p0 < zone_hi")
-    return out.select("series_id", "start", "stop", F.greatest("p0", "zone_lo").cast("double").alias("part_lo"), F.least("p1", "zone_hi").cast("double").alias("part_hi"))
+    Both are put into bins of time as wide as a zone is on average, so a long series is no one group of the join: zones
+    and events of a series lie apart, so the rows are two for each zone and event or so.  A pair that shares several
+    bins counts in the first.
+    """
+    by = by or ["series_id"]
+    width = zone.groupBy(*by).agg(F.min("zone_lo").alias("__from"), ((F.max("zone_hi") - F.min("zone_lo")) / F.count("*")).alias("__width"))
+    bin_of = lambda x: F.floor((x - F.col("__from")) / F.col("__width"))
+
+    def binned(df: DataFrame, lo: str, hi: str, first: str) -> DataFrame:
+        placed = df.join(width, by).withColumn(first, bin_of(F.col(lo)))
+        return placed.withColumn("__bin", F.explode(F.sequence(F.col(first), bin_of(F.col(hi))))).drop("__from", "__width")
+
+    p = binned(pred.select(*by, F.col("start").alias("p0"), F.col("stop").alias("p1")), "p0", "p1", "__p")
+    z = binned(zone, "zone_lo", "zone_hi", "__z")
+    out = p.join(z, [*by, "__bin"]).where("p1 > zone_lo and p0 < zone_hi and __bin = greatest(__p, __z)")
+    return out.select(*by, "start", "stop", F.greatest("p0", "zone_lo").cast("double").alias("part_lo"), F.least("p1", "zone_hi").cast("double").alias("part_hi"))

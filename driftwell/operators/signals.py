@@ -6,6 +6,7 @@ Wide form: ``stream_id, stage, t`` and one double column per channel.  Long form
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -101,6 +102,10 @@ class Normaliser:
     def to_json(self) -> str:
         return json.dumps([self.channels, self.centre, self.scale])
 
+    @classmethod
+    def from_json(cls, text: str) -> Normaliser:
+        return cls(*json.loads(text))
+
 
 def standard_scaled(df: DataFrame, channels: list[str], fit_on: DataFrame) -> DataFrame:
     """Standardised with the statistics of another table: constant channels keep their scale, NaN and null become 0."""
@@ -137,6 +142,55 @@ def aligned_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = (
     return out.withColumn("window_start", F.explode(inside)).drop("__n")
 
 
+def padded_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """``aligned_windows`` with ``position`` in the window and ``padded``: a series of fewer than ``size`` rows repeats its
+    last row, marked, until its one window is full."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    last = df.withColumn("__n", n).where((F.col("__n") < size) & (F.col("t") == F.col("__n") - 1))
+    extra = last.withColumn("position", F.explode(F.sequence("__n", F.lit(size - 1).cast("long")))).drop("__n")
+    extra = extra.withColumns({"window_start": F.lit(0).cast("long"), "padded": F.lit(True)})
+    whole = aligned_windows(df, size, step, by).withColumns({"position": F.col("t") - F.col("window_start"), "padded": F.lit(False)})
+    return whole.unionByName(extra)
+
+
+def last_rows(windowed: DataFrame, size: int, step: int) -> DataFrame:
+    """Of rows with their ``position`` in a window of ``size`` rows the last ``step``."""
+    return windowed.where(F.col("position") >= size - step)
+
+
+def overlap_average(df: DataFrame, windowed: DataFrame, errors: list[str], by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """``by, t, errors, score``: the mean error of each row of ``df`` and channel over the windows that hold the row (0
+    where none does), and the mean over channels."""
+    mean = windowed.groupBy(*by, "t").agg(*[F.avg(c).alias(c) for c in errors])
+    out = df.select(*by, "t").join(mean, [*by, "t"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in errors})
+    return out.withColumn("score", S.mean_of([F.col(c) for c in errors]))
+
+
+def kl_contributions(windowed: DataFrame, pairs: dict[str, tuple[str, str]], window: list[str]) -> DataFrame:
+    """For each name -> (reconstruction, value) what a row adds to the weighted divergence of the two within its window.
+
+    Both go through a softplus and are divided by their sums over the window; a row adds ``p d ln(1 + d**2)`` with ``d``
+    the difference of their logarithms.
+    """
+    w = Window.partitionBy(*window)
+    out = {}
+    for name, columns in pairs.items():
+        p, q = (S.softplus(F.col(c)) / F.sum(S.softplus(F.col(c))).over(w) for c in columns)
+        d = F.ln(p) - F.ln(q)
+        out[name] = p * d * F.log1p(d * d)
+    return windowed.withColumns(out)
+
+
+def spectrum(windowed: DataFrame, column: str, size: int, window: list[str]) -> DataFrame:
+    """``window, frequency, re, im, power`` of a column over windows of ``size`` rows by ``position``: the discrete Fourier
+    transform at the frequencies 0 to ``size // 2``, as sums of the rows by cosines and sines."""
+    angle = 2 * math.pi / size
+    rows = windowed.select(*window, "position", F.col(column).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(size // 2))).alias("frequency"))
+    turn = ((F.col("position") * F.col("frequency")) % size) * F.lit(angle)
+    out = rows.groupBy(*window, "frequency").agg(F.sum(F.col("__x") * F.cos(turn)).alias("re"), F.sum(-F.col("__x") * F.sin(turn)).alias("im"))
+    return out.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+
+
 def trailing_buffer(df: DataFrame, channels: list[str], capacity: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """What a ring buffer holds after each row: ``buffer_rows, full`` and each channel's values, oldest first."""
     if capacity <= 0:

@@ -6,9 +6,10 @@ DataFrames.  A board is private if it has a row in ``privatecorkboard``.  Parame
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
 from ..functions.text import like_any, name_list, site, tag_list
 
 Tables = dict[str, DataFrame]
@@ -118,10 +119,28 @@ def board_page(t: Tables, board: int, viewer: str) -> DataFrame:
     return out.select(*BOARD, "name", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("private", "watched", "followed")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("watchers", "pins")])
 
 
+def pin_page(t: Tables, pin: int, viewer: str) -> DataFrame:
+    """One row: the pin, its board, owner and host, its tags and likers as texts, its number of comments, and whether
+    the viewer likes it, owns it or follows its owner."""
+    one = t["pushpin"].where(F.col("pushPinID") == pin)
+    page = one.join(t["corkboard"].select("corkBoardID", "email", "title", F.col("last_update").alias("board_update")), "corkBoardID").join(t["user"].select("email", F.col("name").alias("owner")), "email")
+    tags = t["tag"].where(F.col("pushPinID") == pin).agg(F.array_join(F.array_sort(F.collect_list("tag")), ", ").alias("tags"))
+    comments = t["comment"].where(F.col("pushPinID") == pin).agg(F.count("*").alias("comments"))
+    liked = t["likes"].where((F.col("pushPinID") == pin) & (F.col("email") == viewer)).agg((F.count("*") > 0).alias("liked"))
+    followed = t["follow"].where(F.col("email") == viewer).select(F.col("owner_email").alias("email")).distinct().withColumn("followed", F.lit(True))
+    page = page.join(followed, "email", "left")
+    for part in (tags, pin_likers(t, pin).withColumnRenamed("names", "likers"), comments, liked):
+        page = page.join(F.broadcast(part))  # one row each
+    return page.select(
+        "pushPinID", "corkBoardID", "title", "board_update", "owner", "description", "image_URL", site(F.col("image_URL")).alias("site"), "tags", "likers", "comments", "liked",
+        (F.col("email") == viewer).alias("own"), F.coalesce("followed", F.lit(False)).alias("followed"),
+    )
+
+
 def next_ids(rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """New rows numbered on from the greatest id (a batch of changes, not a table, is numbered in one task)."""
+    """New rows numbered on from the greatest id, in an order, by ranges of it."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    return rows.withColumn("__n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(top)).withColumn(key, (F.col("__top") + F.col("__n")).cast("long")).drop("__top", "__n")
+    return numbered(rows, "__n", *map(F.col, order)).join(F.broadcast(top)).withColumn(key, (F.col("__top") + F.col("__n")).cast("long")).drop("__top", "__n")
 
 
 def insert(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:

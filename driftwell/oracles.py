@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from .functions.series import ewma_memory, gaussian_kernel
 from .operators.policy import TIERS
 from .plans.observability import TRANSITIONS
-from .queries import BASELINE, CHANNELS, ME, WINDOW
+from .plans.rollout import ROLLOUTS
+from .queries import BASELINE, BOARD_SHARE, CHANNELS, ME, PIN_SHARE, WINDOW
 
 C = CHANNELS
 _each = lambda f: ", ".join(f(c) for c in C)
@@ -109,7 +112,85 @@ zn as (select stream_id as series_id, start::double as start, stop::double as st
   coalesce((lag(stop) over w + start) / 2, 0)::double as zone_lo, coalesce((stop + lead(start) over w) / 2, hi)::double as zone_hi
   from truth join span using (stream_id) window w as (partition by stream_id order by start))"""
 
+HALVES = f"""{HOURLY}, {TRUTH}, te as (select stream_id, t - {BASELINE} as t, label, score from ht where t >= {BASELINE}), ct as (select quantile_cont(score, 0.8) as cut from ht),
+rk as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from te),
+au as (select round((sum(rk) filter (where label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 6)::double as auc from rk)"""
+
+
+def _affiliated(g: str) -> str:
+    """Precision and recall by affiliation of the rows ``hits`` (group, t) against the labels of ``te``, for each group."""
+    half = lambda d0, d1: f"((({d1}) * ({d1}) - ({d0}) * ({d0})) / 2)"
+
+    def precise(d0: str, d1: str) -> str:
+        clip = lambda d: f"least({d}, near)"
+        return f"({d1} - {d0}) - ({half(clip(d0), clip(d1))} + near * (({d1} - {clip(d1)}) - ({d0} - {clip(d0)})) + {half(d0, d1)} + (e - s) * ({d1} - {d0})) / room"
+
+    def recalled(d0: str, d1: str, side: str) -> str:
+        meet = f"least(greatest(({side}) / 2, {d0}), {d1})"
+        return f"({d1} - {d0}) - ({half(d0, meet)} + {half(f'({side}) - {d1}', f'({side}) - {meet}')} + {half(d0, d1)}) / room"
+
+    return f"""hi as (select max(t) + 1 as hi from te),
+tv as (select min(t)::double as s, (max(t) + 1)::double as e from (select t, t - row_number() over (order by t) as island from te where label = 1) group by island),
+pe as (select {g}, min(t)::double as p0, (max(t) + 1)::double as p1 from (select {g}, t, t - row_number() over (partition by {g} order by t) as island from hits) group by {g}, island),
+zs as (select s, e, coalesce((lag(e) over (order by s) + s) / 2, 0)::double as lo, coalesce((e + lead(s) over (order by s)) / 2, hi)::double as hi from tv, hi),
+cut_ as (select {g}, s, e, lo, hi, greatest(p0, lo) as a, least(p1, hi) as b from zs join pe on p1 > lo and p0 < hi),
+cell as (select *, hi - lo as room, least(s - lo, hi - e) as near, greatest(s, coalesce((lag(b) over w + a) / 2, lo)) as c0, least(e, coalesce((b + lead(a) over w) / 2, hi)) as c1,
+  s - least(b, s) as l0, s - least(a, s) as l1, greatest(a, e) - e as r0, greatest(b, e) - e as r1 from cut_ window w as (partition by {g}, s order by a)),
+far as (select *, a - least(c1, a) as x0, a - least(c0, a) as x1, greatest(c0, b) - b as y0, greatest(c1, b) - b as y1 from cell),
+mass as (select {g}, s, sum(greatest(least(b, e) - greatest(a, s), 0) + {precise('l0', 'l1')} + {precise('r0', 'r1')}) / sum(b - a) as p,
+  sum(case when c0 < c1 then greatest(least(b, c1) - greatest(a, c0), 0) + {recalled('x0', 'x1', 'a - lo')} + {recalled('y0', 'y1', 'hi - b')} else 0 end) / max(e - s) as r from far group by {g}, s),
+av as (select {g}, avg(p) as precision, avg(coalesce(r, 0)) as recall from (select distinct {g} from pe) cross join zs left join mass using ({g}, s) group by {g}),
+af as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from av)"""
+
+
+PADDED = f"""sm as (select stream_id, stage, t, click, view, {', '.join(f'{_smoothed(c)} as r_{c}' for c in ('click', 'view'))}, count(*) over (partition by stream_id, stage) as n from staged window o as (partition by stream_id, stage order by t)),
+ws2 as (select distinct stream_id, stage, unnest(list_append(range(0, greatest(n - 64, 0) + 1, 50), greatest(n - 64, 0))) as window_start from sm),
+pw as (select stream_id, stage, t, window_start, t - window_start as position, false as padded, click, view, r_click, r_view from sm join ws2 using (stream_id, stage) where t >= window_start and t < window_start + 64
+  union all select stream_id, stage, t, 0 as window_start, unnest(range(n, 64)) as position, true as padded, click, view, r_click, r_view from sm where n < 64 and t = n - 1)"""
+
+
+def _causal() -> str:
+    """Ridge regression of each channel on the others and 1, by elimination on the sums of products."""
+    names = [*C, "one"]
+    n = len(names)
+    out = ", q as (select *, 1.0::double as one from zn), mo as (select " + ", ".join(f"sum({names[i]} * {names[j]}) as m{min(i, j)}_{max(i, j)}" for i in range(n) for j in range(i, n)) + " from q where stage = -1)"
+    m = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
+    size = n - 1
+    for t in range(size):
+        rest = [i for i in range(n) if i != t]
+        out += f", e{t}_0 as (select " + ", ".join([f"{m(rest[p], rest[k])}{' + 0.01' if p == k else ''} as a{p}_{k}" for p in range(size) for k in range(size)] + [f"{m(rest[p], t)} as b{p}" for p in range(size)]) + " from mo)"
+        for s in range(size):
+            cells = [f"a{p}_{k}" if p == s else f"a{p}_{k} - a{p}_{s} / a{s}_{s} * a{s}_{k}" for p in range(size) for k in range(size)]
+            ends = [f"b{p}" if p == s else f"b{p} - a{p}_{s} / a{s}_{s} * b{s}" for p in range(size)]
+            labels = [f"a{p}_{k}" for p in range(size) for k in range(size)] + [f"b{p}" for p in range(size)]
+            out += f", e{t}_{s + 1} as (select " + ", ".join(f"{x} as {y}" for x, y in zip(cells + ends, labels, strict=True)) + f" from e{t}_{s})"
+        v = {rest[p]: f"(-b{p} / a{p}_{p})" for p in range(size)} | {t: "1.0::double"}
+        out += f", v{t} as (select " + ", ".join(f"{v[i]} as v{i}" for i in range(n)) + f" from e{t}_{size})"
+        mean = " + ".join(f"v{i} * {m(i, n - 1)}" for i in range(n))
+        square = " + ".join(f"v{i} * v{j} * {m(i, j)}" for i in range(n) for j in range(n))
+        out += f", f{t} as (select " + ", ".join(f"v{i} as v{t}_{i}" for i in range(n)) + f", sqrt(greatest(({square}) / {m(n - 1, n - 1)} - power(({mean}) / {m(n - 1, n - 1)}, 2), 0)) + 1e-8 as s{t} from v{t}, mo)"
+    residual = lambda t: "power((" + " + ".join(f"v{t}_{i} * {names[i]}" for i in range(n)) + f") / s{t}, 2)"
+    return out + f" select stream_id, stage, t, round(sqrt(({' + '.join(residual(t) for t in range(size))}) / {size}), 6) as score from q, " + ", ".join(f"f{t}" for t in range(size)) + " where stage >= 0"
+
+
+def _stage_events() -> str:
+    """The events of the stages of a canary rollout over decisions ``dc``, by stage and place."""
+    names = ROLLOUTS.create("canary").stages()
+    always = [("state_changed", "case when stage = 0 then 'canary' else 'ramping' end"), ("stage_entered", "null"), ("signal_observed", "null"), ("gate_evaluated", "null")]
+    ends = {"promote": [("promoted", "null")], "rollback": [("rollback_triggered", "null"), ("state_changed", "'rolling_back'"), ("state_changed", "'rolled_back'"), ("rollback_completed", "null")]}
+    rows = [f"select stage, {i} as place, '{kind}' as kind, {state} as state from dc" for i, (kind, state) in enumerate(always)]
+    rows += [f"select stage, {len(always) + i} as place, '{kind}' as kind, {state} as state from dc where action = '{action}'" for action, more in ends.items() for i, (kind, state) in enumerate(more)]
+    place = ", ".join(f"({s.index}, '{s.name}')" for s in names)
+    return f""", st2 as (select * from (values {place}) v(stage, stage_name)), ds as (select r.*, st2.stage as place_ from st2, res r where r.stage = least(st2.stage, (select max(stage) from res))),
+de as (select place_ as stage, {_action('standard')} as action from ds),
+dc as (select stage, action from (select *, coalesce(max((action <> 'promote')::int) over (order by stage rows between unbounded preceding and 1 preceding), 0) as past from de) where past = 0),
+ev2 as (select stage, stage_name, place, kind, state from ({' union all '.join(rows)}) join st2 using (stage))"""
+
+
+EVENTS = _stage_events()
+
 _mail = lambda e: f"'u' || ({e}) || '@example.org'"
+_user = "user_id % (select count(*) from customer)"
 BOARDS = f"""usr as (select c_custkey as userID, {_mail('c_custkey')} as email, c_name as name from customer),
 board as (select o_orderkey as corkBoardID, {_mail('o_custkey')} as email, o_orderpriority as cat_name, 'Board ' || o_orderkey as title,
   case when o_orderstatus <> 'P' then o_orderdate end as last_update from orders),
@@ -119,10 +200,10 @@ pin as (select l_orderkey * 10 + l_linenumber as pushPinID, l_orderkey as corkBo
   case when l_partkey % 3 = 0 then 'http://' else 'https://' end || 'site' || (l_suppkey % 7) || '.example/img/' || l_partkey as image_URL,
   'Pin by ' || l_returnflag || l_linestatus as description, l_shipdate as pinned_time from lineitem),
 tg as (select l_orderkey * 10 + l_linenumber as pushPinID, p_brand as tag from lineitem join part on l_partkey = p_partkey),
-fol as (select distinct {_mail('user_id % 150 + 1')} as email, {_mail('(user_id * 7 + event_id) % 150 + 1')} as owner_email from events where event_type = 'signup'),
-lik as (select {_mail('user_id % 150 + 1')} as email, (event_id % 40 + 1) * 10 + 1 as pushPinID from events where event_type = 'click'),
-wat as (select {_mail('user_id % 150 + 1')} as email, event_id % 400 + 1 as corkBoardID from events where event_type = 'purchase'),
-com as (select event_id as commentID, {_mail('user_id % 150 + 1')} as email, ts as added_time, props as content, (event_id % 40 + 1) * 10 + 1 as pushPinID from events where event_type = 'error')"""
+fol as (select min(event_id) as followID, {_mail(_user)} as email, {_mail('(user_id * 7 + event_id) % (select count(*) from customer)')} as owner_email from events where event_type = 'signup' group by 2, 3),
+lik as (select event_id as LikesID, {_mail(_user)} as email, (event_id % (select greatest(count(*) // {PIN_SHARE}, 1) from orders) + 1) * 10 + 1 as pushPinID from events where event_type = 'click'),
+wat as (select event_id as WatchID, {_mail(_user)} as email, event_id % (select greatest(count(*) // {BOARD_SHARE}, 1) from orders) + 1 as corkBoardID from events where event_type = 'purchase'),
+com as (select event_id as commentID, {_mail(_user)} as email, ts as added_time, props as content, (event_id % (select greatest(count(*) // {PIN_SHARE}, 1) from orders) + 1) * 10 + 1 as pushPinID from events where event_type = 'error')"""
 
 
 def _search(term: str) -> str:
@@ -187,13 +268,38 @@ select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall,
     "roc_auc": f"with {LABELLED}, r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from lb) select round((sum(rk) filter (where label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 6)::double as auc from r",
     "point_adjust": f"with {HOURLY}, {TRUTH} select stream_id, t, case when label = 1 and t > 0 then max(flag::int) over (partition by stream_id, label, island) = 1 else flag end as adjusted from (select *, row_number() over (partition by stream_id order by t) - row_number() over (partition by stream_id, label order by t) as island from ht)",
     "best_f1_adjusted": f"with {HOURLY}, {TRUTH}, pa as (select label, case when label = 1 then max(score) over (partition by stream_id, label, island) else score end as score from (select *, row_number() over (partition by stream_id order by t) - row_number() over (partition by stream_id, label order by t) as island from ht)) " + _best("pa"),
+    "eval_accuracy": f"with {LABELLED}, k as (select count(*) filter (where score > 2 and label = 1) as tp, count(*) filter (where score > 2 and label <> 1) as fp, count(*) filter (where not score > 2 and label = 1) as fn, count(*) filter (where not score > 2 and label <> 1) as tn from lb), p as (select *, case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn)::double else 0 end as recall from k) select tp, fp, fn, tn, {PRF}, round((tp + tn) / (tp + fp + fn + tn)::double, 6) as accuracy from p",
+    "macro_average": f"with {HOURLY}, {TRUTH}, k as (select floor(t / 24.0) as day, count(*) filter (where flag and label = 1) as tp, count(*) filter (where flag and label <> 1) as fp, count(*) filter (where not flag and label = 1) as fn from ht group by 1), p as (select case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn)::double else 0 end as recall from k), f as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from p) select count(*) as runs, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(f1), 6) as f1 from f",
+    "evaluate_percentile": f"""with {HALVES}, fl as (select *, score > cut as hit from te, ct),
+pa as (select label, case when label = 1 and t > 0 then max(hit::int) over (partition by label, island) = 1 else hit end as flag from (select *, row_number() over (order by t) - row_number() over (partition by label order by t) as island from fl)),
+k as (select count(*) filter (where flag and label = 1) as tp, count(*) filter (where flag and label <> 1) as fp, count(*) filter (where not flag and label = 1) as fn from pa),
+p as (select case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn)::double else 0 end as recall from k)
+select auc, round(cut, 6) as threshold, {PRF} from p, ct, au""",
+    "evaluate_best": f"""with {HALVES}, pa as (select label, case when label = 1 then max(score) over (partition by label, island) else score end as score from (select *, row_number() over (order by t) - row_number() over (partition by label order by t) as island from te)),
+b as ({_best('pa')}) select auc, threshold, precision, recall, f1 from b, au""",
+    "evaluate_affiliated": f"""with {HALVES}, g as (select 0 as g), hits as (select 0 as g, t from te, ct where score >= cut), {_affiliated('g')}
+select auc, round(cut, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from af, ct, au""",
+    "best_affiliation": f"""with {HALVES}, g as (select i as g, quantile_cont(score, [{', '.join(repr(0.001 + i * 0.998 / 24) for i in range(25))}])[i + 1] as cut from te, range(25) r(i) group by i),
+hits as (select g, t from te, g where score > cut), {_affiliated('g')}, be as (select g, cut, precision, recall, 2 * precision * recall / (precision + recall + 1e-8) as f1 from af join g using (g))
+select 'events' as series_id, round(cut, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from be order by be.f1 desc, g limit 1""",
+    "affiliation_pr": f"""with {HOURLY}, {TRUTH}, te as (select * from ht), g as (select 0 as g), hits as (select 0 as g, t from ht where flag), {_affiliated('g')}
+select 'events' as series_id, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from af""",
+    "padded_windows": f"with {HOURLY}, {PADDED} select stream_id, stage, window_start, padded, count(*) as n, sum(position)::bigint as positions, round(sum(view), 6) as view from pw group by all",
+    "last_rows": f"with {HOURLY}, {PADDED} select stream_id, stage, window_start, position, t, click from pw where position >= 48",
+    "kl_contributions": f"with {HOURLY}, {PADDED}, sp2 as (select *, {', '.join(f'greatest({c}, 0) + ln(1 + exp(-abs({c}))) as p_{c}' for c in ('click', 'view', 'r_click', 'r_view'))} from pw), df as (select *, {', '.join(f'p_r_{c} / sum(p_r_{c}) over w as p{c}, ln(p_r_{c} / sum(p_r_{c}) over w) - ln(p_{c} / sum(p_{c}) over w) as d{c}' for c in ('click', 'view'))} from sp2 window w as (partition by stream_id, stage, window_start)) "
+    + "select stream_id, stage, window_start, position, " + ", ".join(f"round(p{c} * d{c} * ln(1 + d{c} * d{c}), 6) + 0.0 as {c}" for c in ("click", "view")) + " from df",
+    "overlap_average": f"with {HOURLY}, {PADDED}, er as (select stream_id, stage, t, avg(power(click - r_click, 2) * (position + 1)) as e_click, avg(power(view - r_view, 2) * (position + 1)) as e_view from pw where not padded group by 1, 2, 3) select stream_id, stage, t, round(coalesce(e_click, 0), 6) as e_click, round(coalesce(e_view, 0), 6) as e_view, round((coalesce(e_click, 0) + coalesce(e_view, 0)) / 2, 6) as score from staged left join er using (stream_id, stage, t)",
+    "spectrum": f"with {HOURLY}, {PADDED}, tr as (select stream_id, stage, window_start, k::int as frequency, click, ((position * k) % 64) * {2 * math.pi / 64!r}::double as turn from pw, range(33) r(k)), su as (select stream_id, stage, window_start, frequency, sum(click * cos(turn)) as re, sum(-click * sin(turn)) as im from tr group by 1, 2, 3, 4) select stream_id, stage, window_start, frequency, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im, round(re * re + im * im, 4) + 0.0 as power from su",
+    "causal_scores": _with() + _causal(),
     "events_from_vector": f"with {HOURLY}, {TRUTH}, {_events('label', 'truth')} select stream_id, start, stop from truth",
     "detection_delay": f"with {HOURLY}, {TRUTH}, d as (select *, floor(t / 24.0)::bigint as day from ht), f as (select stream_id, day, min(t) filter (where label = 1) as first from d group by all), h as (select d.stream_id, d.day, min(t) as hit from d join f using (stream_id, day) where flag and t >= first group by all) select stream_id, day, hit - first as delay from f left join h using (stream_id, day)",
     "affiliation_zones": f"with {ZONES} select * from zn",
     "affiliation_parts": f"with {ZONES} select series_id, zn.start as start, zn.stop as stop, greatest(pred.start, zone_lo)::double as part_lo, least(pred.stop, zone_hi)::double as part_hi from zn join pred on pred.stream_id = series_id and pred.stop > zone_lo and pred.start < zone_hi",
     "metrics_rollup": "with f as (select event_type as name, case when event_type in ('click', 'view') then 'counter' when event_type = 'error' then 'gauge' else 'series' end as kind, event_id as seq, value from events) select name, kind, count(*) as n, round(sum(value), 6) as total, round(case when kind = 'gauge' then arg_max(value, seq) when kind = 'counter' then sum(value) else avg(value) end, 6) as value from f group by name, kind",
-    "state_audit_roles": "select conv_id, turn, role, before from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as before from conversations) where before is not null and before || '>' || role not in ('system>user', 'user>assistant', 'assistant>user')",
-    "state_transitions": "select * from (values " + ", ".join(f"('{a}', '{b}')" for a, to in TRANSITIONS.items() for b in sorted(to)) + ") v(state, next)",
+    "state_audit_roles": "select conv_id, turn, role, before from (select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as before from conversations) where before is not null and before || '>' || role not in ('system>user', 'user>assistant')",
+    "deployment_events": _with("faulty", FLAGGED) + f"{EVENTS} select * from ev2",
+    "state_transitions": _with("faulty", FLAGGED) + f"{EVENTS}, lg as (select (stage * 100 + place)::bigint as seq, lag(state) over (order by stage, place) as before, state from ev2 where state is not null) select *, before is null or before || '>' || state in ("
+    + ", ".join(f"'{a}>{b}'" for a, to in TRANSITIONS.items() for b in sorted(to)) + ") as may from lg",
     "popular_tags": f"with {BOARDS} select tag, count(pushPinID) as pins, count(distinct corkBoardID) as boards from tg join pin using (pushPinID) group by tag order by pins desc, tag limit 5",
     "popular_sites": f"with {BOARDS} select split_part(replace(replace(image_URL, 'https://', ''), 'http://', ''), '/', 1) as site, count(*) as pins from pin group by 1 order by pins desc, site limit 4",
     "page_sites": "select split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1) as site, count(page_id) as pages from pages group by 1 order by pages desc, site limit 4",
@@ -217,15 +323,26 @@ select {_B}, password, name from fd join usr using (email) order by last_update
   exists (select 1 from wat w where w.corkBoardID = b.corkBoardID and w.email = '{ME}') as watched, exists (select 1 from fol f where f.owner_email = b.email and f.email = '{ME}') as followed,
   (select count(*) from wat w where w.corkBoardID = b.corkBoardID) as watchers, (select count(*) from pin p where p.corkBoardID = b.corkBoardID) as pins
 from board b join usr using (email) where corkBoardID = 5""",
-    "private_anti_join": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
-    "likes_toggle": f"with {BOARDS}, ch as (select distinct email, (corkBoardID % 40 + 1) * 10 + 1 as pushPinID from wat), l as (select distinct email, pushPinID from lik) (select * from l except select * from ch) union all (select * from ch except select * from l)",
-    "follow_if_absent": None,
-    "touch_boards": f"with {BOARDS} select corkBoardID in (select corkBoardID from wat) or coalesce(last_update = timestamp '2024-06-01', false) as touched, count(*) as n from board group by 1",
+    "private_anti_join": f"with {BOARDS} select corkBoardID, title from board where corkBoardID not in (select corkBoardID from priv)",
+    "likes_toggle": f"""with {BOARDS}, ch as (select email, (WatchID % 40 + 1) * 10 + 1 as pushPinID from wat union select email, pushPinID from lik where LikesID % 3 = 0),
+nw as (select email, pushPinID from ch except select email, pushPinID from lik)
+select LikesID, email, pushPinID from lik where (email, pushPinID) not in (select (email, pushPinID) from ch)
+union all select (select max(LikesID) from lik) + row_number() over (order by email, pushPinID), email, pushPinID from nw""",
+    "follow_if_absent": f"""with {BOARDS}, nw as (select email, {_mail('corkBoardID % 150')} as owner_email from wat except select email, owner_email from fol)
+select followID, email, owner_email from fol union all select (select max(followID) from fol) + row_number() over (order by email, owner_email), email, owner_email from nw""",
+    "comment_insert": f"with {BOARDS} select (select max(commentID) from com) + row_number() over (order by 'like ' || LikesID) as commentID, email, 'like ' || LikesID as content, pushPinID from lik where LikesID % 50 = 0",
+    "pin_page": f"""with {BOARDS}, l as (select list_sort(list(name)) as n from lik join usr using (email) where pushPinID = 71)
+select pushPinID, corkBoardID, title, last_update as board_update, name as owner, description, image_URL, split_part(replace(replace(image_URL, 'https://', ''), 'http://', ''), '/', 1) as site,
+  (select string_agg(tag, ', ' order by tag) from tg where pushPinID = 71) as tags,
+  (select case when len(n) = 0 or n is null then '' when len(n) = 1 then n[1] else array_to_string(n[1:len(n) - 1], ', ') || ' and ' || n[len(n)] end from l) as likers,
+  (select count(*) from com where pushPinID = 71) as comments, exists (select 1 from lik where pushPinID = 71 and email = '{ME}') as liked,
+  email = '{ME}' as own, exists (select 1 from fol where fol.email = '{ME}' and owner_email = b.email) as followed
+from pin join board b using (corkBoardID) join usr using (email) where pushPinID = 71""",
+    "touch_boards": f"with {BOARDS} select corkBoardID, corkBoardID in (select corkBoardID from wat) or coalesce(last_update = timestamp '2024-06-01', false) as touched from board",
     "register_check": f"with {BOARDS} select {_mail('s_suppkey * 20')} as email, s_name as name, {_mail('s_suppkey * 20')} in (select email from usr) as email_taken, s_name in (select name from usr) as name_taken from supplier",
     "tag_explode": "select doc_id, count(*) as tags, min(tag) as first from (select doc_id, unnest(string_split(text, ',')) as tag from documents) where tag <> '' and length(tag) <= 20 group by doc_id",
     "names_by_region": "with n as (select n_regionkey as region, list_sort(list(n_name)) as n from nation group by 1) select region, case when len(n) = 1 then n[1] else array_to_string(n[1:len(n) - 1], ', ') || ' and ' || n[len(n)] end as names from n",
-    "natural_order": "select 'machine-' || s_suppkey as file, row_number() over (order by s_suppkey) as place from supplier",
+    "natural_order": "select 'machine-' || s_suppkey % 13 || '-' || s_suppkey as file, row_number() over (order by s_suppkey % 13, s_suppkey) as place from supplier",
     "percent_format": "select l_returnflag, round_even(avg((l_linestatus = 'F')::int) * 100, 0)::bigint || '%' as share from lineitem group by l_returnflag",
     "union_entities": "select nation, count(*) as n from (select c_name as name, c_nationkey as nation from customer union all select s_name, s_nationkey from supplier) group by nation",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

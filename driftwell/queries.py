@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import series as S
+from .functions.order import numbered
 from .functions.text import name_list, natural_key, percent, site, tag_list, time_features
 from .operators import attribution, events_eval as E, policy, signals, social
 from .operators.detectors import DETECTORS, longest_runs, summarise
 from .operators.signals import KEYS, Normaliser
 from .operators.thresholds import THRESHOLDS, fuse, robust_scaled
+from .plans.deployment import told
 from .plans.observability import TRANSITIONS, metric_rollup, state_audit
+from .plans.rollout import ROLLOUTS
 from .session import workers_find_package
 from .sources.synthetic import inject_drift, inject_regression, inject_spike
 
@@ -115,6 +118,42 @@ def aligned_windows(spark, sf):
     return signals.aligned_windows(hourly(spark, sf), 64, 50).groupBy("stream_id", "window_start").agg(F.count("*").alias("n"), F.sum("view").alias("view"))
 
 
+def _windowed(spark, sf) -> DataFrame:
+    """Windows of 64 rows, every 50, over the stages, whose 48 rows are padded; errors of a smoothed form."""
+    df = staged(spark, sf)
+    w = S.ordered(KEYS)
+    smooth = {f"r_{c}": S.smooth(F.col(c), 1.0, w) for c in ("click", "view")}
+    return signals.padded_windows(df.withColumns(smooth), 64, 50, tuple(KEYS)).select(*KEYS, "t", "window_start", "position", "padded", "click", "view", "r_click", "r_view")
+
+
+@query
+def padded_windows(spark, sf):
+    return rounded(_windowed(spark, sf).groupBy(*KEYS, "window_start", "padded").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.sum("view").alias("view")))
+
+
+@query
+def last_rows(spark, sf):
+    return signals.last_rows(_windowed(spark, sf), 64, 16).select(*KEYS, "window_start", "position", "t", "click")
+
+
+@query
+def kl_contributions(spark, sf):
+    out = signals.kl_contributions(_windowed(spark, sf), {"click": ("r_click", "click"), "view": ("r_view", "view")}, [*KEYS, "window_start"])
+    return rounded(out.select(*KEYS, "window_start", "position", "click", "view"))
+
+
+@query
+def overlap_average(spark, sf):
+    rows = _windowed(spark, sf).where("not padded")
+    error = {f"e_{c}": (F.col(c) - F.col(f"r_{c}")) * (F.col(c) - F.col(f"r_{c}")) * (F.col("position") + 1) for c in ("click", "view")}
+    return rounded(signals.overlap_average(staged(spark, sf), rows.withColumns(error), ["e_click", "e_view"], tuple(KEYS)))
+
+
+@query
+def spectrum(spark, sf):
+    return rounded(signals.spectrum(_windowed(spark, sf), "click", 64, [*KEYS, "window_start"]), 4)
+
+
 @query
 def stream_buffer(spark, sf):
     b = signals.trailing_buffer(hourly(spark, sf), CHANNELS, 24)
@@ -130,8 +169,6 @@ def gaussian_smooth(spark, sf):
 
 @query
 def detrended(spark, sf):
-    from pyspark.sql import Window
-
     w, whole = S.ordered(KEYS), Window.partitionBy(*KEYS)
     df = staged(spark, sf).where("stage >= 0")
     return rounded(df.select(*KEYS, "t", S.detrend(F.col("click"), 5, w, whole).alias("by_five"), S.detrend(F.col("click"), 4, w, whole).alias("by_four"), S.detrend(F.col("click"), 1, w, whole).alias("by_mean")))
@@ -359,6 +396,44 @@ def affiliation_parts(spark, sf):
     return E.in_zones(pred, E.zones(truth, spans))
 
 
+@query
+def eval_accuracy(spark, sf):
+    return rounded(E.accuracy(labelled(spark, sf), 2.0))
+
+
+@query
+def macro_average(spark, sf):
+    """Means over days of the hourly flags' measures."""
+    days = hourly_truth(spark, sf).withColumns({"day": F.floor(F.col("t") / 24), "score": F.col("flag").cast("double")})
+    return rounded(E.macro_average(E.confusion(days, 0.5, ["day"]), ["precision", "recall", "f1"]))
+
+
+def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The hours with labels, the first 480 as initial scores, the others as test."""
+    df = hourly_truth(spark, sf).select(F.col("stream_id").alias("series_id"), "t", "label", F.col("score").cast("double").alias("score"))
+    return df.where(F.col("t") < BASELINE), df.where(F.col("t") >= BASELINE).withColumn("t", F.col("t") - BASELINE)
+
+
+@query
+def evaluate_percentile(spark, sf):
+    return rounded(E.evaluate(*_halves(spark, sf), anomaly_ratio=20.0, best=False))
+
+
+@query
+def evaluate_best(spark, sf):
+    return rounded(E.evaluate(*_halves(spark, sf)))
+
+
+@query
+def evaluate_affiliated(spark, sf):
+    return rounded(E.evaluate(*_halves(spark, sf), anomaly_ratio=20.0, best=False, affiliated=True))
+
+
+@query
+def best_affiliation(spark, sf):
+    return rounded(E.best_affiliation_f1(_halves(spark, sf)[1], steps=25))
+
+
 @query
 def affiliation_pr(spark, sf):
     pred, truth, spans = _event_sets(spark, sf)
@@ -377,20 +452,39 @@ def metrics_rollup(spark, sf):
 
 @query
 def state_audit_roles(spark, sf):
-    allowed = {"system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
+    """Turns after an answer, where a conversation should end with its first."""
+    allowed = {"system": {"user"}, "user": {"assistant"}}
     log = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     return state_audit(log, ["conv_id"], "turn", "role", allowed)
 
 
+@query
+def deployment_events(spark, sf):
+    """Kinds of the events of a canary rollout over the windows, with the states, in their order."""
+    decided = policy.RiskAwarePolicy().evaluate(summarise(flagged(spark, sf, faults=True), CHANNELS))
+    rows = told(decided, ROLLOUTS.create("canary").stages(), "baseline-safe")
+    events = rows.select("stage", "stage_name", F.posexplode("events").alias("place", "e"))
+    return events.select("stage", "stage_name", "place", "e.kind", F.get_json_object("e.payload", "$.state").alias("state"))
+
+
 @query
 def state_transitions(spark, sf):
-    rows = [(a, b) for a, to in TRANSITIONS.items() for b in sorted(to)]
-    return spark.createDataFrame(rows, "state string, next string")
+    """The states that the rollout goes through, with the state before, and whether it may follow."""
+    rows = deployment_events(spark, sf).where("state is not null")
+    log = rows.select(F.lit("events").alias("stream_id"), (F.col("stage") * 100 + F.col("place")).cast("long").alias("seq"), "state")
+    wrong = state_audit(log, ["stream_id"], "seq", "state", TRANSITIONS).select("seq", F.lit(False).alias("may"))
+    before = F.lag("state").over(Window.partitionBy("stream_id").orderBy("seq"))
+    return log.withColumn("before", before).join(wrong, "seq", "left").select("seq", "before", "state", F.coalesce("may", F.lit(True)).alias("may"))
 
 
 # --- social ------------------------------------------------------------------------------------------------------
 
 
+ME = "u1@example.org"
+#: One board in so many has pins that are liked or commented on, one in so many is watched.
+PIN_SHARE, BOARD_SHARE = 37, 4
+
+
 def board_tables(spark: SparkSession, sf: str) -> social.Tables:
     """The ten tables of the pin-board application, made from the driver's tables."""
     customer, orders, lineitem, part, nation, events = (table(spark, sf, n) for n in ("customer", "orders", "lineitem", "part", "nation", "events"))
@@ -404,16 +498,17 @@ def board_tables(spark: SparkSession, sf: str) -> social.Tables:
     pins = lineitem.select(pin_id.alias("pushPinID"), F.col("l_orderkey").alias("corkBoardID"), url.alias("image_URL"), F.concat(F.lit("Pin by "), F.col("l_returnflag"), F.col("l_linestatus")).alias("description"), F.col("l_shipdate").alias("pinned_time"))
     tags = lineitem.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(pin_id.alias("tagID"), pin_id.alias("pushPinID"), F.col("p_brand").alias("tag"))
     a, b = F.col("event_id"), F.col("user_id")
-    n = F.lit(150)
-    follow = events.where("event_type = 'signup'").select(a.alias("followID"), mail(b % n + 1).alias("email"), mail((b * 7 + a) % n + 1).alias("owner_email")).dropDuplicates(["email", "owner_email"])
-    likes = events.where("event_type = 'click'").select(a.alias("LikesID"), mail(b % n + 1).alias("email"), ((a % 40 + 1) * 10 + 1).alias("pushPinID"))
-    watch = events.where("event_type = 'purchase'").select(a.alias("WatchID"), mail(b % n + 1).alias("email"), (a % 400 + 1).alias("corkBoardID"))
-    comment = events.where("event_type = 'error'").select(a.alias("commentID"), mail(b % n + 1).alias("email"), F.col("ts").alias("added_time"), F.col("props").alias("content"), ((a % 40 + 1) * 10 + 1).alias("pushPinID"))
+    n, many = F.lit(customer.count()), orders.count()  # all users take part, and boards and pins that grow with the table
+    liked = (a % max(1, many // PIN_SHARE) + 1) * 10 + 1
+    user = mail(b % n).alias("email")
+    follow = events.where("event_type = 'signup'").select(a.alias("followID"), user, mail((b * 7 + a) % n).alias("owner_email")).groupBy("email", "owner_email").agg(F.min("followID").alias("followID"))
+    likes = events.where("event_type = 'click'").select(a.alias("LikesID"), user, liked.alias("pushPinID"))
+    watch = events.where("event_type = 'purchase'").select(a.alias("WatchID"), user, (a % max(1, many // BOARD_SHARE) + 1).alias("corkBoardID"))
+    comment = events.where("event_type = 'error'").select(a.alias("commentID"), user, F.col("ts").alias("added_time"), F.col("props").alias("content"), liked.alias("pushPinID"))
     category = orders.select(F.col("o_orderpriority").alias("cat_name")).distinct()
     return {"user": users, "corkboard": board, "privatecorkboard": private, "pushpin": pins, "tag": tags, "follow": follow, "likes": likes, "watch": watch, "comment": comment, "category": category, "nation": nation}
 
 
-ME = "u1@example.org"
 
 
 @query
@@ -471,22 +566,35 @@ def board_page(spark, sf):
     return social.board_page(board_tables(spark, sf), 5, ME)
 
 
+@query
+def pin_page(spark, sf):
+    return social.pin_page(board_tables(spark, sf), 71, ME)
+
+
+@query
+def comment_insert(spark, sf):
+    """Comments on pins that are liked, numbered on from the last."""
+    t = board_tables(spark, sf)
+    new = t["likes"].where("LikesID % 50 = 0").select("email", "pushPinID", F.lit(None).cast(dict(t["comment"].dtypes)["added_time"]).alias("added_time"), F.concat(F.lit("like "), F.col("LikesID").cast("string")).alias("content"))
+    return social.insert(t["comment"], new, "commentID", ["content"]).where("content like 'like %'").select("commentID", "email", "content", "pushPinID")
+
+
 @query
 def private_anti_join(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return social.public_boards(board_tables(spark, sf)).select("corkBoardID", "title")
 
 
 @query
 def likes_toggle(spark, sf):
     t = board_tables(spark, sf)
-    changes = t["watch"].select("email", ((F.col("corkBoardID") % 40 + 1) * 10 + 1).alias("pushPinID"))
-    return social.toggle(t["likes"], changes, ["email", "pushPinID"], "LikesID").select("email", "pushPinID").distinct()
+    changes = t["watch"].select("email", ((F.col("WatchID") % 40 + 1) * 10 + 1).alias("pushPinID")).unionByName(t["likes"].where("LikesID % 3 = 0").select("email", "pushPinID"))
+    return social.toggle(t["likes"], changes, ["email", "pushPinID"], "LikesID").select("LikesID", "email", "pushPinID")
 
 
 @query
 def follow_if_absent(spark, sf):
     t = board_tables(spark, sf)
-    new = t["watch"].select("email", F.concat(F.lit("u"), (F.col("corkBoardID") % 150 + 1).cast("string"), F.lit("@example.org")).alias("owner_email"))
+    new = t["watch"].select("email", F.concat(F.lit("u"), (F.col("corkBoardID") % 150).cast("string"), F.lit("@example.org")).alias("owner_email"))
     return social.insert_absent(t["follow"], new, ["email", "owner_email"], "followID").select("followID", "email", "owner_email")
 
 
@@ -495,7 +603,7 @@ def touch_boards(spark, sf):
     t = board_tables(spark, sf)
     at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     out = social.touch_boards(t["corkboard"], t["watch"].select("corkBoardID"), at)
-    return out.groupBy(F.coalesce(F.col("last_update") == at, F.lit(False)).alias("touched")).agg(F.count("*").alias("n"))
+    return out.select("corkBoardID", F.coalesce(F.col("last_update") == at, F.lit(False)).alias("touched"))
 
 
 @query
@@ -519,10 +627,8 @@ def names_by_region(spark, sf):
 
 @query
 def natural_order(spark, sf):
-    from pyspark.sql import Window
-
-    s = table(spark, sf, "supplier").select(F.concat(F.lit("machine-"), F.col("s_suppkey").cast("string")).alias("file"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("file")))))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("machine-"), (F.col("s_suppkey") % 13).cast("string"), F.lit("-"), F.col("s_suppkey").cast("string")).alias("file"))
+    return numbered(s, "place", natural_key(F.col("file")))
 
 
 @query

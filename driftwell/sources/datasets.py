@@ -18,13 +18,18 @@ def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
 
 def csv_series(spark: SparkSession, path: str, columns: list[str], header: bool, drop_first: bool = False, skip: int = 0) -> DataFrame:
     """Rows of CSV files in file order: ``entity`` (file name), ``t`` and double columns; ``skip`` rows at the top go."""
-    names = (["__first"] if drop_first else []) + columns
+    rows = csv_lines(spark, path, (["__first"] if drop_first else []) + columns, skip + int(header))
+    return rows.select("entity", "t", *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in columns])
+
+
+def csv_lines(spark: SparkSession, path: str, columns: list[str], skip: int = 0) -> DataFrame:
+    """``entity`` (file name), ``t`` and text columns of CSV files in the order of their lines, without the ``skip`` first;
+    quoted cells may hold commas, cells are trimmed."""
     lines = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("entity"), F.monotonically_increasing_id().alias("__at"), "value")
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy("__at"))
-    lines = lines.withColumn("__rank", rank).where(F.col("__rank") > skip + int(header)).drop("__rank")
-    cells = F.split("value", ",")
-    out = lines.select("entity", "__at", *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(names)]).drop("__first")
-    return _numbered(out, ["entity"]).select("entity", "t", *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in columns])
+    lines = _numbered(lines, ["entity"]).where(F.col("t") >= skip)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    cells = F.from_csv("value", schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    return lines.select("entity", (F.col("t") - skip).alias("t"), cells.alias("__c")).select("entity", "t", "__c.*")
 
 
 def minute_clock(df: DataFrame, start: str, by: str = "entity") -> DataFrame:
@@ -40,9 +45,13 @@ def attack_clock(text: str = "Timestamp"):
     return F.to_timestamp_ntz(F.trim(F.col(text)), F.lit("d/M/yyyy h:mm:ss a"))
 
 
-def npy_series(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Matrices of ``.npy`` files: ``entity`` (file name without its ending), ``t, x``; a file is read by one task."""
+def npy_series(spark: SparkSession, path: str, width: int, chosen: DataFrame | None = None) -> DataFrame:
+    """Matrices of ``.npy`` files: ``entity`` (file name without its ending), ``t, x``; a file is read by one task.  Of
+    ``chosen`` (a table of one column) only the files that it names are read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if chosen is not None:
+        name = F.regexp_extract("path", r"([^/]*)\.npy$", 1)
+        files = files.join(F.broadcast(chosen.toDF("__name")), name == F.col("__name"), "left_semi")
 
     def run(frames):
         import numpy as np
