@@ -1,4 +1,7 @@
-"""Mixing sources to target weights by systematic sampling."""
+"""Mixing sources to target weights by systematic sampling.
+
+Sources are few: their weights and targets are worked out in one task, a row for each.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,10 @@ from .shared import written
 #: A source gives at most so many times its own size.
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
-#: Hash buckets within a source and size class: no task numbers more than one bucket's rows.
+#: Hash buckets within a source and size class.
 BUCKETS = 32
+#: Ids that may be broadcast (some 40 bytes each); beyond, rows are looked up by a shuffle.
+BROADCAST_ROWS = 500_000
 SEED = "mix-1"
 
 
@@ -59,37 +64,73 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Copies of each row in the mix: ``doc_id, size, source_size, target, copies, taken`` and the columns of ``keep``.
+def _source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s:"), source), F.lit("null"))
 
-    A row's expected copies are its source's target by its source's size.  Within a source the rows stand in a fixed
-    order, by size class, hash bucket, size and id; the running sum of expected copies plus the source's one offset
-    crosses as many integers at a row as the mix takes copies of it.  Equal expected copies make the running sum the
-    row's rank times the rate; ranks come from counts per (source, class, bucket), so a source with a third of all rows
-    is numbered by many tasks.  Null texts have size 0, null sources are one source, null ids stand first in their
-    bucket, repeated rows are numbered one by one.  An empty table gives none.
-    """
-    key = F.coalesce(F.concat(F.lit("s:"), F.col(source_col)), F.lit("null"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), key.alias("source_key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *keep)
+
+def _ranked(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``doc_id, source_key, size, source_size, target, copies`` of every row."""
+    source = F.col(source_col)
+    sized = docs.select(F.col(id_col).alias("doc_id"), _source_key(source).alias("source_key"), source.alias("source"), word_count(F.col(text_col)).alias("size"))
     bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("long") % BUCKETS
     sized = written(sized.withColumn("class", size_class(F.col("size"))).withColumn("bucket", bucket), "sizes")
     cell = ["source_key", "class", "bucket"]
-    cells = sized.groupBy(*cell).agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source_key").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n").join(source_targets(sized), "source_key")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
-    ranked = sized.withColumn("place", place).join(cells, cell).withColumn("rank", (F.col("first") + F.col("place")).cast("double"))
+    fine = sized.groupBy(*cell, "size").agg(F.count("*").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = fine.groupBy(*cell).agg(F.sum("n").alias("n"))
+    cells = cells.withColumn("first", before(Window.partitionBy("source_key").orderBy("class", "bucket"))).drop("n").join(source_targets(sized), "source_key")
+    fine = fine.withColumn("within", before(Window.partitionBy(*cell).orderBy("size"))).drop("n").join(cells, cell)
+    place = F.row_number().over(Window.partitionBy(*cell, "size").orderBy("doc_id"))
+    ranked = sized.withColumn("place", place).join(fine, [*cell, "size"])
+    ranked = ranked.withColumn("rank", (F.col("first") + F.col("within") + F.col("place")).cast("double"))
     crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    return ranked.withColumn("copies", crossed.cast("long")).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep
-    )
+    return ranked.select("doc_id", "source_key", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Copies of each row in the mix: ``doc_id, size, source_size, target, copies, taken``.
+
+    A row's expected copies are its source's target by its source's size.  Within a source the rows stand in a fixed
+    order, by size class, hash bucket, size and id; the running sum of expected copies plus the source's one offset
+    crosses as many integers at a row as the mix takes copies of it.  Equal expected copies make the running sum the
+    row's rank times the rate.  Ranks come from counts per (source, class, bucket) and per size within these, so a source
+    with a third of all rows is numbered by as many tasks as it has sizes and buckets.  Null texts have size 0, null
+    sources are one source, null ids stand first among rows of their size, repeated rows are numbered one by one.  Other
+    columns are not read.  An empty table gives none.
+    """
+    ranked = _ranked(docs, id_col, source_col, text_col)
+    return ranked.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Ids, sources and sizes alone are ranked; the rows are then looked up by id and source, through a broadcast while the
+    ids taken are few (counted first), else through a shuffle.  Rows that share id and source are told apart by their
+    size; those that share this too divide their copies evenly.
+    """
+    ranked = written(_ranked(docs, id_col, source_col, text_col).select("doc_id", "source_key", "size", "copies"), "ranked")
+    key = ["doc_id", "source_key"]
+    taken = written(ranked.groupBy(*key).agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "taken")
     rows = docs.select(F.struct("*").alias("__row"))
-    taken = sample(rows, f"__row.{id_col}", f"__row.{source_col}", f"__row.{text_col}", keep=("__row",)).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
+    rows = rows.select("__row", F.col(f"__row.{id_col}").alias("__id"), _source_key(F.col(f"__row.{source_col}")).alias("__source"))
+
+    def looked_up(rows: DataFrame, table: DataFrame) -> DataFrame:
+        few = table.count() <= BROADCAST_ROWS
+        on = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__source") == F.col("source_key"))
+        return rows.join(F.broadcast(table) if few else table.hint("shuffle_hash"), on)
+
+    out = looked_up(rows, taken.where("n = 1 and copies > 0")).select("__row", "copies")
+    several = taken.where("n > 1 and copies > 0")
+    if several.head(1):
+        shared = ranked.withColumnRenamed("copies", "c").join(several.select(F.col("doc_id").alias("d"), F.col("source_key").alias("s")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("source_key") == F.col("s")), "left_semi")
+        shared = shared.groupBy(*key, "size").agg(F.count("*").alias("n"), F.sum("c").alias("c")).withColumnsRenamed({"doc_id": "d", "source_key": "s", "size": "z"})
+        part = looked_up(rows, several.select(*key)).select("__row", *key, word_count(F.col(f"__row.{text_col}")).alias("size"))
+        number = F.row_number().over(Window.partitionBy(*key, "size").orderBy(F.crc32(F.coalesce(F.col(f"__row.{text_col}"), F.lit("")).cast("binary"))))
+        part = part.withColumn("number", number).join(shared, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("source_key") == F.col("s")) & (F.col("size") == F.col("z")))
+        copies = F.expr("c div n") + F.when(F.col("number") <= F.col("c") % F.col("n"), 1).otherwise(0)
+        out = out.unionByName(part.select("__row", copies.cast("long").alias("copies")).where("copies > 0"))
+    return out.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
 
 
 ORACLE = r"""
