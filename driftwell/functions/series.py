@@ -39,6 +39,21 @@ def smooth(x: Column, sigma: float, w: WindowSpec) -> Column:
     return out
 
 
+def framed(x: Column, radius: int, w: WindowSpec) -> Column:
+    """The rows up to ``radius`` before and after each row as a struct: their values in order, and how many are before."""
+    around = w.rowsBetween(-radius, radius)
+    return F.struct(F.collect_list(F.coalesce(x, F.lit(0.0))).over(around).alias("x"), F.least(F.row_number().over(w) - 1, F.lit(radius)).alias("before"))
+
+
+def smooth_frame(frame: Column, sigma: float, radius: int) -> Column:
+    """``smooth`` of the middle row of a frame of ``framed``, whose radius may be larger than the kernel's."""
+    kernel = gaussian_kernel(sigma) if sigma > 0 else [1.0]
+    edge = [0.0] * (radius - len(kernel) // 2)
+    weights = F.array(*[F.lit(k) for k in (*edge, *kernel, *edge)])
+    parts = F.transform(frame["x"], lambda v, i: v * F.get(weights, i - frame["before"].cast("int") + radius))
+    return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+
+
 def detrend(x: Column, size: int, w: WindowSpec, whole: WindowSpec) -> Column:
     """``x`` less the moving sum over ``size`` rows by ``size``; for a size of 1 or less, less the mean of the series."""
     if size <= 1:

@@ -202,8 +202,9 @@ class DiffusionDetector(Detector):
 
     def parts(self):
         w, steps, norms = S.ordered(KEYS), [], []
-        smoothed = {f"s{i}_{c}": S.smooth(F.col(c), sigma, w) for i, sigma in enumerate(self.steps) for c in self.channels}
-        steps.append(smoothed)
+        radius = max(len(S.gaussian_kernel(sigma)) // 2 if sigma > 0 else 0 for sigma in self.steps)
+        steps.append({f"a_{c}": S.framed(F.col(c), radius, w) for c in self.channels})  # one frame for all degrees
+        steps.append({f"s{i}_{c}": S.smooth_frame(F.col(f"a_{c}"), sigma, radius) for i, sigma in enumerate(self.steps) for c in self.channels})
         for i in range(len(self.steps)):
             centred = [F.col(f"s{i}_{c}") - float(self.mean[j]) for j, c in enumerate(self.channels)]
             parts = [linear(self.rest[j], centred) for j in range(len(self.channels))]
