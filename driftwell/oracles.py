@@ -169,8 +169,36 @@ def _causal() -> str:
         mean = " + ".join(f"v{i} * {m(i, n - 1)}" for i in range(n))
         square = " + ".join(f"v{i} * v{j} * {m(i, j)}" for i in range(n) for j in range(n))
         out += f", f{t} as (select " + ", ".join(f"v{i} as v{t}_{i}" for i in range(n)) + f", sqrt(greatest(({square}) / {m(n - 1, n - 1)} - power(({mean}) / {m(n - 1, n - 1)}, 2), 0)) + 1e-8 as s{t} from v{t}, mo)"
-    residual = lambda t: "power((" + " + ".join(f"v{t}_{i} * {names[i]}" for i in range(n)) + f") / s{t}, 2)"
-    return out + f" select stream_id, stage, t, round(sqrt(({' + '.join(residual(t) for t in range(size))}) / {size}), 6) as score from q, " + ", ".join(f"f{t}" for t in range(size)) + " where stage >= 0"
+    residual = lambda t: "(" + " + ".join(f"v{t}_{i} * {names[i]}" for i in range(n)) + f") / s{t}"
+    out += ", rs as (select stream_id, stage, t, " + ", ".join(f"{residual(t)} as r_{C[t]}" for t in range(size)) + " from q, " + ", ".join(f"f{t}" for t in range(size)) + ")"
+    return out + f", cs as (select *, sqrt(({' + '.join(f'r_{c} * r_{c}' for c in C)}) / {size}) as score from rs)"
+
+
+def _ensemble() -> str:
+    """Two detectors, each scaled within the window, fused by their mean; attributions of both, summed."""
+    past = lambda c: f"list({c}) over (partition by stream_id, stage order by t rows between {ewma_memory(0.3)} preceding and 1 preceding)"
+    fold = lambda c: f"coalesce(list_reduce(list_prepend(p_{c}[1], p_{c}), lambda p, v: v * 0.3::double + p * (1 - 0.3::double)), {c})"
+    scaled = lambda m: f"({m} - m_{m}) / (1.4826 * (d_{m} + 1e-8))"
+    w = "(partition by stream_id, stage)"
+    whole = " + ".join(f"w_{c}" for c in C)
+
+    def member(name: str, rows: str) -> str:
+        return f""", {name}_f as (select *, score > (select avg(score) + 3 * (stddev_pop(score) + 1e-8) from {rows} where stage = -1) as flag from {rows} where stage >= 0),
+{name}_w as (select stream_id, stage, {_each(lambda c: f"coalesce(avg(abs(r_{c})) filter (where flag), avg(abs(r_{c}))) as w_{c}")} from {name}_f group by 1, 2),
+{name}_a as (select stream_id, stage, {_each(lambda c: f"w_{c} / ({whole}) as {c}")} from {name}_w)"""
+
+    return f""", ew as (select stream_id, stage, t, {_each(lambda c: f"{c} as r_{c}")}, ({' + '.join(f'abs({c} - {fold(c)})' for c in C)}) / {len(C)} as score from (select *, {_each(lambda c: f"{past(c)} as p_{c}")} from zn)),
+two as (select ew.stream_id, ew.stage, ew.t, ew.score as a, cs.score as b from ew join cs using (stream_id, stage, t)),
+med as (select *, median(a) over {w} as m_a, median(b) over {w} as m_b from two), dev as (select *, median(abs(a - m_a)) over {w} as d_a, median(abs(b - m_b)) over {w} as d_b from med),
+fu as (select stream_id, stage, t, ({scaled('a')} + {scaled('b')}) / 2 as score from dev),
+th as (select avg(score) + 3 * (stddev_pop(score) + 1e-8) as threshold from fu where stage = -1), ff as (select *, score > threshold as flag from fu, th where stage >= 0),
+fi as (select *, row_number() over (partition by stream_id, stage order by t) - row_number() over (partition by stream_id, stage, flag order by t) as island from ff),
+fr as (select stream_id, stage, max(n) as run from (select stream_id, stage, island, count(*) as n from fi where flag group by all) group by all),
+fs as (select stream_id, stage, max(score) as score, max(threshold) as threshold, avg(flag::int) as anomaly_rate from ff group by 1, 2),
+fz as (select stream_id, stage, score, threshold, anomaly_rate, coalesce(run, 0) as run from fs left join fr using (stream_id, stage))
+{member('e', 'ew')}{member('k', 'cs')}
+select stream_id, stage, round(score, 6) as score, round(threshold, 6) as threshold, round(anomaly_rate, 6) as anomaly_rate, run, {_action('standard')} as action,
+  {_each(lambda c: f"round((e_a.{c} + k_a.{c}) / ({' + '.join(f'e_a.{x} + k_a.{x}' for x in C)}), 6) as {c}")} from fz join e_a using (stream_id, stage) join k_a using (stream_id, stage)"""
 
 
 def _stage_events() -> str:
@@ -234,7 +262,7 @@ ORACLE_SQL: dict[str, str] = {
     "differenced": f"with {HOURLY} select stream_id, stage, t, {_each(lambda c: f'coalesce({c} - lag({c}) over o, 0) as {c}')} from staged where stage >= 0 window o as (partition by stream_id, stage order by t)",
     "fault_injection": f"with {HOURLY} select stream_id, stage, t, round(click + case when t >= 5 and t < 9 then 4.0 else 0 end, 6) as click, round(error + case when t >= 10 then (t - 10) * 0.5 else 0 end, 6) as error, purchase, signup, round(view + case when t >= 20 then 0.8 else 0 end, 6) as view, ((t >= 5 and t < 9) or t >= 10)::int as label from staged where stage >= 0",
     "time_features_hourly": "select event_id, round(floor(extract(second from ts)) / 59.0 - 0.5, 6) as second_f, round(extract(minute from ts) / 59.0 - 0.5, 6) as minute_f, round(extract(hour from ts) / 23.0 - 0.5, 6) as hour_f, round((extract(isodow from ts) - 1) / 6.0 - 0.5, 6) as weekday_f, round(extract(day from ts) / 30.0 - 0.5, 6) as day_f, round(extract(month from ts) / 365.0 - 0.5, 6) as month_f from events",
-    "train_valid": f"with {HOURLY}, x as (select stream_id as entity, t, count(*) over () as n from hourly), y as (select *, floor(n / 2) as half from x), z as (select *, case when n > 500 and t >= half then half else 0 end as s, case when n <= 500 then n when t < half then half else n - half end as size from y) select entity, case when t - s < floor(size * 0.8::double) then 'train' else 'valid' end as split, count(*) as n, sum(t)::bigint as t_sum from z group by all",
+    "train_valid": f"with {HOURLY}, x as (select stream_id as entity, t, count(*) over () as n from hourly), y as (select *, floor(n / 2) as half from x), z as (select *, case when n > 500 and t >= half then half else 0 end as s, case when n <= 500 then n when t < half then half else n - half end as size from y) select entity, t, case when t - s < floor(size * 0.8::double) then 'train' else 'valid' end as split from z",
     "gram_matrix": f"with {HOURLY} " + " union all ".join(f"select '{a}' as a, '{b}' as b, sum({a} * {b}) as v from hourly" for i, a in enumerate(C) for b in C[i:]),
     "ewma_scores": f"with {HOURLY} " + _ewma("staged"),
     "detector_ewma": _with() + _ewma("zn"),
@@ -290,7 +318,8 @@ select 'events' as series_id, round(precision, 6) as precision, round(recall, 6)
     + "select stream_id, stage, window_start, position, " + ", ".join(f"round(p{c} * d{c} * ln(1 + d{c} * d{c}), 6) + 0.0 as {c}" for c in ("click", "view")) + " from df",
     "overlap_average": f"with {HOURLY}, {PADDED}, er as (select stream_id, stage, t, avg(power(click - r_click, 2) * (position + 1)) as e_click, avg(power(view - r_view, 2) * (position + 1)) as e_view from pw where not padded group by 1, 2, 3) select stream_id, stage, t, round(coalesce(e_click, 0), 6) as e_click, round(coalesce(e_view, 0), 6) as e_view, round((coalesce(e_click, 0) + coalesce(e_view, 0)) / 2, 6) as score from staged left join er using (stream_id, stage, t)",
     "spectrum": f"with {HOURLY}, {PADDED}, tr as (select stream_id, stage, window_start, k::int as frequency, click, ((position * k) % 64) * {2 * math.pi / 64!r}::double as turn from pw, range(33) r(k)), su as (select stream_id, stage, window_start, frequency, sum(click * cos(turn)) as re, sum(-click * sin(turn)) as im from tr group by 1, 2, 3, 4) select stream_id, stage, window_start, frequency, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im, round(re * re + im * im, 4) + 0.0 as power from su",
-    "causal_scores": _with() + _causal(),
+    "causal_scores": _with() + _causal() + " select stream_id, stage, t, round(score, 6) as score from cs where stage >= 0",
+    "ensemble_results": _with("faulty") + _causal() + _ensemble(),
     "events_from_vector": f"with {HOURLY}, {TRUTH}, {_events('label', 'truth')} select stream_id, start, stop from truth",
     "detection_delay": f"with {HOURLY}, {TRUTH}, d as (select *, floor(t / 24.0)::bigint as day from ht), f as (select stream_id, day, min(t) filter (where label = 1) as first from d group by all), h as (select d.stream_id, d.day, min(t) as hit from d join f using (stream_id, day) where flag and t >= first group by all) select stream_id, day, hit - first as delay from f left join h using (stream_id, day)",
     "affiliation_zones": f"with {ZONES} select * from zn",

@@ -196,7 +196,7 @@ def time_features_hourly(spark, sf):
 @query
 def train_valid(spark, sf):
     df = hourly(spark, sf).withColumn("entity", F.col("stream_id"))
-    return signals.train_valid_split(df, long_series=500).groupBy("entity", "split").agg(F.count("*").alias("n"), F.sum("t").alias("t_sum"))
+    return signals.train_valid_split(df, long_series=500).select("entity", "t", "split")
 
 
 @query
