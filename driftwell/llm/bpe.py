@@ -1,8 +1,11 @@
 """Byte-pair encoding of distinct pre-tokens, many at a time, with the results of the tokenizers library.
 
-Texts of ASCII characters and Latin-1 letters are cut into pre-tokens with numpy; all their distinct pre-tokens are
-merged side by side.  Texts with other characters, control characters or strings of special tokens, and pre-tokens of
-more than LONGEST bytes, go to the library itself.
+Texts in any script are cut into pre-tokens with numpy, by the kind of each character: letter, digit, blank or other.
+The kinds of characters outside ASCII are asked of the library's own pre-tokeniser, once for each character that comes
+up.  All distinct pre-tokens of a few megabytes of text are merged side by side; those of more than LONGEST bytes are
+merged by the library, one by one.  Only texts that hold the string of a special token are encoded by the library whole.
+
+Memory: a few megabytes of text are worked on at a time; a longer text is cut at blanks.
 """
 
 from __future__ import annotations
@@ -14,19 +17,20 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from .words import blocks, hashes
+from .words import blocks, distinct, hashes
 
 LONGEST = 40
+#: Bytes of text that are cut and merged at a time.
+PART_BYTES = 2 << 20
 _NONE = np.int32(1 << 30)
-_SPACE, _LETTER, _DIGIT, _OTHER, _STRANGE = 0, 1, 2, 3, 9
-_CLASS = np.full(256, _STRANGE, np.uint8)
-_CLASS[33:127] = _OTHER
-_CLASS[[*range(48, 58)]] = _DIGIT
-_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
-_CLASS[[32, *range(9, 14)]] = _SPACE
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNSEEN = 0, 1, 2, 3, 9
+_KINDS = np.full(0x110000, _UNSEEN, np.uint8)
+_KINDS[33:127] = _OTHER
+_KINDS[48:58] = _DIGIT
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[[32, *range(9, 14)]] = _SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -40,9 +44,11 @@ def _byte_signs() -> list[str]:
 
 @dataclass
 class Bpe:
-    """Merge tables of a tokenizer file, and the library's tokenizer for what the tables do not cover."""
+    """Merge tables of a tokenizer file, the kinds of characters as far as known, and the library's tokenizer."""
 
     library: object
+    kinds: np.ndarray
+    special: list[bytes]
     base: np.ndarray
     last: np.ndarray
     codes: np.ndarray
@@ -53,6 +59,19 @@ class Bpe:
     size: int
     words_only: bool
 
+    def kinds_of(self, codes: np.ndarray) -> np.ndarray:
+        """The kind of each code point.  New ones are put behind a letter, another sign and a digit: the library joins
+        those of one kind, and what joins none is a blank, or a digit where digits stand alone."""
+        new = np.unique(codes[self.kinds[codes] == _UNSEEN])
+        if len(new):
+            found = []
+            for sign in "x!1":
+                spans = {a: b for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str("".join(f"{sign}{chr(c)}\n" for c in new.tolist()))}
+                found.append((np.array([spans.get(3 * i, 0) >= 3 * i + 2 for i in range(len(new))]), np.array([3 * i + 1 in spans for i in range(len(new))])))
+            (letter, _), (other, _), (digit, alone) = found
+            self.kinds[new] = np.select([letter, other, digit | (alone & self.words_only)], [_LETTER, _OTHER, _DIGIT], _SPACE)
+        return self.kinds[codes]
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of a pair in the tables, or -1."""
         code = left.astype(np.int64) * self.size + right
@@ -152,8 +171,9 @@ def load(path: str) -> Bpe:
     code = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.int64)
     made = np.array([vocab[a + b] for a, b in merges], np.int32)
     bits = len(code).bit_length() + 2
+    special = [t["content"].encode() for t in spec.get("added_tokens") or []]
     return Bpe(
-        Tokenizer.from_file(path), np.array([vocab[s] for s in signs], np.int32), np.array([vocab[s + suffix] for s in signs], np.int32),
+        Tokenizer.from_file(path), _KINDS.copy(), special, np.array([vocab[s] for s in signs], np.int32), np.array([vocab[s + suffix] for s in signs], np.int32),
         np.append(code, -1), np.arange(len(code), dtype=np.int32), made, _open_table(code, bits), bits, size, bool(suffix),
     )
 
@@ -164,29 +184,43 @@ def _after(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def pretokens(data: np.ndarray, offsets: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of the pre-tokens, the text of each, and which texts are strange and left to the library.
-
-    ``words_only``: runs of letters, single digits and runs of other signs, blanks dropped.  Otherwise a blank before
-    such a run (digits in runs too) belongs to it, and other blanks are pre-tokens of their own.  An apostrophe that
-    begins a pre-token takes s, t, re, ve, m, ll or d after it.
+def _byte_kinds(data: np.ndarray, bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte's character, and which bytes begin a character."""
+    kind = bpe.kinds[data]
+    low = np.flatnonzero((kind == _UNSEEN) & (data < 0x80))
+    kind[low] = bpe.kinds_of(data[low].astype(np.int64))
+    heads = np.flatnonzero(data >= 0xC0)
+    if len(heads):
+        size = 2 + (data[heads] >= 0xE0) + (data[heads] >= 0xF0)
+        code = (data[heads] & (0x7F >> size)).astype(np.int64)
+        for k in (1, 2, 3):
+            more = size > k
+            code[more] = code[more] << 6 | (data[heads[more] + k] & 0x3F)
+        found = bpe.kinds_of(code)
+        for k in range(4):
+            more = size > k
+            kind[heads[more] + k] = found[more]
+    return kind, (data & 0xC0) != 0x80
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray, bpe: Bpe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the pre-tokens, and the text of each.
+
+    Words only: runs of letters, single digits and runs of other signs, blanks dropped.  Otherwise a U+0020 before such
+    a run (digits in runs too) belongs to it, and other blanks are pre-tokens of their own: a run of them up to its last
+    one, if that stands before another sign, else the whole run.  An apostrophe that begins a pre-token takes s, t, re,
+    ve, m, ll or d after it.
     """
-    n, texts = len(data), len(offsets) - 1
+    n = len(data)
     follow = _after(data)
-    kind = _CLASS[data]
-    latin = np.flatnonzero((data == 0xC3) & ((follow & 0xC0) == 0x80) & (follow != 0x97) & (follow != 0xB7))
-    kind[latin] = _LETTER
-    kind[latin + 1] = _LETTER
-    odd = np.zeros(n + 1, np.int64)
-    np.cumsum((kind == _STRANGE) | ((data == ord("<")) & (follow == ord("|"))), out=odd[1:])
-    strange = odd[offsets[1:]] > odd[offsets[:-1]]
+    kind, head = _byte_kinds(data, bpe)
     border = np.ones(n, bool)
     border[1:] = kind[1:] != kind[:-1]
     border[offsets[:-1][offsets[:-1] < n]] = True
-    if words_only:
-        border |= kind == _DIGIT
+    if bpe.words_only:
+        border |= (kind == _DIGIT) & head
     starts = np.flatnonzero(border)
-    ends = np.append(starts[1:], n)
+    ends = np.append(starts[1:], n)[: len(starts)]
     what = kind[starts]
     text = np.searchsorted(offsets, starts, "right") - 1
     chained = np.zeros(len(starts), bool)  # the next run follows in the same text
@@ -194,19 +228,21 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, words_only: bool) -> tuple[
     blank = what == _SPACE
     joins = np.zeros(len(starts), bool)
     extra: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if not words_only and len(starts):
-        joins[1:] = (blank & chained & (data[ends - 1] == 0x20))[:-1]
-        lead = blank & chained & (ends - starts > 1)
-        extra.append((starts[lead], ends[lead] - 1, text[lead]))
-        own = blank & chained & (data[ends - 1] != 0x20)
-        extra.append((ends[own] - 1, ends[own], text[own]))
+    if not bpe.words_only and len(starts):
+        last = ends - 1  # where the last character of a run begins
+        for _ in range(3):
+            last = last - ~head[last]
+        joins[1:] = (blank & chained & (data[last] == 0x20))[:-1]
+        lead = blank & chained & (last > starts)
+        extra.append((starts[lead], last[lead], text[lead]))
+        own = blank & chained & (data[last] != 0x20)
+        extra.append((last[own], ends[own], text[own]))
         tail = blank & ~chained
         extra.append((starts[tail], ends[tail], text[tail]))
     quote = np.flatnonzero((what == _OTHER) & (ends - starts == 1) & (data[starts] == ord("'")) & ~joins & chained)
     quote = quote[what[quote + 1] == _LETTER] if len(quote) else quote
     if len(quote):
-        low = data
-        c1, room = low[starts[quote + 1]], ends[quote + 1] - starts[quote + 1]
+        c1, room = data[starts[quote + 1]], ends[quote + 1] - starts[quote + 1]
         c2 = np.where(room > 1, follow[starts[quote + 1]], 0)
         one = np.isin(c1, np.frombuffer(b"stmd", np.uint8))
         two = ((c1 == ord("r")) & (c2 == ord("e"))) | ((c1 == ord("v")) & (c2 == ord("e"))) | ((c1 == ord("l")) & (c2 == ord("l")))
@@ -220,68 +256,130 @@ def pretokens(data: np.ndarray, offsets: np.ndarray, words_only: bool) -> tuple[
         starts, ends, text = (np.concatenate([x, *y]) for x, y in zip((starts, ends, text), zip(*extra, strict=True), strict=True))
         order = np.argsort(starts, kind="stable")
         starts, ends, text = starts[order], ends[order], text[order]
-    plain = ~strange[text]
-    return starts[plain], ends[plain], text[plain], strange
+    return starts, ends, text
 
 
 @dataclass
 class Pieces:
-    """Pre-tokens of a column of texts: the text and the distinct pre-token of each, and the ids of the distinct ones."""
+    """Pre-tokens of texts: the row of the first text, the text and the distinct pre-token of each pre-token, the ids of
+    the distinct ones one after another, the number of ids of each, and the texts that hold a special token."""
 
+    first: int
+    texts: int
     text: np.ndarray
     which: np.ndarray
     ids: np.ndarray
     count: np.ndarray
-    strange: np.ndarray
-
-
-def pieces(column: pa.Array, bpe: Bpe) -> Pieces:
-    """Cuts every text into pre-tokens, finds the distinct ones by hash and encodes each of these once."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-    for block in blocks(column):
-        data = block.data
-        if bpe.words_only:
-            big = np.flatnonzero((data == 0xC3) & (_after(data) >= 0x80) & (_after(data) <= 0x9E) & (_after(data) != 0x97))
-            data = _LOWER[data]
-            data[big + 1] += 0x20
-        starts, ends, text, strange = pretokens(data, block.offsets, bpe.words_only)
-        got = (starts + block.base, ends + block.base, text + block.first, strange, hashes(data, starts, ends), data)
-        for into, x in zip(parts, got, strict=True):
-            into.append(x)
-    starts, ends, text = (np.concatenate([np.zeros(0, np.int64), *x]) for x in parts[:3])
-    strange, code, data = np.concatenate([np.zeros(0, bool), *parts[3]]), np.concatenate([np.zeros(0, np.uint64), *parts[4]]), np.concatenate([np.zeros(0, np.uint8), *parts[5]])
-    which, distinct = pd.factorize(code)
-    first = np.zeros(len(distinct), np.int64)
-    first[which[::-1]] = np.arange(len(which))[::-1]
-    ids, count = bpe.merge(data, starts[first], ends[first])
-    return Pieces(text, which, ids, count, strange)
+    special: np.ndarray
+
+
+def _merged(data: np.ndarray, offsets: np.ndarray, bpe: Bpe, first: int, special: np.ndarray) -> Pieces:
+    """Cuts texts into pre-tokens, finds the distinct ones by hash and encodes each of these once."""
+    starts, ends, text = pretokens(data, offsets, bpe)
+    which, sample = distinct(hashes(data, starts, ends))
+    ids, count = bpe.merge(data, starts[sample], ends[sample])
+    return Pieces(first, len(offsets) - 1, text, which, ids, count, special)
+
+
+def _normalised(data: np.ndarray, offsets: np.ndarray, bpe: Bpe) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as the tokenizer file normalises them; the library is asked where they hold more than ASCII characters and
+    Latin-1 letters."""
+    if bpe.library.normalizer is None:
+        return data, offsets
+    follow = _after(data)
+    latin = (data == 0xC3) & ((follow & 0xC0) == 0x80) & (follow != 0x97) & (follow != 0xB7)
+    odd = data >= 0x80
+    odd[latin] = False
+    odd[1:] &= ~latin[:-1]
+    rows = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
+    big = np.flatnonzero(latin & (follow <= 0x9E))
+    data = _LOWER[data]
+    data[big + 1] += 0x20
+    if not len(rows):
+        return data, offsets
+    parts, size, at = [], np.diff(offsets), 0
+    for i in rows.tolist():
+        made = np.frombuffer(bpe.library.normalizer.normalize_str(bytes(data[offsets[i] : offsets[i + 1]]).decode()).encode(), np.uint8)
+        parts += [data[at : offsets[i]], made]
+        size[i], at = len(made), offsets[i + 1]
+    return np.concatenate([*parts, data[at:]]), np.concatenate([[0], np.cumsum(size)])
+
+
+def _cut(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a text of about PART_BYTES that end before a U+0020 after a sign that is no blank: no pre-token crosses
+    such a place."""
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + PART_BYTES)
+        while hi < len(data):
+            ahead = data[hi - 1 : hi + PART_BYTES]
+            found = np.flatnonzero((ahead[1:] == 0x20) & (ahead[:-1] > 0x20) & (ahead[:-1] < 0x7F))
+            if len(found):
+                hi += int(found[0])
+                break
+            hi = min(len(data), hi + PART_BYTES)
+        yield data[lo:hi]
+        lo = hi
+
+
+def pieces(column: pa.Array, bpe: Bpe) -> Iterator[Pieces]:
+    """The pre-tokens of a column of texts, a few megabytes at a time; parts of a long text come one after another.
+
+    Texts with the string of a special token are named and have no pre-tokens.
+    """
+    for block in blocks(column, PART_BYTES):
+        data, offsets = block.data, block.offsets
+        special = np.zeros(len(block), bool)
+        opens = {s[:2] for s in bpe.special if len(s) > 1}
+        maybe = sum(((data == o[0]) & (_after(data) == o[1]) for o in opens), np.zeros(len(data), bool))
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(maybe), "right") - 1).tolist():
+            special[i] = any(s in bytes(data[offsets[i] : offsets[i + 1]]) for s in bpe.special)
+        if special.any():
+            plain = np.repeat(~special, np.diff(offsets))
+            data, offsets = data[plain], np.concatenate([[0], np.cumsum(np.diff(offsets) * ~special)])
+        data, offsets = _normalised(data, offsets, bpe)
+        if len(block) > 1 or len(data) <= 2 * PART_BYTES:
+            yield _merged(data, offsets, bpe, block.first, special)
+        else:
+            for part in _cut(data):
+                yield _merged(part, np.array([0, len(part)]), bpe, block.first, special)
+
+
+def _by_library(column: pa.Array, rows: np.ndarray, bpe: Bpe) -> Iterator[np.ndarray]:
+    for r in rows.tolist():
+        yield np.array(bpe.library.encode(column[r].as_py(), add_special_tokens=False).ids, np.int32)
 
 
 def token_counts(column: pa.Array, bpe: Bpe) -> np.ndarray:
     """Tokens of every text: the count of each distinct pre-token, joined to the pre-tokens of the texts and summed."""
-    if not len(column):
-        return np.zeros(0, np.int64)
-    got = pieces(column, bpe)
-    out = np.bincount(got.text, weights=got.count[got.which], minlength=len(column)).astype(np.int64)
-    odd = np.flatnonzero(got.strange)
-    for i, enc in zip(odd, bpe.library.encode_batch_fast([column[int(i)].as_py() for i in odd], add_special_tokens=False), strict=True):
-        out[i] = len(enc.ids)
+    out = np.zeros(len(column), np.int64)
+    for got in pieces(column, bpe):
+        out[got.first : got.first + got.texts] += np.bincount(got.text, weights=got.count[got.which], minlength=got.texts).astype(np.int64)
+        rows = got.first + np.flatnonzero(got.special)
+        out[rows] = [len(x) for x in _by_library(column, rows, bpe)]
     return out
 
 
 def encoded(column: pa.Array, bpe: Bpe) -> Iterator[np.ndarray]:
     """The ids of every text."""
-    if not len(column):
-        return
-    got = pieces(column, bpe)
-    first = np.cumsum(got.count) - got.count
-    n = got.count[got.which]
-    stop = np.cumsum(n)
-    flat = got.ids[np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat(first[got.which], n)]
-    per_text = np.zeros(len(column) + 1, np.int64)
-    np.cumsum(np.bincount(got.text, weights=n, minlength=len(column)).astype(np.int64), out=per_text[1:])
-    for i in range(len(column)):
-        if got.strange[i]:
-            yield np.array(bpe.library.encode(column[i].as_py(), add_special_tokens=False).ids, np.int32)
-        else:
-            yield flat[per_text[i] : per_text[i + 1]]
+    held: list[np.ndarray] = []  # parts of a text that has more to come
+    row = 0
+    for got in pieces(column, bpe):
+        if held and got.first > row:
+            yield np.concatenate(held)
+            held = []
+        row = got.first
+        first = np.cumsum(got.count) - got.count
+        n = got.count[got.which]
+        stop = np.cumsum(n)
+        flat = got.ids[np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat(first[got.which], n)]
+        if got.texts == 1 and not got.special[0]:
+            held.append(flat)
+            continue
+        at = np.zeros(got.texts + 1, np.int64)
+        np.cumsum(np.bincount(got.text, weights=n, minlength=got.texts).astype(np.int64), out=at[1:])
+        whole = _by_library(column, got.first + np.flatnonzero(got.special), bpe)
+        for i in range(got.texts):
+            yield next(whole) if got.special[i] else flat[at[i] : at[i + 1]]
+    if held:
+        yield np.concatenate(held)

@@ -50,6 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each code among the distinct ones, and for each of these the place where it occurs first."""
+    _, first, which = np.unique(codes, return_index=True, return_inverse=True)
+    return which, first
+
+
 @dataclass
 class Block:
     """Texts laid end to end: bytes, the offset of each text (one more at the end), the first of the rows they come
@@ -108,8 +114,19 @@ def hash_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes ``data[start:end]`` for each pair."""
-    return hash_ranges(_TABLE[data], starts, ends)
+    """A hash of the bytes ``data[start:end]`` for each pair; pairs stand in the order of their places.
+
+    Long data are hashed a stretch at a time: a hash depends on the bytes alone, not on their place.
+    """
+    if len(data) <= CHUNK_BYTES + (1 << 16):
+        return hash_ranges(_TABLE[data], starts, ends)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, "right")))
+        lo, hi = starts[i], ends[j - 1]
+        out[i:j] = hash_ranges(_TABLE[data[lo:hi]], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
 
 
 @dataclass
