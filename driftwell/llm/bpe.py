@@ -23,7 +23,7 @@ from .words import blocks, distinct, hashes
 
 LONGEST = 40
 #: Bytes of text that are cut and merged at a time.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 _NONE = np.int32(1 << 30)
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSEEN = 0, 1, 2, 3, 9
 _KINDS = np.full(0x110000, _UNSEEN, np.uint8)

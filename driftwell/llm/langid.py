@@ -12,13 +12,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, slices, written
-from .words import hash_ranges, mix, runs
+from .words import distinct, hash_ranges, mix, runs
 
 ORDER = 4
 BEGIN, END = 1, 2
@@ -102,13 +101,15 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.9, max(0.1, one / (one + 2 * two))) if one else 0.5
 
 
-def fit(words: pd.DataFrame) -> Models:
-    """Models from ``lang, word, n`` rows: one set of sorted arrays, a column for each language in code point order.
+def fit(words) -> Models:
+    """Models from a pandas frame of ``lang, word, n`` rows: one set of sorted arrays, a column for each language in code point order.
     No rows give a model of no language."""
+    import pandas as pd  # on the driver alone: workers do without its memory
+
     models = Models(sorted(words["lang"].unique()))
     if not models.languages:
         return models
-    tables: list[list[pd.DataFrame]] = [[] for _ in range(ORDER)]
+    tables: list[list] = [[] for _ in range(ORDER)]
     for lang in models.languages:
         mine = words[words["lang"] == lang]
         text = "".join(mine["word"])
@@ -157,19 +158,15 @@ def entropies(texts: list[str | None], models: Models) -> np.ndarray:
         codes = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
         offsets = np.cumsum([0, *map(len, low)])
         starts, ends = runs(letters()[codes], offsets)
-        which, distinct = pd.factorize(hash_ranges(mix(codes.astype(np.uint64) + np.uint64(1)), starts, ends))
-        first = np.zeros(len(distinct), np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
+        which, first = distinct(hash_ranges(mix(codes.astype(np.uint64) + np.uint64(1)), starts, ends))
         windows, run = padded(codes.astype(np.int64), starts[first], ends[first])
-        kind, seen = pd.factorize(gram_hash(windows))
-        sample = np.zeros(len(seen), np.int64)
-        sample[kind[::-1]] = np.arange(len(kind))[::-1]
+        kind, sample = distinct(gram_hash(windows))
         logs = models.log_probability(windows[sample])
         text = np.searchsorted(offsets, starts, "right") - 1
         n = np.bincount(text, weights=(ends - starts + 1), minlength=hi - lo)
         some = n > 0
         for lang in range(len(models.languages)):
-            by_word = np.bincount(run, weights=logs[kind, lang], minlength=len(distinct))
+            by_word = np.bincount(run, weights=logs[kind, lang], minlength=len(first))
             total = np.bincount(text, weights=by_word[which], minlength=hi - lo)
             out[lo:hi][some, lang] = -total[some] / n[some]
         lo = hi

@@ -6,13 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
-from .words import SPACES, blocks, words_of
+from .shared import bounded_batches, slices
+from .words import SPACES, blocks, distinct, words_of
 
 #: What counts as a symbol, and the base limits.
 SYMBOLS = "#*$%&|<>"
@@ -103,7 +102,7 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         code = doc[inside].astype(np.uint64)
         for i in range(WINDOW):
             code = code * np.uint64(0x9FB21C651E98DF25) + hashes[inside + i]
-        which, seen = pd.factorize(code)
+        which, seen = distinct(code)
         again = np.zeros(len(hashes), bool)
         again[inside] = np.bincount(which, minlength=len(seen))[which] > 1
         marked = again.copy()
@@ -145,13 +144,18 @@ def measure(texts: pa.Array) -> tuple[dict[str, np.ndarray], list[str]]:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         columns, _ = measure(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns.values())], ["doc_id", *columns])
 
 
-def _run_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield from slices([batch], batch.schema.get_field_index("text"))
+
+
+def _run_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _by_text(batches):
         at = batch.schema.get_field_index("text")
         columns, texts = measure(batch.column(at))
         texts = [t if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(at).to_pylist(), strict=True)]
@@ -168,7 +172,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``kept`` is false for texts that fail the base rules (fewer than LEAST_WORDS words, or more than MOST_REPEATED
     percent of the words in windows of WINDOW words that occur twice), and for those of which more than MOST_LOST
     percent of the words stand in failing lines.  Null counts as an empty text, which fails.  Rows are judged one by one: repeated rows,
-    null ids and other columns have no effect; an empty table gives none.
+    null ids and other columns have no effect; an empty table gives none.  Texts may be of any length, in one line or many.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

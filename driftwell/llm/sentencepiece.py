@@ -4,7 +4,11 @@ The log scores are those of the model file if it is a Unigram model.  In a BPE m
 merge rank r, which is no log probability; such a piece gets ``-log(1 + r)``, the log of its share under Zipf's law but
 for a constant.  A text is cut where a blank follows another character; no piece
 crosses such a place, so the best path of a text is the best paths of its segments, one after another.  The distinct
-segments of an Arrow batch, found by hash, go through the trie side by side, and their ids are dealt back to the texts.
+segments of a few megabytes of text, found by hash, go through the trie side by side, and their ids are dealt back to
+the texts.  Segments of more than LONG bytes, such as texts without blanks, go through it alone, a window at a time.
+
+Memory: a worker takes on about SLICE_BYTES of texts at a time; a longer text is cut at its segments.  A single segment
+needs 6 bytes for each of its own beyond that.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType
 
-from .shared import bounded_batches
-from .words import blocks, hashes
+from .shared import bounded_batches, slices
+from .words import blocks, distinct, hashes
 
 #: Fixed values of the format: field numbers, piece types, the marker of a blank, the penalty of an unknown character.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -31,6 +35,10 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Cells of a Viterbi table made at a time.
 CELLS = 1 << 21
+#: Bytes from which a segment goes through the trie alone, and the bytes of one window of it.
+LONG, WINDOW = 256, 1 << 15
+#: Bytes of a text that are cut into segments at a time.
+PART_BYTES = 1 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -134,15 +142,21 @@ class Model:
     text: np.ndarray
     text_at: np.ndarray
     whole: bool
+    longest: int
 
     def viterbi(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of segments one after another, the number of ids of each, and of these the bytes that no piece covers."""
         length = ends - starts
-        width = np.where(length <= 24, length, np.ceil(1.25 ** np.ceil(np.log(np.maximum(length, 1)) / np.log(1.25) - 1e-9)).astype(np.int64))
-        width = np.maximum(width, length)
         count, fallback = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         got = []
-        order = np.argsort(width, kind="stable")
+        for i in np.flatnonzero(length > LONG):
+            ids, fallback[i] = self.path(data[starts[i] : ends[i]])
+            count[i] = len(ids)
+            got.append((np.array([i]), ids))
+        short = np.flatnonzero(length <= LONG)
+        width = np.where(length <= 24, length, np.ceil(1.25 ** np.ceil(np.log(np.maximum(length, 1)) / np.log(1.25) - 1e-9)).astype(np.int64))
+        width = np.maximum(width, length)
+        order = short[np.argsort(width[short], kind="stable")]
         at = 0
         while at < len(order):
             w = int(width[order[at]])
@@ -159,6 +173,65 @@ class Model:
             out[np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[rows], n)] = ids
         return out, count, fallback
 
+    def path(self, byte: np.ndarray) -> tuple[np.ndarray, int]:
+        """Ids of one long segment, and how many of its bytes no piece covers.
+
+        The trie is walked from all places of a window at once; the best path is then followed from place to place.  Of
+        the path only the length and the piece of the last step to each place are kept.
+        """
+        n, trie, unknown = len(byte), self.trie, self.unknown_score
+        byte = byte.astype(np.int32)
+        steps, pieces = np.zeros(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+        reach = max(self.longest, 4)
+        best: list[float] = [0.0] + [-np.inf] * (WINDOW + reach)
+        for lo in range(0, n, WINDOW):
+            hi = min(n, lo + WINDOW)
+            heads = lo + np.flatnonzero((byte[lo:hi] & 0xC0) != 0x80)
+            live, node, found = heads, np.zeros(len(heads), np.int32), []
+            for k in range(self.longest):
+                ok = live + k < n
+                live, node = live[ok], node[ok]
+                t = trie.base[node] + byte[live + k]
+                ok = trie.check[t] == node
+                live, node = live[ok], t[ok]
+                if not len(live):
+                    break
+                hit = trie.value[node] >= 0
+                found.append((live[hit], np.full(int(hit.sum()), k + 1), trie.value[node[hit]]))
+            at, size, value = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], heads).tolist() + [len(at)]
+            size, value = size[order], value[order]
+            gain, size, value = self.score[value].tolist(), size.tolist(), value.tolist()
+            char = np.ones(len(heads), np.int64)  # bytes of the character at each head
+            for k in (1, 2, 3):
+                inside = heads + k < n
+                char[inside] += (char[inside] == k) & ((byte[heads[inside] + k] & 0xC0) == 0x80)
+            step, piece = [0] * (hi - lo + reach + 1), [-1] * (hi - lo + reach + 1)
+            for j, (i, c) in enumerate(zip((heads - lo).tolist(), char.tolist(), strict=True)):
+                here, single = best[i], False
+                for e in range(first[j], first[j + 1]):
+                    end = i + size[e]
+                    single |= size[e] == c
+                    if here + gain[e] > best[end]:
+                        best[end], step[end], piece[end] = here + gain[e], size[e], value[e]
+                if not single and here + unknown > best[i + c]:
+                    best[i + c], step[i + c], piece[i + c] = here + unknown, c, -1
+            seen = min(hi - lo + reach, n - lo) + 1
+            new = np.flatnonzero(np.array(step[:seen]) > 0)  # places before the window keep what the last one found, unless beaten
+            steps[lo + new], pieces[lo + new] = np.array(step, np.int16)[new], np.array(piece, np.int32)[new]
+            best = best[hi - lo : hi - lo + reach + 1] + [-np.inf] * WINDOW
+        out, raw, at = [], 0, n
+        while at > 0:
+            size, value = int(steps[at]), int(pieces[at])
+            if value >= 0:
+                out.append(value)
+            else:
+                raw += size
+                out.extend([self.unknown] if self.byte_ids is None else self.byte_ids[byte[at - size : at]][::-1].tolist())
+            at -= size
+        return np.array(out[::-1], np.int32), raw
+
     def _group(self, data: np.ndarray, starts: np.ndarray, length: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = len(starts)
         cells = np.minimum(starts[:, None] + np.arange(w), len(data) - 1)
@@ -261,54 +334,88 @@ def load(path: str) -> Model:
     unknown = next(i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN)
     return Model(
         build_trie(keys), score, lowest - UNKNOWN_PENALTY, unknown, byte_ids if (byte_ids >= 0).all() else None, prefix,
-        np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), crosses,
+        np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), crosses, max(map(len, keys), default=1),
     )
 
 
-def encoded(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, int]]:
-    """For every text its ids, and how many of them are bytes that no piece covers.  Null counts as empty."""
-    if not len(column):
-        return
-    column = pa.compute.replace_substring(column.fill_null(""), MARKER, " ")
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    base = 0
-    for block in blocks(column):
-        size = np.diff(block.offsets)
-        add = ((size > 0) & model.prefix).astype(np.int64)
-        shift = np.cumsum(add)
-        data = np.full(len(block.data) + int(shift[-1]), 0x20, np.uint8)
-        data[np.arange(len(block.data)) + np.repeat(shift, size)] = block.data
-        offsets = block.offsets + np.concatenate([[0], shift])
-        border = np.zeros(len(data), bool)
-        border[offsets[:-1][np.diff(offsets) > 0]] = True
-        if not model.whole and len(data):
-            border[1:] |= (data[1:] == 0x20) & (data[:-1] != 0x20)
-        starts = np.flatnonzero(border)
-        ends = np.append(starts[1:], len(data))[: len(starts)]
+def _borders(data: np.ndarray, offsets: np.ndarray, whole: bool) -> np.ndarray:
+    """Where segments begin: at texts, and at each blank after another character."""
+    border = np.zeros(len(data), bool)
+    border[offsets[:-1][np.diff(offsets) > 0]] = True
+    if not whole and len(data):
+        border[1:] |= (data[1:] == 0x20) & (data[:-1] != 0x20)
+    return np.flatnonzero(border)
+
+
+def _cut(data: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
+    """Parts of one text of about PART_BYTES that end where segments end; a longer segment is a part of its own."""
+    lo = 0
+    while lo < len(data):
+        hi = len(data) if whole else min(len(data), lo + PART_BYTES)
+        while hi < len(data):
+            ahead = data[hi - 1 : hi + PART_BYTES]
+            found = np.flatnonzero((ahead[1:] == 0x20) & (ahead[:-1] != 0x20))
+            if len(found):
+                hi += int(found[0])
+                break
+            hi = min(len(data), hi + PART_BYTES)
+        if hi - lo > 2 * PART_BYTES:  # what comes before a segment that is so long is dealt with first
+            inside = data[lo : lo + PART_BYTES + 1]
+            last = np.flatnonzero((inside[1:] == 0x20) & (inside[:-1] != 0x20))
+            if len(last):
+                hi = lo + 1 + int(last[-1])
+        yield data[lo:hi]
+        lo = hi
+
+
+def _part(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of texts laid end to end, the number of ids of each, and of these the bytes that no piece covers."""
+    starts = _borders(data, offsets, model.whole)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    if len(starts) == 1:
+        ids, n, raw = model.viterbi(data, starts, ends)
         text = np.searchsorted(offsets, starts, "right") - 1
-        for into, x in zip(parts, (starts + base, ends + base, text + block.first, hashes(data, starts, ends), data), strict=True):
-            into.append(x)
-        base += len(data)
-    starts, ends, text = (np.concatenate([np.zeros(0, np.int64), *x]) for x in parts[:3])
-    code, data = np.concatenate([np.zeros(0, np.uint64), *parts[3]]), np.concatenate([np.zeros(0, np.uint8), *parts[4]])
-    which, distinct = pd.factorize(code)
-    sample = np.zeros(len(distinct), np.int64)
-    sample[which[::-1]] = np.arange(len(which))[::-1]
+        return ids, np.bincount(text, weights=n, minlength=len(offsets) - 1).astype(np.int64), np.bincount(text, weights=raw, minlength=len(offsets) - 1).astype(np.int64)
+    text = np.searchsorted(offsets, starts, "right") - 1
+    which, sample = distinct(hashes(data, starts, ends))
     ids, count, raw = model.viterbi(data, starts[sample], ends[sample])
     first = np.cumsum(count) - count
     n = count[which]
     stop = np.cumsum(n)
     flat = ids[np.arange(int(n.sum())) - np.repeat(stop - n, n) + np.repeat(first[which], n)]
-    at = np.concatenate([[0], np.cumsum(np.bincount(text, weights=n, minlength=len(column)).astype(np.int64))])
-    bytes_ = np.bincount(text, weights=raw[which], minlength=len(column)).astype(np.int64)
-    for i in range(len(column)):
-        yield flat[at[i] : at[i + 1]], int(bytes_[i])
+    return flat, np.bincount(text, weights=n, minlength=len(offsets) - 1).astype(np.int64), np.bincount(text, weights=raw[which], minlength=len(offsets) - 1).astype(np.int64)
+
+
+def encoded(column: pa.Array, model: Model) -> Iterator[tuple[np.ndarray, int]]:
+    """For every text its ids, and how many of them are bytes that no piece covers.  Null counts as empty."""
+    if not len(column):
+        return
+    column = pc.replace_substring(column.fill_null(""), MARKER, " ")
+    for block in blocks(column, PART_BYTES):
+        size = np.diff(block.offsets)
+        if len(block) == 1 and len(block.data) > 2 * PART_BYTES:
+            parts = list(_cut(block.data, model.whole))
+            if model.prefix:
+                parts[0] = np.concatenate([np.array([0x20], np.uint8), parts[0]])
+            got = [_part(x, np.array([0, len(x)]), model) for x in parts]
+            yield np.concatenate([x for x, _, _ in got]), int(sum(raw[0] for _, _, raw in got))
+            continue
+        add = ((size > 0) & model.prefix).astype(np.int64)
+        offsets = block.offsets + np.concatenate([[0], np.cumsum(add)])
+        own = np.ones(int(offsets[-1]), bool)  # all bytes but the blanks put before texts
+        own[offsets[:-1][add > 0]] = False
+        data = np.full(len(own), 0x20, np.uint8)
+        data[own] = block.data
+        flat, n, raw = _part(data, offsets, model)
+        stop = np.cumsum(n)
+        for i in range(len(block)):
+            yield flat[stop[i] - n[i] : stop[i]], int(raw[i])
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in slices(batches, -1):
             got = list(encoded(batch.column(batch.num_columns - 1), model))
             flat = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in got)])
             at = np.cumsum([0, *(len(x) for x, _ in got)]).astype(np.int32)
@@ -323,7 +430,7 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [model.decode(np.array(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64)).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -333,13 +440,16 @@ def _decode(path: str):
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1)
-            got = list(encoded(texts, model))
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x, _ in got]
-            back = [model.decode(x) == (t or "").replace(MARKER, " ").encode() for (x, _), t in zip(got, texts.to_pylist(), strict=True)]
+            n, fallback, crc, back = [], [], [], []
+            for (ids, raw), text in zip(encoded(texts, model), texts, strict=True):
+                n.append(len(ids))
+                fallback.append(raw)
+                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                back.append(model.decode(ids) == (text.as_py() or "").replace(MARKER, " ").encode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(fallback, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_())],
                 ["doc_id", "n_tokens", "n_fallback", "ids_crc32", "round_trip"],
             )
 
@@ -351,7 +461,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     that no piece covers).  Columns of these names in ``docs`` give way.
 
     Null and empty texts have no ids.  Rows are encoded one by one, so repeated rows and null ids have no effect; an
-    empty table gives none.  ``model`` is a path that every executor has.
+    empty table gives none.  Texts may be of any length, with blanks or without, up to what an Arrow value holds.
+    ``model`` is a path that every executor has.
     """
     bounded_batches(docs.sparkSession)
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "ids", "n_fallback")], F.col(text_col).alias("__text"))

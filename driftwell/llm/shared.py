@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import workers_find_package
 
 #: Bytes of texts that a Python worker takes on at a time, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _made: dict[str, str] = {}
 try:
     _libc = ctypes.CDLL("libc.so.6")

@@ -15,7 +15,11 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 4, 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject, and failing lines from the texts of the others."""
+    """Drops documents that the quality rules reject, and failing lines from the texts of the others.
+
+    Null, empty and blank texts are rejected; rows are judged one by one, so repeated rows and null ids or sources have no
+    effect.  All columns stay.
+    """
     return quality.cleaned(docs)
 
 
@@ -29,7 +33,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplication the one with the smallest id stays."""
+    """Of documents linked by near duplication the one with the smallest id stays.
+
+    Documents without words link with nothing and stay, as do rows without an id; rows that share an id are one document
+    and stay or go together.  All columns stay.
+    """
     classes = ngram_classes(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN)
     dropped = written(classes.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     few = dropped.count() <= exact_dedup.BROADCAST_HASHES
@@ -37,12 +45,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; documents taken no times are left out."""
+    """Repeats each document as often as the mix takes it; documents taken no times are left out.
+
+    A null source is a source; null and empty texts have size 0 and are taken at their source's rate.  All columns stay.
+    """
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, lang, source, n_chars, ids, n_fallback`` of every document."""
+    """``doc_id, lang, source, n_chars, ids, n_fallback`` of every document, and its other columns but the text.
+
+    Null and empty texts have no ids; rows are encoded one by one.
+    """
     return sentencepiece.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
