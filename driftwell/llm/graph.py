@@ -53,18 +53,19 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """``(a, b)`` links between ids -> ``(node, component)``, the smallest id that links reach.
 
-    Tasks first contract ``local_links`` links or so each to a forest.  If that was more than one task, rounds follow:
-    each replaces the links of every node by links to its smallest neighbour, first upwards, then downwards, so the rows
+    Tasks contract ``local_links`` links or so each to a forest, again and again while that leaves at most half of the
+    links, until one task holds them all.  Where it does not come to that, rounds over all tasks follow: each replaces the links of every node by links to its smallest neighbour, first upwards, then downwards, so the rows
     never outnumber the links and the rounds grow with the logarithm of the largest component; they end when a round
     changes nothing.  Self links and nulls are ignored; an empty table gives an empty one.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = written(edges, "links")
-    parts = max(1, math.ceil(edges.count() / local_links))
-    edges = edges.coalesce(parts).mapInArrow(_forest, "a long, b long")
-    if parts == 1:
-        return _ends(edges)
-    edges = written(edges, "links")
+    count, before = edges.count(), math.inf
+    while count > local_links and count <= before / 2:
+        edges = written(edges.repartition(math.ceil(count / local_links)).mapInArrow(_forest, "a long, b long"), "links")
+        count, before = edges.count(), count
+    if count <= local_links:
+        return _ends(edges.coalesce(1).mapInArrow(_forest, "a long, b long"))
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

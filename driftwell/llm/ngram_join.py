@@ -19,6 +19,7 @@ where that moves fewer rows.  Copies with equal sets are one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bounded_batches, remove, written
+from .shared import bounded_batches, remove, slices, written
 from .words import blocks, mix, shingles, words_of
 
 BAND = 1.5
@@ -40,8 +41,9 @@ OVERFULL = 6
 _PLACE = np.uint64(0xA0761D6478BD642F)
 #: 64-bit lanes of a parity bitmap, at least; doubled until it has two bits for each element.
 LANES = 16
-#: Documents of a block; two blocks are compared at a time.
-BLOCK_ROWS = 256
+#: Documents of a block; two blocks are compared at a time, so many block pairs in a group of rows, so many pairs
+#: of rows in a step.
+BLOCK_ROWS, GROUP_PAIRS, PAIR_ROWS = 256, 64, 1 << 17
 #: Ids that may be broadcast (8 bytes each); beyond, the tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of bitmaps or arrays that may be broadcast.
@@ -163,7 +165,7 @@ def common_buckets(docs: DataFrame, size: int) -> np.ndarray:
 
 def _signatures(size: int, num: int, den: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             count, d0, d1, keys = [], [], [], []
             for one in sets_of(batch.column(1), size):
                 count.append(len(one))
@@ -180,7 +182,7 @@ def _signatures(size: int, num: int, den: int, common: np.ndarray):
 
 def _arrays(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = list(sets_of(batch.column(1), size))
             maps = [parity_bitmap(x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +211,7 @@ def may_link(n: np.ndarray, bits: np.ndarray, m: int, other: np.ndarray, num: in
 
 def _bound(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3, 5):
             n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             p, q = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (3, 5))
             good = np.zeros(len(n), bool)
@@ -225,7 +227,7 @@ def _bound(num: int, den: int):
 
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2, 3):
             good = [
                 alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), num, den)
                 for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
@@ -235,28 +237,55 @@ def _verify(num: int, den: int):
     return run
 
 
-def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a block pair and the rows of other components that the bitmaps let link with each; with two sides, only
-    pairs of one row from each."""
+def most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most elements in which sets of sizes ``n`` and ``m`` may differ and still link; -1 where they cannot."""
+    need = -(-num * (n + m) // (num + den))
+    return np.where(np.minimum(n, m) >= need, n + m - 2 * need, -1)
+
+
+def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a block pair, in different components, that the bitmaps let link; with two sides, only pairs of
+    one row from each.
+
+    Bits that differ are counted a few lanes at a time, and a pair whose count is beyond its bound is not followed on.
+    """
     two = side.any() and not side.all()
-    for c in np.unique(component):
-        own, rest = np.flatnonzero(component == c), np.flatnonzero(component > c)
-        few, many = (own, rest) if len(own) <= len(rest) else (rest, own)
-        for i in few:
-            j = many[side[many] != side[i]] if two else many
-            j = j[may_link(n[j], bits[j], int(n[i]), bits[i], num, den)]
-            if len(j):
-                yield i, j
+    lanes = np.ascontiguousarray(bits.T)
+    step = max(1, PAIR_ROWS // len(n))
+    for lo in range(0, len(n), step):
+        own = slice(lo, lo + step)
+        limit = most_apart(n[own, None], n, num, den)
+        ok = (component[own, None] < component) & (limit >= 0)
+        if two:
+            ok &= side[own, None] != side
+        i, j = np.nonzero(ok)
+        limit, i = limit[i, j], i + lo
+        apart = np.zeros(len(i), np.int64)
+        for at in range(0, len(lanes), 4):
+            for lane in lanes[at : at + 4]:
+                apart += np.bitwise_count(lane[i] ^ lane[j])
+            near = apart <= limit
+            if not near.all():
+                i, j, apart, limit = i[near], j[near], apart[near], limit[near]
+            if not len(i):
+                break
+        yield i, j
 
 
 def _across(num: int, den: int):
+    """Compares many block pairs: the rows of each stand under one (key, p, q)."""
     def run(table: pa.Table) -> pa.Table:
-        ids, component, side, n = (table.column(k).to_numpy() for k in ("doc_id", "component", "side", "n"))
-        bits = same_width([np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()])
+        table = table.combine_chunks()
+        key, p, q, ids, component, side, n = (table.column(k).to_numpy() for k in ("key", "p", "q", "doc_id", "component", "side", "n"))
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        order = np.lexsort([q, p, key])
+        change = np.flatnonzero(np.diff(key[order]).astype(bool) | np.diff(p[order]).astype(bool) | np.diff(q[order]).astype(bool)) + 1
         found = [np.zeros((0, 2), np.int64)]
-        for i, j in across(component, side, n, bits, num, den):
-            found.append(np.sort(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1), axis=1))
-        out = np.concatenate(found)
+        for rows in np.split(order, change):
+            for i, j in across(component[rows], side[rows], n[rows], same_width([bits[r] for r in rows]), num, den):
+                if len(i):
+                    found.append(np.sort(np.stack([ids[rows[i]], ids[rows[j]]], axis=1), axis=1))
+        out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     return run
@@ -292,9 +321,12 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     Returns ``doc_id, n_shingles, component_id`` for every row of ``docs``; ``component_id`` is the smallest id that
     links reach, the row's own included.  A-Z count as a-z; a text of fewer than ``words`` words is one n-gram of all
     of them.  Rows with null, empty or blank texts have 0 n-grams and link with nothing.  Rows that share an id are one
-    document; a row without an id is linked only through rows of an equal set.  Other columns are not read.
+    document; a row without an id is linked only through rows of an equal set.  Ids are integers (of other types it is an
+    error).  Texts may be of any length; other columns are not read; an empty table gives none.
     """
     spark = docs.sparkSession
+    if (kind := dict(docs.dtypes)[id_col]) not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are integers, not {kind}")
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common = common_buckets(docs, words)
@@ -355,8 +387,10 @@ def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: Da
     members = written(held.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "members")
     parts = members.groupBy("key", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     other = parts.select("key", F.col("part").alias("part2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    duels = parts.join(other, "key").where("part <= part2 and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", "part", "part2")
+    duels = written(parts.join(other, "key").where("part <= part2 and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", "part", "part2"), "duels")
+    groups = math.ceil(duels.count() / GROUP_PAIRS) or 1
     seats = duels.select("key", F.struct("part", "part2").alias("duel"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
     work = members.join(seats, ["key", "part"]).select("key", "duel", "doc_id", "component", (F.col("part") > F.col("duel.part")).alias("side"))
     work = work.join(arrays.select("doc_id", "n", "bits"), "doc_id").select("key", F.col("duel.part").alias("p"), F.col("duel.part2").alias("q"), "doc_id", "component", "side", "n", "bits")
-    return work.groupBy("key", "p", "q").applyInArrow(_across(num, den), "a long, b long").distinct()
+    work = work.withColumn("group", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
+    return work.groupBy("group").applyInArrow(_across(num, den), "a long, b long").distinct()
