@@ -12,7 +12,8 @@ decides which tiles are made, never which documents link.
 
 Work inside tiles is linear in their rows.  First each document of a tile is held against the one before it: parity
 bitmaps bound the difference from below (each differing element flips one bit at most), and pairs that pass are
-checked by intersecting the sorted hash arrays.  Only tiles whose documents are then still in different components are
+checked by intersecting the sorted hash arrays.  Then the documents that tiles connect, a family, are compared block by
+block, each with its closest partners.  Only tiles whose documents are after that still in different components are
 compared in full, in blocks of bounded size, and only across components; tiles that overlap are taken together as one
 where that moves fewer rows.  Copies with equal sets are one node.
 """
@@ -44,6 +45,8 @@ LANES = 16
 #: Documents of a block; two blocks are compared at a time, so many block pairs in a group of rows, so many pairs
 #: of rows in a step.
 BLOCK_ROWS, GROUP_PAIRS, PAIR_ROWS = 256, 64, 1 << 17
+#: Partners of a document that the first comparison within families proposes.
+NEAREST = 3
 #: Ids that may be broadcast (8 bytes each); beyond, the tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of bitmaps or arrays that may be broadcast.
@@ -243,9 +246,9 @@ def most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(np.minimum(n, m) >= need, n + m - 2 * need, -1)
 
 
-def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a block pair, in different components, that the bitmaps let link; with two sides, only pairs of
-    one row from each.
+def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of a block pair, in different components, that the bitmaps let link, and the bits in which they
+    differ; with two sides, only pairs of one row from each.
 
     Bits that differ are counted a few lanes at a time, and a pair whose count is beyond its bound is not followed on.
     """
@@ -269,11 +272,22 @@ def across(component: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndar
                 i, j, apart, limit = i[near], j[near], apart[near], limit[near]
             if not len(i):
                 break
-        yield i, j
+        yield i, j, apart
 
 
-def _across(num: int, den: int):
-    """Compares many block pairs: the rows of each stand under one (key, p, q)."""
+def nearest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs those that are among the ``keep`` closest of one of their rows."""
+    row, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort([np.tile(apart, 2), row])
+    row, pair = row[order], pair[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    chosen = np.unique(pair[place < keep])
+    return i[chosen], j[chosen]
+
+
+def _across(num: int, den: int, keep: int | None = None):
+    """Compares many block pairs: the rows of each stand under one (key, p, q).  With ``keep`` a row gives its closest
+    partners alone."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         key, p, q, ids, component, side, n = (table.column(k).to_numpy() for k in ("key", "p", "q", "doc_id", "component", "side", "n"))
@@ -282,9 +296,11 @@ def _across(num: int, den: int):
         change = np.flatnonzero(np.diff(key[order]).astype(bool) | np.diff(p[order]).astype(bool) | np.diff(q[order]).astype(bool)) + 1
         found = [np.zeros((0, 2), np.int64)]
         for rows in np.split(order, change):
-            for i, j in across(component[rows], side[rows], n[rows], same_width([bits[r] for r in rows]), num, den):
-                if len(i):
-                    found.append(np.sort(np.stack([ids[rows[i]], ids[rows[j]]], axis=1), axis=1))
+            got = list(across(component[rows], side[rows], n[rows], same_width([bits[r] for r in rows]), num, den))
+            i, j, apart = (np.concatenate(x) for x in zip(*got, strict=True))
+            if len(i):
+                i, j = (i, j) if keep is None else nearest(i, j, apart, keep)
+                found.append(np.sort(np.stack([ids[rows[i]], ids[rows[j]]], axis=1), axis=1))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
@@ -335,7 +351,8 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     full = base.where("n_shingles > 0")
     same = full.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))
 
-    nodes = made.where("size(keys) > 0").select("doc_id", "keys").join(same.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    first_ids = written(same.where("node is not null").select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    nodes = _texts_of(made.where("size(keys) > 0").select("doc_id", "keys"), first_ids)
     tile = Window.partitionBy("key").orderBy("doc_id")
     rows = nodes.select("doc_id", F.explode("keys").alias("key")).select(
         "key", "doc_id", F.lag("doc_id").over(tile).alias("before"), F.lead("doc_id").over(tile).alias("after"),
@@ -351,26 +368,55 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     bounded = _sides(tested, arrays, "n", "bits").mapInArrow(_bound(num, den), "a long, b long")
     links = _verified(bounded, arrays, num, den)
     found = written(components(links), "components")
-
-    more = _verified(_open_tiles(rows, tested, found, arrays, num, den), arrays, num, den)
-    if more.head(1):
-        found = written(components(links.unionByName(more)), "components")
+    family = written(components(tested).withColumnRenamed("component", "family"), "family")
+    for step in (_neighbours, _open_tiles):
+        more = _verified(step(rows, family, found, arrays, num, den), arrays, num, den)
+        if more.head(1):
+            links = links.unionByName(more)
+            found = written(components(links), "components")
     classes = same.join(found.withColumnRenamed("component", "c"), same["node"] == found["node"], "left").select("d0", "d1", "n_shingles", F.coalesce("c", same["node"]).alias("component_id"))
     return base.join(classes, ["d0", "d1", "n_shingles"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+def _in_families(family: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, family, component`` of every candidate."""
+    nodes = family.join(found, "node", "left")
+    return written(nodes.select(F.col("node").alias("doc_id"), "family", F.coalesce("component", "node").alias("component")), "families")
+
+
+def _compared(work: DataFrame, groups: int, num: int, den: int, keep: int | None = None) -> DataFrame:
+    """Candidate pairs of rows ``key, p, q, doc_id, component, side, n, bits``, many block pairs in a group."""
+    work = work.withColumn("group", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
+    return work.groupBy("group").applyInArrow(_across(num, den, keep), "a long, b long").distinct()
+
+
+def _neighbours(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that join most of a family of many components, from a number of rows that does not outgrow its documents.
+
+    The documents of a family stand in the order of their least tile, which similar ones share more often than not, and
+    each is held against the others of its block; its closest partners in other components are candidates.  What this
+    leaves apart the open tiles compare in full.
+    """
+    nodes = _in_families(family, found)
+    several = nodes.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("family")
+    held = nodes.join(several, "family", "left_semi").join(rows.groupBy("doc_id").agg(F.min("key").alias("least")), "doc_id")
+    order = Window.partitionBy("family").orderBy("least", "doc_id")
+    held = written(held.withColumn("p", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "blocks")
+    groups = math.ceil(held.count() / (GROUP_PAIRS * 16)) or 1
+    work = held.select(F.xxhash64("family").alias("key"), "p", F.col("p").alias("q"), "doc_id", "component", F.lit(False).alias("side"))
+    return _compared(work.join(arrays.select("doc_id", "n", "bits"), "doc_id"), groups, num, den, NEAREST)
+
+
+def _open_tiles(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that the first comparison left out and that may link, from tiles of three or more documents in two or more
     components.
 
     A family is what candidate pairs connect, and holds every tile of its documents.  It is compared as a whole where
     that moves fewer rows (its documents, and the blocks that hold different components) than its open tiles do.
     """
-    family = components(tested).withColumnRenamed("component", "family")
-    nodes = family.join(found, "node", "left").select(F.col("node").alias("doc_id"), "family", F.coalesce("component", "node").alias("component"))
-    nodes = written(nodes, "families")
+    nodes = _in_families(family, found)
     held = rows.where("many").select("key", "doc_id").join(nodes, "doc_id")
     tiles = held.groupBy("key").agg(
         F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("family").alias("family"),
@@ -392,5 +438,4 @@ def _open_tiles(rows: DataFrame, tested: DataFrame, found: DataFrame, arrays: Da
     seats = duels.select("key", F.struct("part", "part2").alias("duel"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
     work = members.join(seats, ["key", "part"]).select("key", "duel", "doc_id", "component", (F.col("part") > F.col("duel.part")).alias("side"))
     work = work.join(arrays.select("doc_id", "n", "bits"), "doc_id").select("key", F.col("duel.part").alias("p"), F.col("duel.part2").alias("q"), "doc_id", "component", "side", "n", "bits")
-    work = work.withColumn("group", F.pmod(F.xxhash64("key", "p", "q"), F.lit(groups)))
-    return work.groupBy("group").applyInArrow(_across(num, den), "a long, b long").distinct()
+    return _compared(work, groups, num, den)
