@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
+from . import change_points, clustering, exact_dedup, langid, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
 from .ngram_join import ngram_classes
 
 
@@ -59,6 +59,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_points.vendor_changes(spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 #: Links by the shingles that two documents share, then what links reach.
 NGRAM_ORACLE = r"""
 with recursive d as (
@@ -90,5 +98,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_change_points": op11_change_points,
+    "op12_clustering": op12_clustering,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op4_sharding": sharding.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op4_sharding": sharding.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_change_points": change_points.ORACLE, "op12_clustering": clustering.ORACLE}
