@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import change_points, clustering, exact_dedup, langid, mixing, pii, quality, sentencepiece, sharding, token_counts, token_store
+from . import change_points, clustering, exact_dedup, langid, mixing, pii, quality, sentencepiece, sharding, substring_dedup, token_counts, token_store
 from .ngram_join import ngram_classes
 
 
@@ -67,6 +67,10 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_documents(spark, sf_dir)).drop("spans")
+
+
 #: Links by the shingles that two documents share, then what links reach.
 NGRAM_ORACLE = r"""
 with recursive d as (
@@ -100,5 +104,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_change_points": op11_change_points,
     "op12_clustering": op12_clustering,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op4_sharding": sharding.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_change_points": change_points.ORACLE, "op12_clustering": clustering.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op3_ngram_join": NGRAM_ORACLE, "op4_sharding": sharding.ORACLE, "op5_mixing": mixing.ORACLE, "op6_pii": pii.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_change_points": change_points.ORACLE, "op12_clustering": clustering.ORACLE, "op13_substring_dedup": substring_dedup.ORACLE}
