@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from .shared import bounded_batches, slices
 from .words import SPACES, blocks, distinct, words_of
@@ -149,21 +150,15 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns.values())], ["doc_id", *columns])
 
 
-def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from slices([batch], batch.schema.get_field_index("text"))
-
-
 def _run_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _by_text(batches):
-        at = batch.schema.get_field_index("text")
-        columns, texts = measure(batch.column(at))
-        texts = [t if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(at).to_pylist(), strict=True)]
-        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-        if (n := batch.schema.get_field_index("n_chars")) >= 0:
-            chars = [len(t or "") if v else x for t, v, x in zip(texts, columns["lines_removed"], batch.column(n).to_pylist(), strict=True)]
-            out = out.set_column(n, batch.schema.field(n), pa.array(chars, batch.schema.field(n).type))
-        yield out.filter(pa.array(columns["kept"]))
+    """Of ``text`` and whatever else: texts without failing lines, and the characters of those that lost lines."""
+    for batch in slices(batches, 0):
+        columns, texts = measure(batch.column(0))
+        lost = columns["lines_removed"] > 0
+        texts = [t if v else x for t, v, x in zip(texts, lost, batch.column(0).to_pylist(), strict=True)]
+        chars = pa.array([len(t) if v else None for t, v in zip(texts, lost, strict=True)], pa.int64())
+        out = [pa.array(texts, batch.schema.field(0).type), *batch.columns[1:], chars]
+        yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "chars"]).filter(pa.array(columns["kept"]))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,11 +174,25 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.mapInArrow(_run, f"doc_id {dict(docs.dtypes)['doc_id']}, {FIELDS}")
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """The rows that ``quality`` keeps, all their columns, with the failing lines taken out of ``text``; where lines
-    went, a column ``n_chars`` is counted anew."""
+def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows that ``quality`` keeps, all their columns whatever their names, with the failing lines taken out of the
+    text; where lines went, a column ``chars_col`` of an integer type is counted anew (of another type it stays).
+
+    Null, empty and blank texts fail and go; texts may be of any length; repeated rows are judged one by one; an empty
+    table gives none.
+    """
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(_run_clean, docs.schema)
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")) if rest else docs.select(F.col(f"`{text_col}`").alias("text"))
+    out = rows.mapInArrow(_run_clean, StructType([*rows.schema, StructField("chars", LongType())]))
+
+    def column(field):
+        own = F.col(f"row.`{field.name}`")
+        if field.name == chars_col and isinstance(field.dataType, IntegralType):
+            own = F.coalesce(F.col("chars").cast(field.dataType), own)
+        return own.alias(field.name)
+
+    return out.select(*[F.col("text").alias(text_col) if f.name == text_col else column(f) for f in docs.schema])
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

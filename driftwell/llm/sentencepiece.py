@@ -465,9 +465,11 @@ def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     ``model`` is a path that every executor has.
     """
     bounded_batches(docs.sparkSession)
-    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "ids", "n_fallback")], F.col(text_col).alias("__text"))
-    schema = rest.drop("__text").schema.add("ids", ArrayType(IntegerType())).add("n_fallback", LongType())
-    return rest.mapInArrow(_encode(model), schema)
+    rest = [c for c in docs.columns if c not in (text_col, "ids", "n_fallback")]
+    row = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []
+    rows = docs.select(*row, F.col(f"`{text_col}`").alias("text"))
+    schema = rows.drop("text").schema.add("ids", ArrayType(IntegerType())).add("n_fallback", LongType())
+    return rows.mapInArrow(_encode(model), schema).select(*["row.*"] * bool(rest), "ids", "n_fallback")
 
 
 def decode(ids: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
