@@ -1,4 +1,4 @@
-"""Column functions over ordered series; every window is partitioned by the columns that name a series."""
+"""Column functions over ordered series; their windows are those of a series, or of a tile of one (``tiles.py``)."""
 
 from __future__ import annotations
 
@@ -54,10 +54,10 @@ def smooth_frame(frame: Column, sigma: float, radius: int) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
 
 
-def detrend(x: Column, size: int, w: WindowSpec, whole: WindowSpec) -> Column:
-    """``x`` less the moving sum over ``size`` rows by ``size``; for a size of 1 or less, less the mean of the series."""
+def detrend(x: Column, size: int, w: WindowSpec, mean: Column) -> Column:
+    """``x`` less the moving sum over ``size`` rows by ``size``; for a size of 1 or less, less the ``mean`` of the series."""
     if size <= 1:
-        return x - F.avg(x).over(whole)
+        return x - mean
     return x - F.sum(x).over(w.rowsBetween(-(size // 2), (size - 1) // 2)) / size
 
 

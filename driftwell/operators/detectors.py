@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import series as S
+from ..functions.order import RANGE_ROWS
+from ..functions.tiles import ewma_forecasts, islands, tiled, with_totals
 from ..plans.errors import ConfigError, NotFittedError
 from ..plans.registry import DETECTORS, THRESHOLDS
+from ..session import kept
 from .signals import KEYS, Normaliser, SignalSchema
 from .thresholds import SigmaThreshold, fuse, robust_scaled
 
@@ -22,6 +25,8 @@ class Detector:
     """
 
     name = "base"
+    #: Rows of a tile of a series, which is what one task works on.
+    tile_rows = RANGE_ROWS
 
     def __init__(self, threshold=None, normalize: bool = True, min_anomaly_rate: float = 0.05, schema: SignalSchema | None = None) -> None:
         self.threshold = threshold or SigmaThreshold()
@@ -49,8 +54,12 @@ class Detector:
     def learn(self, df: DataFrame) -> None:
         """Sets what ``parts`` needs."""
 
-    def parts(self) -> tuple[list[dict[str, Column]], Column]:
-        """Columns to add one after another, and the score over them."""
+    def reach(self) -> tuple[int, int]:
+        """Rows before and after a row that its score sees."""
+        return 0, 0
+
+    def parts(self, w: WindowSpec) -> tuple[list[dict[str, Column]], Column]:
+        """Columns to add one after another, and the score over them; ``w`` orders a tile of a series."""
         raise NotImplementedError
 
     def contributions(self) -> dict[str, Column]:
@@ -58,10 +67,13 @@ class Detector:
         return {c: F.abs(F.col(c)) for c in self.channels}
 
     def _scored(self, prepared: DataFrame) -> DataFrame:
-        steps, score = self.parts()
+        tiles = tiled(prepared, KEYS, "t", *self.reach(), rows=self.tile_rows) if any(self.reach()) else None
+        steps, score = self.parts(tiles.window if tiles else S.ordered(KEYS))
+        out = tiles.rows if tiles else prepared
         for step in steps:
-            prepared = prepared.withColumns(step)
-        return prepared.withColumn("score", score)
+            out = out.withColumns(step)
+        out = out.withColumn("score", score)
+        return tiles.own(out) if tiles else out
 
     def score(self, df: DataFrame) -> DataFrame:
         """``stream_id, stage, t, score`` and the contributions ``by_<channel>``."""
@@ -81,14 +93,14 @@ class Detector:
         return summarise(self.flagged(df), self.channels, self.min_anomaly_rate, self.name)
 
 
-def longest_runs(flagged: DataFrame, by: list[str] = KEYS) -> DataFrame:
-    """The longest run of flagged rows of each window, 0 where none is flagged."""
-    islands = flagged.withColumn("island", S.run_length(F.col("flag"), by))
-    runs = islands.where("flag").groupBy(*by, "island").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("run"))
-    return runs
+def longest_runs(flagged: DataFrame, by: list[str] = KEYS, rows: int = RANGE_ROWS) -> DataFrame:
+    """The longest run of flagged rows of each window that has a flagged row; a run may go on over any number of tiles."""
+    runs = islands(flagged.select(*by, "t", "flag"), F.col("flag"), "island", by, rows=rows)
+    return runs.where("flag").groupBy(*by, "island").agg(F.count("*").alias("n")).groupBy(*by).agg(F.max("n").alias("run"))
 
 
 def summarise(flagged: DataFrame, channels: list[str], min_anomaly_rate: float = 0.05, name: str = "") -> DataFrame:
+    flagged = kept(flagged)
     flags = F.col("flag").cast("double")
     hit = lambda c: F.avg(F.when(F.col("flag"), F.col(f"by_{c}")))
     agg = flagged.groupBy(*KEYS).agg(
@@ -115,9 +127,9 @@ class EwmaDetector(Detector):
         super().__init__(**kw)
         self.alpha = float(alpha)
 
-    def parts(self):
-        w = S.ordered(KEYS)
-        return [{f"f_{c}": S.ewma_forecast(F.col(c), self.alpha, w) for c in self.channels}], S.mean_of([F.abs(F.col(c) - F.col(f"f_{c}")) for c in self.channels])
+    def _scored(self, prepared):
+        out = ewma_forecasts(prepared, {f"f_{c}": F.col(c) for c in self.channels}, self.alpha, KEYS, rows=self.tile_rows)
+        return out.withColumn("score", S.mean_of([F.abs(F.col(c) - F.col(f"f_{c}")) for c in self.channels]))
 
 
 def moments(df: DataFrame, channels: list[str]) -> np.ndarray:
@@ -166,7 +178,7 @@ class CausalDetector(Detector):
     def residual(self, j: int) -> Column:
         return linear(self.weights[j], [*map(F.col, self.channels), F.lit(1.0)]) / self.spread[j]
 
-    def parts(self):
+    def parts(self, w):
         if len(self.channels) < 2:
             return [], F.abs(F.col(self.channels[0]))
         added = {f"r_{c}": self.residual(j) for j, c in enumerate(self.channels)}
@@ -200,9 +212,12 @@ class DiffusionDetector(Detector):
         k = max(1, min(int(np.searchsorted(share, self.energy)) + 1, c))
         self.rest = np.eye(c) - vector[:, :k] @ vector[:, :k].T
 
-    def parts(self):
-        w, steps, norms = S.ordered(KEYS), [], []
+    def reach(self):
         radius = max(len(S.gaussian_kernel(sigma)) // 2 if sigma > 0 else 0 for sigma in self.steps)
+        return radius, radius
+
+    def parts(self, w):
+        steps, norms, radius = [], [], self.reach()[0]
         steps.append({f"a_{c}": S.framed(F.col(c), radius, w) for c in self.channels})  # one frame for all degrees
         steps.append({f"s{i}_{c}": S.smooth_frame(F.col(f"a_{c}"), sigma, radius) for i, sigma in enumerate(self.steps) for c in self.channels})
         for i in range(len(self.steps)):
@@ -223,26 +238,26 @@ class SpatiotemporalDetector(Detector):
         self.detrend_window, self.smooth_sigma = int(detrend_window), float(smooth_sigma)
         self.norm3: Normaliser | None = None
 
-    def _features(self) -> list[dict[str, Column]]:
-        w, whole = S.ordered(KEYS), Window.partitionBy(*KEYS)
-        first = {f"s_{c}": S.smooth(F.col(c), self.smooth_sigma, w) for c in self.channels}
+    def _featured(self, df: DataFrame) -> DataFrame:
+        radius, size = len(S.gaussian_kernel(self.smooth_sigma)) // 2 if self.smooth_sigma > 0 else 0, self.detrend_window
+        tiles = tiled(df, KEYS, "t", radius + max(1, size // 2), radius + max(0, (size - 1) // 2), rows=self.tile_rows)
+        out = tiles.rows.withColumns({f"s_{c}": S.smooth(F.col(c), self.smooth_sigma, tiles.window) for c in self.channels})
         mean = S.mean_of([F.col(f"s_{c}") for c in self.channels])
-        second: dict[str, Column] = {}
-        for c in self.channels:
-            second[f"l_{c}"] = S.detrend(F.col(f"s_{c}"), self.detrend_window, w, whole)
-            second[f"d_{c}"] = S.difference(F.col(f"s_{c}"), w)
-            second[f"p_{c}"] = F.col(f"s_{c}") - mean
-        return [first, second]
+        level = {f"l_{c}": S.detrend(F.col(f"s_{c}"), size, tiles.window, F.lit(0.0)) for c in self.channels}
+        others = {f"{k}_{c}": v for c in self.channels for k, v in (("d", S.difference(F.col(f"s_{c}"), tiles.window)), ("p", F.col(f"s_{c}") - mean))}
+        out = tiles.own(out.withColumns(level | others))
+        if size > 1:
+            return out
+        means = with_totals(out, KEYS, **{f"m_{c}": F.avg(f"s_{c}") for c in self.channels})
+        return means.withColumns({f"l_{c}": F.col(f"s_{c}") - F.col(f"m_{c}") for c in self.channels}).drop(*[f"m_{c}" for c in self.channels])
 
     def learn(self, df: DataFrame) -> None:
-        for step in self._features():
-            df = df.withColumns(step)
-        self.norm3 = Normaliser.z(df, [f"{k}_{c}" for k in "ldp" for c in self.channels])
+        self.norm3 = Normaliser.z(self._featured(df), [f"{k}_{c}" for k in "ldp" for c in self.channels])
 
-    def parts(self):
+    def _scored(self, prepared: DataFrame) -> DataFrame:
         n = self.norm3
         scaled = [S.zscore(F.col(c), m, s) for c, m, s in zip(n.channels, n.centre, n.scale, strict=True)]
-        return self._features(), S.root_mean_square(scaled)
+        return self._featured(prepared).withColumn("score", S.root_mean_square(scaled))
 
 
 @DETECTORS.register("habituation")
@@ -314,6 +329,7 @@ class EnsembleDetector(Detector):
         return robust_scaled(out, names, KEYS).select(*KEYS, "t", fused.alias("score"))
 
     def results(self, df: DataFrame) -> DataFrame:
+        df = kept(df)
         own = self.flagged(df).withColumns({f"by_{c}": F.lit(0.0) for c in self.channels})
         out = summarise(own, self.channels, self.min_anomaly_rate, self.name).drop("attribution")
         maps = None

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as I
-from ..functions.order import running
-from ..functions.series import exceeds, run_length
+from ..functions.order import RANGE_ROWS, running
+from ..functions.quantiles import quantile_values, quantiles
+from ..functions.series import exceeds
+from ..functions.tiles import islands, last_known, tiled
+from ..session import kept
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -61,24 +64,28 @@ def detection_delay(df: DataFrame, by: list[str]) -> DataFrame:
     return first.join(hit, by, "left").select(*by, (F.col("hit") - F.col("first")).alias("delay"))
 
 
-def point_adjusted(df: DataFrame, by: list[str]) -> DataFrame:
+def _segments(df: DataFrame, by: list[str], rows: int, **tops: Column) -> DataFrame:
+    """Rows with aggregates of their labelled segment, null without a label: one row for each segment is joined, so a
+    segment may go on over any number of tiles."""
+    out = islands(df, F.col("label"), "__island", by, rows=rows)
+    found = out.where("label = 1").groupBy(*by, "__island").agg(*[c.alias(n) for n, c in tops.items()])
+    return out.join(found, [*by, "__island"], "left").drop("__island")
+
+
+def point_adjusted(df: DataFrame, by: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``adjusted``: every row of a labelled segment with a flag counts as flagged.
 
     Row 0 of a series is never filled in from behind: it keeps its own flag.
     """
-    out = df.withColumn("__island", run_length(F.col("label"), by))
-    hit = F.max(F.col("flag").cast("int")).over(Window.partitionBy(*by, "label", "__island")) == 1
-    return out.withColumn("adjusted", F.when((F.col("label") == 1) & (F.col("t") > 0), hit).otherwise(F.col("flag"))).drop("__island")
+    out = _segments(df, by, rows, __hit=F.max(F.col("flag").cast("int")) == 1)
+    return out.withColumn("adjusted", F.when((F.col("label") == 1) & (F.col("t") > 0), F.col("__hit")).otherwise(F.col("flag"))).drop("__hit")
 
 
-def events_of(df: DataFrame, flag: str, by: list[str], gaps: bool = False) -> DataFrame:
+def events_of(df: DataFrame, flag: str, by: list[str], gaps: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
     """Runs of flagged rows as half-open intervals ``start, stop``; with ``gaps`` rows that are not flagged are absent,
     so a gap in ``t`` ends a run."""
-    out = df.withColumn("__on", F.col(flag).cast("int") == 1)
-    if gaps:
-        out = out.where("__on").withColumn("__island", F.col("t") - F.row_number().over(Window.partitionBy(*by).orderBy("t")))
-    else:
-        out = out.withColumn("__island", run_length(F.col("__on"), by))
+    out = df.select(*by, "t", (F.coalesce(F.col(flag).cast("int"), F.lit(0)) == 1).alias("__on"))
+    out = islands(out.where("__on") if gaps else out, F.col("__on"), "__island", by, gaps=gaps, rows=rows)
     return out.where("__on").groupBy(*by, "__island").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop")).drop("__island")
 
 
@@ -98,11 +105,9 @@ def best_f1(df: DataFrame) -> DataFrame:
     return s.orderBy(F.col("f1").desc(), "score").limit(1).select(F.col("score").alias("threshold"), "precision", "recall", "f1", F.col("tp").cast("long").alias("pred_anomaly"), F.col("all").cast("long").alias("true_anomaly"))
 
 
-def best_f1_adjusted(df: DataFrame, by: list[str]) -> DataFrame:
+def best_f1_adjusted(df: DataFrame, by: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``best_f1`` after point adjustment: a labelled row counts with the highest score of its segment."""
-    out = df.withColumn("__island", run_length(F.col("label"), by))
-    top = F.max("score").over(Window.partitionBy(*by, "label", "__island"))
-    return best_f1(out.withColumn("score", F.when(F.col("label") == 1, top).otherwise(F.col("score"))).drop("__island"))
+    return best_f1(_segments(df, by, rows, __top=F.max("score")).withColumn("score", F.coalesce("__top", "score")))
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -126,31 +131,39 @@ def macro_average(df: DataFrame, measures: list[str], by: list[str] | None = Non
     return df.groupBy(*(by or [])).agg(F.count("*").alias("runs"), *[F.avg(m).alias(m) for m in measures])
 
 
-def percentile_threshold(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0) -> float:
+def percentile_threshold(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0, rows: int = RANGE_ROWS) -> float | None:
     """The score that ``anomaly_ratio`` percent of the scores of both tables exceed, interpolated linearly."""
     both = initial.select("score").unionByName(test.select("score"))
-    return both.agg(F.percentile("score", F.lit(1 - anomaly_ratio / 100)).alias("v")).first()["v"]
+    return quantile_values(both, ["score"], [1 - anomaly_ratio / 100], rows=rows).get("score", [None])[0]
 
 
-def affiliation(events: DataFrame, spans: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+def affiliation(events: DataFrame, spans: DataFrame | None = None, by: tuple[str, ...] = ("series_id",), rows: int = RANGE_ROWS) -> DataFrame:
     """``series_id, precision, recall, f1`` by affiliation.
 
-    ``events``: ``series_id, kind ('pred' | 'truth'), start, stop``; ``spans``: ``series_id, lo, hi``.  Predictions are cut
-    to the zones of the ground-truth events; the measures of each part are closed forms over its bounds and those of the
-    event and the zone, and are summed by zone, then averaged by series.  Zones without a prediction have recall 0 and no
-    precision.  Events that overlap, have no length or leave the span are errors.
+    ``events``: ``series_id, kind ('pred' | 'truth'), start, stop``; ``spans``: ``series_id, lo, hi`` (without them, from
+    the first start to the last stop of a series' events).  Predictions are cut to the zones of the ground-truth events;
+    the measures of each part are closed forms over its bounds and those of the event and the zone, and are summed by
+    zone, then averaged by series.  Zones without a prediction have recall 0 and no precision.  Events that overlap, are a
+    point (no length) or leave the span are errors, found before anything is measured; a series without a ground-truth
+    event has no row.
     """
     by = list(by)
-    before = F.lag("stop").over(Window.partitionBy(*by, "kind").orderBy("start", "stop"))
-    wrong = (F.col("stop") <= F.col("start")) | F.coalesce(before > F.col("start"), F.lit(False)) | (F.col("start") < F.col("lo")) | (F.col("stop") > F.col("hi"))
-    faults = events.join(spans, by).withColumn("wrong", wrong).groupBy(*by).agg(F.max("wrong").alias("wrong"))
+    events = kept(events.select(*by, "kind", F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop")))
+    if spans is None:
+        spans = value_ranges(events, by=tuple(by))
+    tiles = tiled(events, [*by, "kind"], "start", before=1, rows=rows)
+    ordered = tiles.own(tiles.rows.withColumn("before", F.lag("stop").over(tiles.window)))
+    wrong = (F.col("stop") <= F.col("start")) | F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | (F.col("start") < F.col("lo")) | (F.col("stop") > F.col("hi"))
+    if ordered.join(spans, by).where(wrong).head(1):
+        raise ValueError("events overlap, have no length or leave the span of their series")
     pred, truth = (events.where(F.col("kind") == k).drop("kind") for k in ("pred", "truth"))
-    zone = zones(truth, spans, by)
+    zone = kept(zones(truth, spans, by, rows))
     one = [*by, "start", "stop"]
-    row = Window.partitionBy(*one).orderBy("part_lo")
-    lo, hi = (F.lag("part_hi").over(row) + F.col("part_lo")) / 2, (F.col("part_hi") + F.lead("part_lo").over(row)) / 2
-    parts = in_zones(pred, zone, by).join(zone, one)
-    parts = parts.withColumns({"cell_lo": F.coalesce(lo, F.col("zone_lo")), "cell_hi": F.coalesce(hi, F.col("zone_hi"))})
+    parts = tiled(kept(in_zones(pred, zone, by, rows)), one, "part_lo", 1, 1, rows)
+    w = parts.window
+    lo, hi = (F.lag("part_hi").over(w) + F.col("part_lo")) / 2, (F.col("part_hi") + F.lead("part_lo").over(w)) / 2
+    parts = parts.own(parts.rows.withColumns({"cell_lo": lo, "cell_hi": hi})).join(zone, one)
+    parts = parts.withColumns({"cell_lo": F.coalesce("cell_lo", "zone_lo"), "cell_hi": F.coalesce("cell_hi", "zone_hi")})
     part, event, whole = ((F.col(a), F.col(b)) for a, b in (("part_lo", "part_hi"), ("start", "stop"), ("zone_lo", "zone_hi")))
     own = (F.greatest("start", "cell_lo"), F.least("stop", "cell_hi"))
     masses = parts.groupBy(*one).agg(
@@ -158,89 +171,115 @@ def affiliation(events: DataFrame, spans: DataFrame, by: tuple[str, ...] = ("ser
         (F.sum(F.when(own[0] < own[1], I.recall_mass(part, own, whole)).otherwise(0.0)) / F.first(event[1] - event[0])).alias("r"),
     )
     measured = truth.select(*one).join(masses, one, "left").groupBy(*by).agg(F.avg("p").alias("precision"), F.avg(F.coalesce("r", F.lit(0.0))).alias("recall"))
-    told = F.raise_error(F.lit("events overlap, have no length or leave the span of their series")).cast("double")
-    measured = measured.join(faults, by).withColumn("recall", F.when(F.col("wrong"), told).otherwise(F.col("recall"))).drop("wrong")
     f1 = F.coalesce(_f1(F.col("precision"), F.col("recall")), F.lit(0.0))
     return measured.withColumn("f1", f1).withColumn("precision", F.coalesce("precision", F.lit(float("nan"))))
 
 
-def best_affiliation_f1(df: DataFrame, steps: int = 200, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
+def threshold_events(df: DataFrame, cuts: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """``series_id, place, start, stop``: the runs of rows above each of a series' ascending ``cuts``.
+
+    A row needs one number, how many cuts are below its score.  Events of the places between that number and the one of
+    the row before open or close at the row, so the rows made grow with these changes, not with rows times cuts.
+    """
+    last = df.groupBy("series_id").agg((F.max("t") + 1).alias("t"), F.lit(0).alias("level"))
+    levels = df.join(cuts, "series_id").select("series_id", F.col("t").cast("long").alias("t"), F.when(F.isnan("score"), 0).otherwise(cut_count(F.col("cuts"), F.col("score"))).alias("level"))
+    tiles = tiled(levels.unionByName(last.select("series_id", F.col("t").cast("long").alias("t"), "level")), ["series_id"], "t", before=1, rows=rows)
+    before = F.coalesce(F.lag("level").over(tiles.window), F.lit(0))
+    turns = tiles.own(tiles.rows.withColumn("before", before)).where("level <> before")
+    low, high = F.least("level", "before"), F.greatest("level", "before") - 1
+    turns = kept(turns.select("series_id", F.explode(F.sequence(low, high)).alias("place"), "t", (F.col("level") > F.col("before")).alias("opens")))
+    pairs = tiled(turns, ["series_id", "place"], "t", before=1, rows=rows)
+    ends = pairs.own(pairs.rows.withColumn("start", F.lag("t").over(pairs.window))).where("not opens")
+    return ends.select("series_id", "place", "start", F.col("t").alias("stop"))
+
+
+def cut_count(cuts: Column, score: Column) -> Column:
+    """How many of the ascending cuts are below a score."""
+    return F.size(F.filter(cuts, lambda c: c < score))
+
+
+def best_affiliation_f1(df: DataFrame, steps: int = 200, lo: float = 0.001, hi: float = 0.999, rows: int = RANGE_ROWS) -> DataFrame:
     """The first threshold of a grid of quantiles of the scores with the best affiliation F1: one row for each series,
     ``series_id, threshold, precision, recall, f1``.
 
-    ``df``: ``series_id, t, label, score``, rows without gaps in ``t``.  All thresholds go through one plan: a row is
-    repeated for the thresholds that it exceeds, and predictions are told apart by series and place in the grid.  A
-    threshold that no score exceeds is left out.
+    ``df``: ``series_id, t, label, score``, rows without gaps in ``t``.  All thresholds go through one plan, in which
+    predictions are told apart by series and place in the grid.  A threshold that no score exceeds is left out; NaN
+    exceeds none.
     """
     grid = [lo + i * (hi - lo) / (steps - 1) for i in range(steps)]
-    cuts = df.groupBy("series_id").agg(F.percentile("score", F.array(*map(F.lit, grid))).alias("cuts"), F.lit(0.0).alias("lo"), F.count("*").cast("double").alias("hi"))
-    places = F.filter(F.transform("cuts", lambda c, i: F.when(F.col("score") > c, i)), lambda i: i.isNotNull())
-    hits = df.join(F.broadcast(cuts.select("series_id", "cuts")), "series_id").select("series_id", "t", F.explode(places).alias("place"))
-    pred = events_of(hits.withColumn("on", F.lit(1)), "on", ["series_id", "place"], gaps=True)
-    truth = events_of(df, "label", ["series_id"])
+    cuts = kept(quantiles(df, ["score"], grid, ["series_id"], rows).select("series_id", F.col("quantiles").alias("cuts")))
+    pred = kept(threshold_events(df, cuts, rows))
+    truth = events_of(df, "label", ["series_id"], rows=rows)
     used = pred.select("series_id", "place").distinct()
-    as_double = [F.col(c).cast("double").alias(c) for c in ("start", "stop")]
-    events = pred.select("series_id", "place", F.lit("pred").alias("kind"), *as_double).unionByName(truth.join(used, "series_id").select("series_id", "place", F.lit("truth").alias("kind"), *as_double))
-    spans = cuts.join(used, "series_id").select("series_id", "place", "lo", "hi")
-    got = affiliation(events, spans, ("series_id", "place"))
+    events = pred.withColumn("kind", F.lit("pred")).unionByName(truth.join(used, "series_id").withColumn("kind", F.lit("truth")))
+    spans = df.groupBy("series_id").agg(F.lit(0.0).alias("lo"), F.count("*").cast("double").alias("hi")).join(used, "series_id")
+    got = affiliation(events, spans, ("series_id", "place"), rows)
     f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8)
     best = got.groupBy("series_id").agg(F.min_by(F.struct("place", "precision", "recall", f1.alias("f1")), F.struct((-F.nanvl(f1, F.lit(-1.0))).alias("less"), "place")).alias("b"))
     return best.join(cuts, "series_id").select("series_id", F.get("cuts", F.col("b.place")).alias("threshold"), "b.precision", "b.recall", "b.f1")
 
 
-def evaluate(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0, affiliated: bool = False, best: bool = True, adjusted: bool = True) -> DataFrame:
+def evaluate(initial: DataFrame, test: DataFrame, anomaly_ratio: float = 1.0, affiliated: bool = False, best: bool = True, adjusted: bool = True, rows: int = RANGE_ROWS) -> DataFrame:
     """``auc, threshold, precision, recall, f1`` of the test scores (``series_id, t, label, score``): one row.
 
     With ``best`` the threshold with the best F1 (point-adjusted or not, or by affiliation over a grid); else the
     percentile of all scores that ``anomaly_ratio`` percent exceed.  By affiliation a score at the threshold is a hit,
-    else only one above it.
+    else only one above it; measures by affiliation (and their thresholds) are means over the series.
     """
     auc = roc_auc(test)
+    measures = ["threshold", "precision", "recall", "f1"]
     if best:
         if affiliated:
-            got = best_affiliation_f1(test).drop("series_id")
+            got = best_affiliation_f1(test, rows=rows).agg(*[F.avg(m).alias(m) for m in measures])
         else:
-            got = best_f1_adjusted(test, ["series_id"]) if adjusted else best_f1(test)
-        return auc.join(F.broadcast(got.select("threshold", "precision", "recall", "f1")))
-    cut = percentile_threshold(initial, test, anomaly_ratio)
+            got = best_f1_adjusted(test, ["series_id"], rows) if adjusted else best_f1(test)
+        return auc.join(F.broadcast(got.select(*measures)))
+    cut = percentile_threshold(initial, test, anomaly_ratio, rows)
     if affiliated:
         hit = test.withColumn("hit", (F.col("score") >= cut).cast("int"))
-        of = lambda flag, kind: events_of(hit, flag, ["series_id"]).select("series_id", F.lit(kind).alias("kind"), F.col("start").cast("double").alias("start"), F.col("stop").cast("double").alias("stop"))
+        of = lambda flag, kind: events_of(hit, flag, ["series_id"], rows=rows).withColumn("kind", F.lit(kind))
         spans = test.groupBy("series_id").agg(F.lit(0.0).alias("lo"), F.count("*").cast("double").alias("hi"))
-        got = affiliation(of("hit", "pred").unionByName(of("label", "truth")), spans)
+        got = affiliation(of("hit", "pred").unionByName(of("label", "truth")), spans, rows=rows).agg(*[F.avg(m).alias(m) for m in measures[1:]])
     else:
         flagged = test.withColumn("flag", exceeds(F.col("score"), cut))
         if adjusted:
-            flagged = point_adjusted(flagged, ["series_id"]).withColumn("flag", F.col("adjusted"))
+            flagged = point_adjusted(flagged, ["series_id"], rows).withColumn("flag", F.col("adjusted"))
         got = confusion(flagged.withColumn("score", F.col("flag").cast("double")), 0.5)
-    return auc.join(F.broadcast(got.select(F.lit(cut).alias("threshold"), "precision", "recall", "f1")))
+    return auc.join(F.broadcast(got.select(F.lit(cut).alias("threshold"), *measures[1:])))
 
 
-def zones(truth: DataFrame, spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+def zones(truth: DataFrame, spans: DataFrame, by: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """The affiliation zone of each ground-truth event: half-way to its neighbours, outer ones to the span's ends."""
     by = by or ["series_id"]
-    w = Window.partitionBy(*by).orderBy("start")
-    left = F.coalesce((F.lag("stop").over(w) + F.col("start")) / 2, F.col("lo"))
-    right = F.coalesce((F.col("stop") + F.lead("start").over(w)) / 2, F.col("hi"))
-    return truth.join(spans, by).select(*by, "start", "stop", left.cast("double").alias("zone_lo"), right.cast("double").alias("zone_hi"))
+    tiles = tiled(truth.select(*by, "start", "stop"), by, "start", 1, 1, rows)
+    w = tiles.window
+    near = tiles.own(tiles.rows.withColumns({"__left": (F.lag("stop").over(w) + F.col("start")) / 2, "__right": (F.col("stop") + F.lead("start").over(w)) / 2}))
+    bounds = [F.coalesce(a, b).cast("double").alias(n) for n, a, b in (("zone_lo", "__left", "lo"), ("zone_hi", "__right", "hi"))]
+    return near.join(spans, by).select(*by, "start", "stop", *bounds)
 
 
-def in_zones(pred: DataFrame, zone: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Predicted events cut to the zones that they overlap.
+def in_zones(pred: DataFrame, zone: DataFrame, by: list[str] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """Predicted events, of which no two of a series overlap, cut to the zones that they overlap.
 
-    Both are put into bins of time as wide as a zone is on average, so a long series is no one group of the join: zones
-    and events of a series lie apart, so the rows are two for each zone and event or so.  A pair that shares several
-    bins counts in the first.
+    Zones and events of a series are sorted together by their starts.  An event meets the last zone that starts before it,
+    and a zone the last event that starts before it, if that is still open; these are all pairs there are, so each zone and
+    each event makes at most one row, however uneven their lengths.  What is open is carried from tile to tile.
     """
     by = by or ["series_id"]
-    width = zone.groupBy(*by).agg(F.min("zone_lo").alias("__from"), ((F.max("zone_hi") - F.min("zone_lo")) / F.count("*")).alias("__width"))
-    bin_of = lambda x: F.floor((x - F.col("__from")) / F.col("__width"))
+    p = pred.select(*by, F.col("start").cast("double").alias("at"), F.lit(1).alias("kind"), F.struct(F.col("start").cast("double").alias("p0"), F.col("stop").cast("double").alias("p1")).alias("pred"))
+    z = zone.select(*by, F.col("zone_lo").alias("at"), F.lit(0).alias("kind"), F.struct("start", "stop", "zone_lo", "zone_hi").alias("zone"))
+    both = last_known(p.unionByName(z, allowMissingColumns=True), {"last_pred": F.col("pred"), "last_zone": F.col("zone")}, by, [F.col("at"), F.col("kind")], rows)
+    pairs = both.select(*by, F.coalesce("pred", "last_pred").alias("p"), F.coalesce("zone", "last_zone").alias("z"))
+    out = pairs.where("p.p1 > z.zone_lo and p.p0 < z.zone_hi")
+    return out.select(*by, "z.start", "z.stop", F.greatest("p.p0", "z.zone_lo").alias("part_lo"), F.least("p.p1", "z.zone_hi").alias("part_hi"))
 
-    def binned(df: DataFrame, lo: str, hi: str, first: str) -> DataFrame:
-        placed = df.join(width, by).withColumn(first, bin_of(F.col(lo)))
-        return placed.withColumn("__bin", F.explode(F.sequence(F.col(first), bin_of(F.col(hi))))).drop("__from", "__width")
 
-    p = binned(pred.select(*by, F.col("start").alias("p0"), F.col("stop").alias("p1")), "p0", "p1", "__p")
-    z = binned(zone, "zone_lo", "zone_hi", "__z")
-    out = p.join(z, [*by, "__bin"]).where("p1 > zone_lo and p0 < zone_hi and __bin = greatest(__p, __z)")
-    return out.select(*by, "start", "stop", F.greatest("p0", "zone_lo").cast("double").alias("part_lo"), F.least("p1", "zone_hi").cast("double").alias("part_hi"))
+def value_ranges(*tables: DataFrame, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """``series_id, lo, hi``: the least start and greatest stop of each series' events in any of the tables.
+
+    Where no span is given, that of all event sets of a series stands for it, so sets that are compared share one.
+    """
+    both = tables[0].select(*by, "start", "stop")
+    for t in tables[1:]:
+        both = both.unionByName(t.select(*by, "start", "stop"))
+    return both.groupBy(*by).agg(F.min("start").cast("double").alias("lo"), F.max("stop").cast("double").alias("hi"))

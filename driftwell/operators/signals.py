@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as S
+from ..functions.order import RANGE_ROWS
+from ..functions.quantiles import quantile_values
+from ..functions.tiles import tiled, with_totals
 from ..plans.errors import SignalError
 
 KEYS = ["stream_id", "stage"]
@@ -91,10 +94,10 @@ class Normaliser:
         return cls(channels, [row[f"m{i}"] or 0.0 for i in range(len(channels))], [row[f"s{i}"] or 0.0 for i in range(len(channels))])
 
     @classmethod
-    def robust(cls, df: DataFrame, channels: list[str]) -> Normaliser:
+    def robust(cls, df: DataFrame, channels: list[str], rows: int = RANGE_ROWS) -> Normaliser:
         """Median and range between the quartiles, interpolated linearly."""
-        row = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in channels]).first()
-        return cls(channels, [row[c][1] for c in channels], [row[c][2] - row[c][0] for c in channels])
+        q = quantile_values(df, channels, [0.25, 0.5, 0.75], rows)
+        return cls(channels, [q[c][1] for c in channels], [q[c][2] - q[c][0] for c in channels])
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: S.zscore(F.col(c), m, s) for c, m, s in zip(self.channels, self.centre, self.scale, strict=True)})
@@ -121,10 +124,9 @@ def sliding_windows(df: DataFrame, size: int, stride: int = 1, by: tuple[str, ..
     """
     if size <= 0 or stride <= 0:
         raise ValueError("size and stride must be positive")
-    n = F.count("*").over(Window.partitionBy(*by))
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - size + 1) / stride)).cast("long")
-    last = F.least(F.floor(F.col("t") / stride), F.floor((n - size) / stride)).cast("long")
-    out = df.withColumn("__n", n).withColumn("__first", first).withColumn("__last", last).where("__n >= " + str(int(size)) + " and __first <= __last")
+    last = F.least(F.floor(F.col("t") / stride), F.floor((F.col("__n") - size) / stride)).cast("long")
+    out = with_totals(df, list(by), __n=F.count("*")).withColumn("__first", first).withColumn("__last", last).where("__n >= " + str(int(size)) + " and __first <= __last")
     return out.withColumn("window", F.explode(F.sequence("__first", "__last"))).drop("__n", "__first", "__last")
 
 
@@ -133,8 +135,7 @@ def aligned_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = (
 
     A series of at most ``size`` rows has the one window that starts at 0; ``window_start`` names it.
     """
-    n = F.count("*").over(Window.partitionBy(*by))
-    out = df.withColumn("__n", n)
+    out = with_totals(df, list(by), __n=F.count("*"))
     last = F.greatest(F.col("__n") - size, F.lit(0))
     regular = F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long"))
     starts = F.array_union(regular, F.array(last))
@@ -145,8 +146,7 @@ def aligned_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = (
 def padded_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """``aligned_windows`` with ``position`` in the window and ``padded``: a series of fewer than ``size`` rows repeats its
     last row, marked, until its one window is full."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    last = df.withColumn("__n", n).where((F.col("__n") < size) & (F.col("t") == F.col("__n") - 1))
+    last = with_totals(df, list(by), __n=F.count("*")).where((F.col("__n") < size) & (F.col("t") == F.col("__n") - 1))
     extra = last.withColumn("position", F.explode(F.sequence("__n", F.lit(size - 1).cast("long")))).drop("__n")
     extra = extra.withColumns({"window_start": F.lit(0).cast("long"), "padded": F.lit(True)})
     whole = aligned_windows(df, size, step, by).withColumns({"position": F.col("t") - F.col("window_start"), "padded": F.lit(False)})
@@ -191,14 +191,15 @@ def spectrum(windowed: DataFrame, column: str, size: int, window: list[str]) ->
     return out.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
 
 
-def trailing_buffer(df: DataFrame, channels: list[str], capacity: int, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+def trailing_buffer(df: DataFrame, channels: list[str], capacity: int, by: tuple[str, ...] = ("stream_id",), rows: int = RANGE_ROWS) -> DataFrame:
     """What a ring buffer holds after each row: ``buffer_rows, full`` and each channel's values, oldest first."""
     if capacity <= 0:
         raise ValueError("capacity must be positive")
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(-(capacity - 1), 0)
-    return df.select(
-        *by, "t", F.count("*").over(w).alias("buffer_rows"), (F.count("*").over(w) == capacity).alias("full"), *[F.collect_list(c).over(w).alias(c) for c in channels]
-    )
+    tiles = tiled(df.select(*by, "t", *channels), list(by), "t", before=capacity - 1, rows=rows)
+    w = tiles.window.rowsBetween(-(capacity - 1), 0)
+    held = {"buffer_rows": F.count("*").over(w), "full": F.count("*").over(w) == capacity}
+    out = tiles.own(tiles.rows.select("*", *[v.alias(k) for k, v in held.items()], *[F.collect_list(c).over(w).alias(f"__l_{c}") for c in channels]))
+    return out.select(*by, "t", *held, *[F.col(f"__l_{c}").alias(c) for c in channels])
 
 
 def drop_zero_channels(df: DataFrame, channels: list[str]) -> tuple[DataFrame, list[str]]:
@@ -210,8 +211,7 @@ def drop_zero_channels(df: DataFrame, channels: list[str]) -> tuple[DataFrame, l
 
 def train_valid_split(df: DataFrame, by: str = "entity", long_series: int = 100_000, share: float = 0.8) -> DataFrame:
     """``split``: the first 80 % of a series train, the rest validate; a long one in two halves, each split so."""
-    n = F.count("*").over(Window.partitionBy(by))
-    out = df.withColumn("__n", n).withColumn("__half", F.floor(F.col("__n") / 2))
+    out = with_totals(df, [by], __n=F.count("*")).withColumn("__half", F.floor(F.col("__n") / 2))
     start = F.when((F.col("__n") > long_series) & (F.col("t") >= F.col("__half")), F.col("__half")).otherwise(0)
     size = F.when(F.col("__n") <= long_series, F.col("__n")).when(F.col("t") < F.col("__half"), F.col("__half")).otherwise(F.col("__n") - F.col("__half"))
     return out.withColumn("split", F.when(F.col("t") - start < F.floor(size * share), "train").otherwise("valid")).drop("__n", "__half")

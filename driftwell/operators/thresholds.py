@@ -8,9 +8,12 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import RANGE_ROWS
+from ..functions.quantiles import quantile_values, quantiles
 from ..functions.series import EPSILON
 from ..plans.errors import ConfigError, NotFittedError
 from ..plans.registry import THRESHOLDS
+from ..session import kept
 
 
 class Threshold(Protocol):
@@ -57,13 +60,14 @@ class QuantileThreshold:
 
     q: float = 0.99
     value: float | None = None
+    rows: int = RANGE_ROWS
 
     def __post_init__(self) -> None:
         if not 0 < self.q < 1:
             raise ConfigError("q must be between 0 and 1")
 
     def fit(self, scores: DataFrame) -> QuantileThreshold:
-        self.value = scores.agg(F.percentile("score", F.lit(self.q)).alias("v")).first()["v"]
+        self.value = quantile_values(scores, ["score"], [self.q], self.rows).get("score", [None])[0]
         return self
 
     def column(self, by: list[str]) -> Column:
@@ -102,20 +106,20 @@ class AdaptiveThreshold:
         return F.greatest(F.lit(self.floor), mean + self.k * self.std)
 
 
-def robust_zscale(score: Column, by: list[str]) -> Column:
-    """``(s - median) / (1.4826 (MAD + 1e-8))`` with the statistics of the window itself."""
-    w = Window.partitionBy(*by)
-    median = F.percentile(score, F.lit(0.5)).over(w)
-    return (score - median) / ((F.percentile(F.abs(score - median), F.lit(0.5)).over(w) + EPSILON) * 1.4826)
+def robust_scaled(df: DataFrame, scores: list[str], by: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """``(s - median) / (1.4826 (MAD + 1e-8))`` of each score column with the statistics of its own window ``by``: the
+    medians of all windows first, then those of the deviations from them."""
 
+    def joined(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+        middle = quantiles(df, columns, [0.5], by, rows)
+        wide = middle.groupBy(*by).agg(*[F.max(F.when(F.col("channel") == c, F.col("quantiles")[0])).alias(n) for c, n in zip(columns, names, strict=True)])
+        return df.join(wide, by, "left")
 
-def robust_scaled(df: DataFrame, scores: list[str], by: list[str]) -> DataFrame:
-    """Each score column scaled by ``robust_zscale``: the median first, then the deviations from it."""
-    w = Window.partitionBy(*by)
-    out = df.withColumns({f"__m_{c}": F.percentile(c, F.lit(0.5)).over(w) for c in scores})
-    out = out.withColumns({f"__d_{c}": F.percentile(F.abs(F.col(c) - F.col(f"__m_{c}")), F.lit(0.5)).over(w) for c in scores})
+    out = joined(kept(df), scores, [f"__m_{c}" for c in scores])
+    out = out.withColumns({f"__a_{c}": F.abs(F.col(c) - F.col(f"__m_{c}")) for c in scores})
+    out = joined(out, [f"__a_{c}" for c in scores], [f"__d_{c}" for c in scores])
     out = out.withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / ((F.col(f"__d_{c}") + EPSILON) * 1.4826) for c in scores})
-    return out.drop(*[f"__{k}_{c}" for k in "md" for c in scores])
+    return out.drop(*[f"__{k}_{c}" for k in "mad" for c in scores])
 
 
 def fuse(scores: list[Column], method: str = "mean", weights: list[float] | None = None) -> Column:

@@ -307,7 +307,7 @@ select auc, round(cut, 6) as threshold, {PRF} from p, ct, au""",
 b as ({_best('pa')}) select auc, threshold, precision, recall, f1 from b, au""",
     "evaluate_affiliated": f"""with {HALVES}, g as (select 0 as g), hits as (select 0 as g, t from te, ct where score >= cut), {_affiliated('g')}
 select auc, round(cut, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from af, ct, au""",
-    "best_affiliation": f"""with {HALVES}, g as (select i as g, quantile_cont(score, [{', '.join(repr(0.001 + i * 0.998 / 24) for i in range(25))}])[i + 1] as cut from te, range(25) r(i) group by i),
+    "best_affiliation": f"""with {HALVES}, g as (select i as g, quantile_cont(score, [{', '.join(repr(0.001 + i * 0.998 / 199) for i in range(200))}])[i + 1] as cut from te, range(200) r(i) group by i),
 hits as (select g, t from te, g where score > cut), {_affiliated('g')}, be as (select g, cut, precision, recall, 2 * precision * recall / (precision + recall + 1e-8) as f1 from af join g using (g))
 select 'events' as series_id, round(cut, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from be order by be.f1 desc, g limit 1""",
     "affiliation_pr": f"""with {HOURLY}, {TRUTH}, te as (select * from ht), g as (select 0 as g), hits as (select 0 as g, t from ht where flag), {_affiliated('g')}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import series as S
 from .functions.order import numbered
+from .functions.tiles import ewma_forecasts, tiled, with_totals
 from .functions.text import name_list, natural_key, percent, site, tag_list, time_features
 from .operators import attribution, events_eval as E, policy, signals, social
 from .operators.detectors import DETECTORS, longest_runs, summarise
@@ -22,6 +23,8 @@ from .sources.synthetic import inject_drift, inject_regression, inject_spike
 
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 BASELINE, WINDOW = 480, 48
+#: Rows of a tile in these queries: their series are short, and are dealt to many tiles all the same.
+TILE = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -98,7 +101,7 @@ def znorm(spark, sf):
 @query
 def robust_norm(spark, sf):
     baseline, windows = split(staged(spark, sf))
-    return rounded(Normaliser.robust(baseline, CHANNELS).transform(windows))
+    return rounded(Normaliser.robust(baseline, CHANNELS, TILE).transform(windows))
 
 
 @query
@@ -121,9 +124,9 @@ def aligned_windows(spark, sf):
 def _windowed(spark, sf) -> DataFrame:
     """Windows of 64 rows, every 50, over the stages, whose 48 rows are padded; errors of a smoothed form."""
     df = staged(spark, sf)
-    w = S.ordered(KEYS)
-    smooth = {f"r_{c}": S.smooth(F.col(c), 1.0, w) for c in ("click", "view")}
-    return signals.padded_windows(df.withColumns(smooth), 64, 50, tuple(KEYS)).select(*KEYS, "t", "window_start", "position", "padded", "click", "view", "r_click", "r_view")
+    tiles = tiled(df, KEYS, "t", 3, 3, TILE)
+    smooth = tiles.own(tiles.rows.withColumns({f"r_{c}": S.smooth(F.col(c), 1.0, tiles.window) for c in ("click", "view")}))
+    return signals.padded_windows(smooth, 64, 50, tuple(KEYS)).select(*KEYS, "t", "window_start", "position", "padded", "click", "view", "r_click", "r_view")
 
 
 @query
@@ -156,28 +159,27 @@ def spectrum(spark, sf):
 
 @query
 def stream_buffer(spark, sf):
-    b = signals.trailing_buffer(hourly(spark, sf), CHANNELS, 24)
+    b = signals.trailing_buffer(hourly(spark, sf), CHANNELS, 24, rows=TILE)
     return b.select("stream_id", "t", "buffer_rows", "full", *[F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias(c) for c in CHANNELS])
 
 
 @query
 def gaussian_smooth(spark, sf):
-    w = S.ordered(KEYS)
-    df = staged(spark, sf).where("stage >= 0")
-    return rounded(df.select(*KEYS, "t", *[S.smooth(F.col(c), 1.0, w).alias(c) for c in CHANNELS]))
+    tiles = tiled(staged(spark, sf).where("stage >= 0"), KEYS, "t", 3, 3, TILE)
+    return rounded(tiles.own(tiles.rows.select(*KEYS, "t", *[S.smooth(F.col(c), 1.0, tiles.window).alias(c) for c in CHANNELS], "__own", "__range")))
 
 
 @query
 def detrended(spark, sf):
-    w, whole = S.ordered(KEYS), Window.partitionBy(*KEYS)
-    df = staged(spark, sf).where("stage >= 0")
-    return rounded(df.select(*KEYS, "t", S.detrend(F.col("click"), 5, w, whole).alias("by_five"), S.detrend(F.col("click"), 4, w, whole).alias("by_four"), S.detrend(F.col("click"), 1, w, whole).alias("by_mean")))
+    df = with_totals(staged(spark, sf).where("stage >= 0"), KEYS, mean=F.avg("click"))
+    tiles = tiled(df, KEYS, "t", 2, 2, TILE)
+    return rounded(tiles.own(tiles.rows.select(*KEYS, "t", *[S.detrend(F.col("click"), n, tiles.window, F.col("mean")).alias(c) for n, c in ((5, "by_five"), (4, "by_four"), (1, "by_mean"))], "__own", "__range")))
 
 
 @query
 def differenced(spark, sf):
-    w = S.ordered(KEYS)
-    return staged(spark, sf).where("stage >= 0").select(*KEYS, "t", *[S.difference(F.col(c), w).alias(c) for c in CHANNELS])
+    tiles = tiled(staged(spark, sf).where("stage >= 0"), KEYS, "t", before=1, rows=TILE)
+    return tiles.own(tiles.rows.select(*KEYS, "t", *[S.difference(F.col(c), tiles.window).alias(c) for c in CHANNELS], "__own", "__range"))
 
 
 @query
@@ -212,9 +214,7 @@ def gram_matrix(spark, sf):
 
 @query
 def ewma_scores(spark, sf):
-    w = S.ordered(KEYS)
-    df = staged(spark, sf).where("stage >= 0")
-    f = df.withColumns({f"f_{c}": S.ewma_forecast(F.col(c), 0.3, w) for c in CHANNELS})
+    f = ewma_forecasts(staged(spark, sf).where("stage >= 0"), {f"f_{c}": F.col(c) for c in CHANNELS}, 0.3, KEYS, rows=TILE)
     return rounded(f.select(*KEYS, "t", S.mean_of([F.abs(F.col(c) - F.col(f"f_{c}")) for c in CHANNELS]).alias("score")))
 
 
@@ -252,7 +252,7 @@ def _threshold(name: str, **params):
 
 QUERIES["threshold_static"] = _threshold("static", value=1.5)
 QUERIES["threshold_sigma"] = _threshold("sigma")
-QUERIES["threshold_quantile"] = _threshold("quantile")
+QUERIES["threshold_quantile"] = _threshold("quantile", rows=64)
 QUERIES["threshold_adaptive"] = _threshold("adaptive")
 
 
@@ -264,7 +264,7 @@ def window_summary(spark, sf):
 
 @query
 def longest_run(spark, sf):
-    return longest_runs(flagged(spark, sf, faults=True))
+    return longest_runs(flagged(spark, sf, faults=True), rows=TILE)
 
 
 @query
@@ -359,17 +359,17 @@ def hourly_truth(spark, sf) -> DataFrame:
 
 @query
 def point_adjust(spark, sf):
-    return E.point_adjusted(hourly_truth(spark, sf), ["stream_id"]).select("stream_id", "t", "adjusted")
+    return E.point_adjusted(hourly_truth(spark, sf), ["stream_id"], TILE).select("stream_id", "t", "adjusted")
 
 
 @query
 def best_f1_adjusted(spark, sf):
-    return rounded(E.best_f1_adjusted(hourly_truth(spark, sf), ["stream_id"]))
+    return rounded(E.best_f1_adjusted(hourly_truth(spark, sf), ["stream_id"], TILE))
 
 
 @query
 def events_from_vector(spark, sf):
-    return E.events_of(hourly_truth(spark, sf), "label", ["stream_id"])
+    return E.events_of(hourly_truth(spark, sf), "label", ["stream_id"], rows=TILE)
 
 
 @query
@@ -416,7 +416,7 @@ def _halves(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query
 def evaluate_percentile(spark, sf):
-    return rounded(E.evaluate(*_halves(spark, sf), anomaly_ratio=20.0, best=False))
+    return rounded(E.evaluate(*_halves(spark, sf), anomaly_ratio=20.0, best=False, rows=TILE))
 
 
 @query
@@ -431,7 +431,7 @@ def evaluate_affiliated(spark, sf):
 
 @query
 def best_affiliation(spark, sf):
-    return rounded(E.best_affiliation_f1(_halves(spark, sf)[1], steps=25))
+    return rounded(E.best_affiliation_f1(_halves(spark, sf)[1], steps=200, rows=TILE))
 
 
 @query

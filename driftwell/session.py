@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -14,3 +16,18 @@ def workers_find_package(spark: SparkSession) -> None:
     path = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed, so that several plans read it and a lost executor costs no recomputation.
+
+    The folder is that of ``spark.checkpoint.dir``; where it is unset, a session that runs in one process gets a folder of
+    its own, and a cluster is an error, as a folder of one machine would lose rows.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="driftwell-"))
+    return df.checkpoint()
