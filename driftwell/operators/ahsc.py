@@ -7,10 +7,17 @@ sequential; codes and scores are matrix operations over blocks of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.quantiles import quantiles
+from ..session import kept, workers_find_package
 
 TINY = 1e-8
 #: Rows that are coded at a time; a code has ``expansion`` numbers for each channel.
@@ -95,6 +102,7 @@ class Space:
         self.center = np.zeros((0, dim))
         self.radius, self.weight = np.zeros(0), np.zeros(0)
         self.core_hits, self.shell_hits, self.status = (np.zeros(0, np.int64) for _ in range(3))
+        self.pivot, self.touch = np.zeros(0), np.zeros((0, 0), bool)
         self.group, self.group_center = np.zeros(0, np.int64), np.zeros((0, dim))
         self.stale = True
 
@@ -105,13 +113,28 @@ class Space:
         self.center = np.vstack([self.center, center])
         self.radius, self.weight = np.append(self.radius, radius), np.append(self.weight, 1.0)
         self.core_hits, self.shell_hits, self.status = np.append(self.core_hits, hits), np.append(self.shell_hits, 0), np.append(self.status, status)
+        self.pivot = np.append(self.pivot, 0.0)
+        self.touch = np.pad(self.touch, ((0, 1), (0, 1)))
+        self.moved(len(self) - 1)
+
+    def moved(self, i: int) -> None:
+        """Finds anew which spheres touch sphere ``i``.
+
+        Two that touch are no farther from a pivot (the origin) than their radii let them be apart, so distances are
+        measured for those alone of which this holds.
+        """
+        self.pivot[i] = np.linalg.norm(self.center[i])
+        reach = self.radius + self.radius[i]
+        near = np.flatnonzero(np.abs(self.pivot - self.pivot[i]) <= reach * (1 + 1e-9) + 1e-9)
+        touches = np.linalg.norm(self.center[near] - self.center[i], axis=1) <= reach[near]
+        self.touch[i] = False
+        self.touch[i, near] = touches
+        self.touch[:, i] = self.touch[i]
         self.stale = True
 
     def regroup(self) -> None:
         """Groups of spheres that touch, in the order of their first member, and the mean of each group's centres."""
         n = len(self)
-        gap = np.linalg.norm(self.center[:, None, :] - self.center[None, :, :], axis=2)
-        touch = gap <= self.radius[:, None] + self.radius[None, :]
         self.group = np.full(n, -1)
         count = 0
         for i in range(n):
@@ -120,7 +143,7 @@ class Space:
             reached, edge = np.zeros(n, bool), np.zeros(n, bool)
             reached[i] = edge[i] = True
             while edge.any():
-                edge = touch[edge].any(axis=0) & ~reached & (self.group < 0)
+                edge = self.touch[edge].any(axis=0) & ~reached
                 reached |= edge
             self.group[reached] = count
             count += 1
@@ -146,10 +169,10 @@ class Space:
             self.shell_hits[i] += 1
             self.center[i] += (row - self.center[i]) / self.shell_hits[i]
             self.radius[i] = grown_radius(self.radius[i], distance, self.theta, self.most_radius)
+            self.moved(i)
         self.weight[i] += max(self.radius[i] - distance, 0.0) / self.radius[i] / self.theta
         if self.core_hits[i] + self.shell_hits[i] >= self.delta and self.weight[i] > 0:
             self.status[i] = CORE
-        self.stale = True
 
     def fade(self) -> None:
         """All lose weight; of those without any left, core ones become a buffer of weight 0.5 and others go."""
@@ -159,8 +182,9 @@ class Space:
         self.weight[saved], self.status[saved] = 0.5, BUFFER
         keep = ~spent | saved
         if not keep.all():
-            for name in ("center", "radius", "weight", "core_hits", "shell_hits", "status"):
+            for name in ("center", "radius", "weight", "core_hits", "shell_hits", "status", "pivot"):
                 setattr(self, name, getattr(self, name)[keep])
+            self.touch = self.touch[np.ix_(keep, keep)]
             self.stale = True
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -195,47 +219,84 @@ class StreamClusters:
     core_share: float = 0.5
     rebuild_every: int = 50
     seed: int = 0
+    rows: int = field(default=0, repr=False)
     space: Space | None = None
     units: Units | None = field(default=None, repr=False)
     background: np.ndarray | None = field(default=None, repr=False)
 
-    def _excess(self, rows: np.ndarray) -> Iterator[np.ndarray]:
-        """Codes less the background before each, a block at a time; leaves the last background behind."""
+    def begin(self, channels: int) -> StreamClusters:
+        """Ready for the first row of a stream, with the same units each time."""
+        self.units = Units.draw(channels, self.expansion, self.density, self.wta_frac, self.seed)
         self.background = np.zeros(len(self.units))
-        for lo in range(0, len(rows), BLOCK):
-            codes = self.units.codes(rows[lo : lo + BLOCK])
-            trace = traces(codes, self.background, self.alpha, self.beta)
-            self.background = trace[-1]
-            yield np.maximum(codes - trace[:-1], 0.0)
+        self.space, self.rows = None, 0
+        return self
+
+    def excess(self, rows: np.ndarray) -> np.ndarray:
+        """Codes of the next rows less the background before each; leaves the last background behind."""
+        codes = self.units.codes(rows)
+        trace = traces(codes, self.background, self.alpha, self.beta)
+        self.background = trace[-1]
+        return np.maximum(codes - trace[:-1], 0.0)
+
+    def grow(self, block: np.ndarray, radius: float) -> None:
+        """Grows spheres over the next block of excesses; the first ones (a stream's first block holds BLOCK rows, or all)
+        come from its head."""
+        if self.space is None:
+            self.space = Space(len(self.units), self.theta, 10 * radius, self.delta)
+            head = min(len(block), max(5 * self.n_init, 50))
+            for center, n in zip(*seeds(block[:head], self.n_init, np.random.default_rng(self.seed)), strict=True):
+                if n:
+                    self.space.add(center, radius, int(n), CORE if n >= self.delta else POTENTIAL)
+            block = block[head:]
+        space = self.space
+        for code in block:
+            best, distance = space.nearest(code)
+            if best >= 0 and distance <= space.radius[best]:
+                space.absorb(best, code, distance, self.core_share)
+            else:
+                space.add(code, radius, 1, POTENTIAL)
+            self.rows += 1
+            if self.rows % self.rebuild_every == 0:
+                space.fade()
+
+    def end(self) -> StreamClusters:
+        self.space.fade()
+        self.space.regroup()
+        return self
 
     def fit(self, rows: np.ndarray) -> StreamClusters:
         """Three passes over the rows, so that codes are never held for more than a block of them: their mean, the
         median distance from it (the first radius), the spheres."""
         rows = _matrix(rows)
-        self.units = Units.draw(rows.shape[1], self.expansion, self.density, self.wta_frac, self.seed)
-        mean = sum(x.sum(axis=0) for x in self._excess(rows)) / len(rows)
-        radius = float(np.median(np.concatenate([np.linalg.norm(x - mean, axis=1) for x in self._excess(rows)]))) + TINY
-        self.space = space = Space(len(self.units), self.theta, 10 * radius, self.delta)
-        head = min(len(rows), max(5 * self.n_init, 50))  # less than a block
-        at = 0
-        for block in self._excess(rows):
-            if not at:
-                for center, n in zip(*seeds(block[:head], self.n_init, np.random.default_rng(self.seed)), strict=True):
-                    if n:
-                        space.add(center, radius, int(n), CORE if n >= self.delta else POTENTIAL)
-                block, at = block[head:], head
-            for code in block:
-                best, distance = space.nearest(code)
-                if best >= 0 and distance <= space.radius[best]:
-                    space.absorb(best, code, distance, self.core_share)
-                else:
-                    space.add(code, radius, 1, POTENTIAL)
-                at += 1
-                if (at - head) % self.rebuild_every == 0:
-                    space.fade()
-        space.fade()
-        space.regroup()
-        return self
+        blocks = [rows[lo : lo + BLOCK] for lo in range(0, len(rows), BLOCK)]
+
+        def passed():
+            self.begin(rows.shape[1])
+            return map(self.excess, blocks)
+
+        mean = sum(x.sum(axis=0) for x in passed()) / len(rows)
+        radius = float(np.median(np.concatenate([np.linalg.norm(x - mean, axis=1) for x in passed()]))) + TINY
+        for block in passed():
+            self.grow(block, radius)
+        return self.end()
+
+    def to_json(self) -> str:
+        """Parameters, background and spheres; the units are drawn again from the seed."""
+        numbers = {k: v for k, v in vars(self).items() if k not in ("space", "units", "background")}
+        space = {k: (v.tolist() if isinstance(v, np.ndarray) else v) for k, v in vars(self.space).items() if k not in ("touch", "pivot")}
+        return json.dumps({"model": numbers, "channels": len(self.background) // self.expansion, "background": self.background.tolist(), "space": space})
+
+    @classmethod
+    def from_json(cls, text: str) -> StreamClusters:
+        """A model for scoring: which spheres touch is not kept, their groups are."""
+        told = json.loads(text)
+        out = cls(**told["model"])
+        out.units = Units.draw(told["channels"], out.expansion, out.density, out.wta_frac, out.seed)
+        out.background = np.array(told["background"])
+        out.space = Space(len(out.units), out.theta, 0.0, out.delta)
+        for k, v in told["space"].items():
+            setattr(out.space, k, np.array(v, getattr(out.space, k).dtype) if isinstance(v, list) else v)
+        return out
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Scores of rows against the spheres; the background stays as the baseline left it."""
@@ -244,3 +305,123 @@ class StreamClusters:
         rows = _matrix(rows)
         parts = [self.space.scores(np.maximum(self.units.codes(rows[lo : lo + BLOCK]) - self.background, 0.0)) for lo in range(0, len(rows), BLOCK)]
         return np.concatenate([np.zeros(0), *parts])
+
+
+# --- many streams, each a keyed fold ---------------------------------------------------------------------------------
+
+
+def _fold(start: Callable, step: Callable, end: Callable) -> Callable:
+    """A map over batches sorted by stream (first column): a state for each stream, stepped by blocks of BLOCK rows.
+
+    The last column is set in the head of a stream, a row with ``t`` -1 before the others, if it has one.  A task holds a
+    block and a state, whatever the length of a stream.  ``step`` and ``end`` make batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state, held = None, None, []
+
+        def flushed():
+            rows = [np.concatenate(held)] if held else []
+            held.clear()
+            return (out for m in rows for out in step(name, state, m))
+
+        for batch in batches:
+            names, heads = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1)
+            is_head = batch.column(1).to_numpy() < 0
+            matrix = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:-1]], axis=1)
+            turns = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for lo, hi in zip([0, *turns] if names else [], [*turns, len(names)], strict=False):
+                if state is None or names[lo] != name:
+                    if state is not None:
+                        yield from flushed()
+                        yield from end(name, state)
+                    name = names[lo]
+                    state = start(heads[lo].as_py())
+                lo += int(is_head[lo])
+                while lo < hi:
+                    stop = min(hi, lo + BLOCK - sum(map(len, held)))
+                    held.append(matrix[lo:stop])
+                    lo = stop
+                    if sum(map(len, held)) == BLOCK:
+                        yield from flushed()
+        if state is not None:
+            yield from flushed()
+            yield from end(name, state)
+
+    return run
+
+
+def fit_streams(df: DataFrame, channels: list[str], params: dict, by: str = "stream_id", order: tuple[str, ...] = ("t",)) -> DataFrame:
+    """``by, model``: the clustering of every stream as a text, fitted in parallel, a stream by one task.
+
+    A stream's rows are folded in order, as ``StreamClusters.fit`` does with a matrix, in the same three passes; neither the
+    length of a stream nor the number of streams is bounded, and no row goes to the driver.  The median distance, which
+    ``fit`` takes from all rows of a stream, is an exact quantile over the rows of all streams at once.
+    """
+    workers_find_package(df.sparkSession)
+    kind, width = df.schema[by].dataType, len(channels)
+    values = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)]
+    rows = df.repartition(by).sortWithinPartitions(by, *order).select(F.col(by).alias("stream"), F.lit(0).alias("t"), *values)
+    rows = kept(rows.withColumn("n", F.monotonically_increasing_id()))
+
+    def mapped(fn: Callable, schema: str, heads: DataFrame | None = None) -> DataFrame:
+        table = rows.withColumn("head", F.lit(None).cast("array<double>"))
+        if heads is not None:
+            table = table.unionByName(heads.withColumns({"t": F.lit(-1), "n": F.lit(0).cast("long")}), allowMissingColumns=True)
+        table = table.repartition("stream").sortWithinPartitions("stream", "t", "n").drop("n")
+        return table.mapInArrow(fn, f"stream {kind.simpleString()}, {schema}")
+
+    def batch(name, column: str, of: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(of), from_arrow), pa.array(of)], ["stream", column])
+
+    from_arrow = rows.limit(0).select("stream").toArrow().schema.field("stream").type
+    fresh = lambda: StreamClusters(**params).begin(width)
+
+    def summed(name, state, matrix):
+        state["n"] += len(matrix)
+        state["sum"] = state["sum"] + state["model"].excess(matrix).sum(axis=0)
+        return ()
+
+    means = mapped(_fold(lambda _: {"model": fresh(), "n": 0, "sum": 0.0}, summed, lambda name, s: [batch(name, "head", [(s["sum"] / s["n"]).tolist()])]), "head array<double>")
+
+    def distances(name, state, matrix):
+        yield batch(name, "away", np.linalg.norm(state["model"].excess(matrix) - state["mean"], axis=1).tolist())
+
+    away = mapped(_fold(lambda head: {"model": fresh(), "mean": np.array(head)}, distances, lambda name, s: ()), "away double", means)
+    radius = quantiles(kept(away), ["away"], [0.5], ["stream"]).select("stream", F.col("quantiles").alias("head"))
+
+    def grown(name, state, matrix):
+        state["model"].grow(state["model"].excess(matrix), state["radius"])
+        return ()
+
+    fitted = _fold(lambda head: {"model": fresh(), "radius": head[0] + TINY}, grown, lambda name, s: [batch(name, "model", [s["model"].end().to_json()])])
+    return mapped(fitted, "model string", radius).withColumnRenamed("stream", by)
+
+
+def score_streams(df: DataFrame, models: DataFrame, channels: list[str], extra: list[str], by: str = "stream_id") -> DataFrame:
+    """``by, extra, score`` of rows against the model of their own stream, which travels to the stream's rows; null where a
+    stream has none.  For any number of models; a stream is scored by one task."""
+    workers_find_package(df.sparkSession)
+    names = [by, *[c for c in extra if c != by], *[c for c in channels if c not in extra]]
+    rows = df.select(*names).withColumn("model", F.lit(None).cast("string")).unionByName(models.select(by, "model"), allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [by, *[c for c in extra if c != by]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, model, some = None, None, False
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(b.num_columns - 1)
+            turns = [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]]
+            for lo, hi in zip([0, *turns] if ids else [], [*turns, len(ids)], strict=False):
+                if not some or ids[lo] != name:
+                    name, model, some = ids[lo], None, True
+                if texts[lo].is_valid:
+                    model = StreamClusters.from_json(texts[lo].as_py())
+                    lo += 1
+                part = b.slice(lo, hi - lo)
+                matrix = np.stack([part.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in channels], axis=1)
+                score = pa.array(model.scores(matrix)) if model is not None else pa.nulls(len(matrix), pa.float64())
+                yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in out], score], [*out, "score"])
+
+    ordered = rows.repartition(by).sortWithinPartitions(by, F.col("model").asc_nulls_last())
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", score double")

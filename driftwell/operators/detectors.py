@@ -13,7 +13,7 @@ from ..functions.order import RANGE_ROWS
 from ..functions.tiles import ewma_forecasts, islands, tiled, with_totals
 from ..plans.errors import ConfigError, NotFittedError
 from ..plans.registry import DETECTORS, THRESHOLDS
-from ..session import kept
+from ..session import kept, workers_find_package
 from .signals import KEYS, Normaliser, SignalSchema
 from .thresholds import SigmaThreshold, fuse, robust_scaled
 
@@ -264,36 +264,53 @@ class SpatiotemporalDetector(Detector):
 class HabituationDetector(Detector):
     """Distance from the nearest microcluster of a habituating stream clustering, by its radius.
 
-    The baseline's rows are clustered one by one, stream after stream and window after window in order of ``t``, so
-    their channels must fit the driver (``rows_bound``; an error beyond); scoring is done by blocks of rows in Arrow
-    batches with the frozen model.
+    Every stream of the baseline is clustered row by row in the order of its windows and of ``t``, streams in parallel, each
+    as keyed state of one task.  Rows are scored against the model of their own stream, in Arrow batches by any number of
+    tasks while the models together are small (``MODEL_BYTES``), else where the stream's model travels to.  With a single
+    model all streams are scored by it; else a stream that the baseline lacks has no score and raises no flag.
     """
 
     name = "habituation"
+    #: Bytes of all models as texts that tasks may carry.
+    MODEL_BYTES = 32 << 20
 
-    def __init__(self, n_clusters: int = 8, expansion: int = 40, density: float = 0.1, wta_frac: float = 0.05, alpha: float = 0.1, beta: float = 0.05, theta: float = 100.0, delta: int = 2, seed: int = 0, rows_bound: int = 2_000_000, **kw) -> None:
+    def __init__(self, n_clusters: int = 8, expansion: int = 40, density: float = 0.1, wta_frac: float = 0.05, alpha: float = 0.1, beta: float = 0.05, theta: float = 100.0, delta: int = 2, seed: int = 0, **kw) -> None:
         super().__init__(**kw)
         self.params = {"n_init": n_clusters, "expansion": expansion, "density": density, "wta_frac": wta_frac, "alpha": alpha, "beta": beta, "theta": theta, "delta": delta, "seed": seed}
-        self.rows_bound = rows_bound
-        self.model = None
+        self.models: dict | None = None
+        self.table: DataFrame | None = None
 
     def learn(self, df: DataFrame) -> None:
-        from .ahsc import StreamClusters
+        from .ahsc import fit_streams
 
-        rows = df.select(*KEYS, "t", *self.channels).orderBy(*KEYS, "t").limit(self.rows_bound + 1).toPandas()
-        if len(rows) > self.rows_bound:
-            raise ConfigError(f"a baseline of more than {self.rows_bound} rows is not clustered in one pass")
-        self.model = StreamClusters(**self.params).fit(rows[self.channels].to_numpy(float))
+        table = kept(fit_streams(df, self.channels, self.params, "stream_id", ("stage", "t")))
+        size = table.agg(F.sum(F.length("model"))).first()[0] or 0
+        self.models, self.table = ({r["stream_id"]: r["model"] for r in table.collect()}, None) if size <= self.MODEL_BYTES else (None, table)
 
     def _scored(self, prepared: DataFrame) -> DataFrame:
-        model, channels = self.model, self.channels
-        schema = prepared.select(*KEYS, "t", *channels).withColumn("score", F.lit(0.0)).schema
+        from .ahsc import StreamClusters, score_streams
+
+        channels = self.channels
+        if self.models is None:
+            return score_streams(prepared, self.table, channels, [*KEYS, "t", *channels])
+        texts, one = self.models, len(self.models) == 1
+        rows = prepared.select(*KEYS, "t", *channels)
+        schema = rows.withColumn("score", F.lit(None).cast("double")).schema
+        workers_find_package(prepared.sparkSession)
 
         def run(frames):
+            ready = {}
             for f in frames:
-                yield f.assign(score=model.scores(f[channels].to_numpy(float)))
-
-        return prepared.select(*KEYS, "t", *channels).mapInPandas(run, schema)
+                score = np.full(len(f), np.nan)
+                for stream in f["stream_id"].unique():
+                    key = next(iter(texts)) if one else stream
+                    if key in texts:
+                        ready[key] = ready.get(key) or StreamClusters.from_json(texts[key])
+                        mine = (f["stream_id"] == stream).to_numpy()
+                        score[mine] = ready[key].scores(f.loc[mine, channels].to_numpy(float))
+                yield f.assign(score=score)
+
+        return rows.mapInPandas(run, schema)
 
 
 @DETECTORS.register("ensemble")
