@@ -6,9 +6,11 @@ Wide form: ``stream_id, stage, t`` and one double column per channel.  Long form
 from __future__ import annotations
 
 import json
-import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..functions.order import RANGE_ROWS
 from ..functions.quantiles import quantile_values
 from ..functions.tiles import tiled, with_totals
 from ..plans.errors import SignalError
+from ..session import workers_find_package
 
 KEYS = ["stream_id", "stage"]
 ROLES = ("outputs", "features", "indicators")
@@ -181,14 +184,50 @@ def kl_contributions(windowed: DataFrame, pairs: dict[str, tuple[str, str]], win
     return windowed.withColumns(out)
 
 
+def _window_matrix(windowed: DataFrame, columns: list[str], window: list[str]) -> DataFrame:
+    """``window`` and ``rows``, its rows by position: one row for each window, as long as the window."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return windowed.groupBy(*window).agg(F.collect_list(F.struct(F.col("position").cast("long").alias("position"), values.alias("x"))).alias("rows"))
+
+
+def _transformed(batches: Iterator[pa.RecordBatch], size: int, width: int, fn: Callable) -> Iterator[pa.RecordBatch]:
+    """``fn`` of an array of windows, rows and columns (0 where a row is absent), as lists of its real and imaginary parts."""
+    for batch in batches:
+        rows = batch.column(batch.num_columns - 1)
+        of = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        flat = rows.flatten()
+        x = np.zeros((len(rows), size, width))
+        x[of, flat.field(0).to_numpy()] = flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        out = fn(x).reshape(len(rows), -1)
+        lists = [pa.array(list(part), pa.list_(pa.float64())) for part in (out.real, out.imag)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*batch.schema.names[:-1], "re", "im"])
+
+
+def _spectra(windowed: DataFrame, columns: list[str], size: int, window: list[str], fn: Callable) -> DataFrame:
+    workers_find_package(windowed.sparkSession)
+    rows, width = _window_matrix(windowed, columns, window), len(columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lambda batches: _transformed(batches, size, width, fn), f"{kinds}, re array<double>, im array<double>")
+
+
 def spectrum(windowed: DataFrame, column: str, size: int, window: list[str]) -> DataFrame:
-    """``window, frequency, re, im, power`` of a column over windows of ``size`` rows by ``position``: the discrete Fourier
-    transform at the frequencies 0 to ``size // 2``, as sums of the rows by cosines and sines."""
-    angle = 2 * math.pi / size
-    rows = windowed.select(*window, "position", F.col(column).alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(size // 2))).alias("frequency"))
-    turn = ((F.col("position") * F.col("frequency")) % size) * F.lit(angle)
-    out = rows.groupBy(*window, "frequency").agg(F.sum(F.col("__x") * F.cos(turn)).alias("re"), F.sum(-F.col("__x") * F.sin(turn)).alias("im"))
-    return out.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    """``window, frequency, re, im, power`` of a column over windows of ``size`` rows by ``position``: the fast Fourier
+    transform of each window, any size, at the frequencies 0 to ``size // 2``.
+
+    A window is one row of a batch, so rows are moved once and not repeated by frequency; rows that a window lacks count 0.
+    """
+    got = _spectra(windowed, [column], size, window, lambda x: np.fft.rfft(x[:, :, 0], axis=1))
+    rows = got.select(*window, F.posexplode(F.arrays_zip("re", "im")).alias("frequency", "f")).select(*window, "frequency", "f.re", "f.im")
+    return rows.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+
+
+def spectrum_2d(windowed: DataFrame, columns: list[str], size: int, window: list[str]) -> DataFrame:
+    """``window, frequency, channel_frequency, re, im``: the transform of each window over its rows and its channels, at
+    all ``size`` by ``len(columns)`` frequencies."""
+    got = _spectra(windowed, columns, size, window, lambda x: np.fft.fft2(x, axes=(1, 2)))
+    rows = got.select(*window, F.posexplode(F.arrays_zip("re", "im")).alias("__at", "f"))
+    at = F.col("__at")
+    return rows.select(*window, F.floor(at / len(columns)).cast("int").alias("frequency"), (at % len(columns)).alias("channel_frequency"), "f.re", "f.im")
 
 
 def trailing_buffer(df: DataFrame, channels: list[str], capacity: int, by: tuple[str, ...] = ("stream_id",), rows: int = RANGE_ROWS) -> DataFrame:

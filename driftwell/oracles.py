@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from .functions.series import ewma_memory, gaussian_kernel
+from .functions.wavelets import DB4
 from .operators.policy import TIERS
 from .plans.observability import TRANSITIONS
 from .plans.rollout import ROLLOUTS
@@ -217,6 +220,35 @@ ev2 as (select stage, stage_name, place, kind, state from ({' union all '.join(r
 
 EVENTS = _stage_events()
 
+
+def _wavelet(source: str, key: str, columns: list[str], level: int, smooth: int = 0) -> str:
+    """Lists of the series ``source`` (key, t, columns), taken down and up the filter bank; ``up`` has trends by place."""
+    taps = list(DB4)
+    f = len(taps)
+    out = f", w0 as (select {key}, list(t order by t) as ts, {', '.join(f'list({c} order by t) as {c}' for c in columns)} from {source} group by {key})"
+    folded = lambda c, i: f"((({i}) % (2 * len({c})) + 2 * len({c})) % (2 * len({c})))"
+    at = lambda c, i: f"{c}[least({folded(c, i)}, 2 * len({c}) - 1 - {folded(c, i)}) + 1]"
+    for k in range(level):
+        band = lambda c: f"list_transform(range(0, (len({c}) + {f - 1}) // 2), lambda k: " + " + ".join(f"{t!r} * {at(c, f'2 * k + 1 - {j}')}" for j, t in enumerate(taps)) + ")"
+        out += f", w{k + 1} as (select {key}, ts, {', '.join(f'{band(c)} as {c}' for c in columns)} from w{k})"
+    last = f"w{level}"
+    if smooth:
+        half = smooth // 2
+        base = np.vander(np.arange(smooth) - half, 4, increasing=True)
+        fit = np.linalg.pinv(base)
+        rows = [[repr(float(v)) for v in row] for row in base @ fit]
+        dot = lambda c, row, lo: "(" + " + ".join(f"{w} * {c}[{lo} + {j + 1}]" for j, w in enumerate(row)) + ")"
+        ends = lambda c, first: " ".join(f"when k = {i if first else f'len({c}) - {smooth - i}'} then {dot(c, rows[i], '0' if first else f'len({c}) - {smooth}')}" for i in (range(half) if first else range(half + 1, smooth)))
+        level_out = lambda c: f"list_transform(range(0, len({c})), lambda k: case {ends(c, True)} {ends(c, False)} else {dot(c, rows[half], f'k - {half}')} end)"
+        out += f", ws as (select {key}, ts, {', '.join(f'{level_out(c)} as {c}' for c in columns)} from {last})"
+        last = "ws"
+    for k in range(level):
+        # of two neighbouring values the even one takes every second tap, the odd one the others
+        value = lambda c: f"list_transform(range(0, 2 * len({c}) - {f - 2}), lambda i: " + " + ".join(f"coalesce(case when (i + {f - 2} - {j}) % 2 = 0 and i + {f - 2} - {j} >= 0 then {taps[f - 1 - j]!r} * {c}[(i + {f - 2} - {j}) // 2 + 1] end, 0)" for j in range(f)) + ")"
+        out += f", u{k} as (select {key}, ts, {', '.join(f'{value(c)} as {c}' for c in columns)} from {last})"
+        last = f"u{k}"
+    return out + f", up as (select {key}, unnest(ts) as t, {', '.join(f'unnest({c}[1:len(ts)]) as trend_{c}' for c in columns)} from {last})"
+
 _mail = lambda e: f"'u' || ({e}) || '@example.org'"
 _user = "user_id % (select count(*) from customer)"
 BOARDS = f"""usr as (select c_custkey as userID, {_mail('c_custkey')} as email, c_name as name from customer),
@@ -318,6 +350,17 @@ select 'events' as series_id, round(precision, 6) as precision, round(recall, 6)
     + "select stream_id, stage, window_start, position, " + ", ".join(f"round(p{c} * d{c} * ln(1 + d{c} * d{c}), 6) + 0.0 as {c}" for c in ("click", "view")) + " from df",
     "overlap_average": f"with {HOURLY}, {PADDED}, er as (select stream_id, stage, t, avg(power(click - r_click, 2) * (position + 1)) as e_click, avg(power(view - r_view, 2) * (position + 1)) as e_view from pw where not padded group by 1, 2, 3) select stream_id, stage, t, round(coalesce(e_click, 0), 6) as e_click, round(coalesce(e_view, 0), 6) as e_view, round((coalesce(e_click, 0) + coalesce(e_view, 0)) / 2, 6) as score from staged left join er using (stream_id, stage, t)",
     "spectrum": f"with {HOURLY}, {PADDED}, tr as (select stream_id, stage, window_start, k::int as frequency, click, ((position * k) % 64) * {2 * math.pi / 64!r}::double as turn from pw, range(33) r(k)), su as (select stream_id, stage, window_start, frequency, sum(click * cos(turn)) as re, sum(-click * sin(turn)) as im from tr group by 1, 2, 3, 4) select stream_id, stage, window_start, frequency, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im, round(re * re + im * im, 4) + 0.0 as power from su",
+    "spectrum_2d": f"with {HOURLY}, wn as (select stream_id, stage, count(*) as n from staged group by 1, 2), ws2 as (select stream_id, stage, n, unnest(list_distinct(list_append(range(0, greatest(n - 64, 0) + 1, 50), greatest(n - 64, 0)))) as window_start from wn), pw as (select s.*, window_start, t - window_start as position from staged s join ws2 using (stream_id, stage) where t >= window_start and t < window_start + 64 union all select s.*, 0 as window_start, unnest(range(n, 64)) as position from staged s join wn using (stream_id, stage) where n < 64 and t = n - 1), "
+    + "lg as (select stream_id, stage, window_start, position, unnest(range(5)) as j, unnest([" + ", ".join(C) + f"]) as x from pw), tr as (select *, ((position * k) % 64) * {2 * math.pi / 64!r}::double + ((j * q) % 5) * {2 * math.pi / 5!r}::double as turn from lg, range(64) r(k), range(5) s(q)) "
+    + "select stream_id, stage, window_start, k::int as frequency, q::int as channel_frequency, round(sum(x * cos(turn)), 4) + 0.0 as re, round(sum(-x * sin(turn)), 4) + 0.0 as im from tr group by 1, 2, 3, 4, 5",
+    "wavelet_trend": f"with {HOURLY}{_wavelet('hourly', 'stream_id', ['click', 'view'], 5)} select stream_id, t, click, view, round(trend_click, 6) + 0.0 as trend_click, round(trend_view, 6) + 0.0 as trend_view, round(click - trend_click, 6) + 0.0 as stable_click, round(view - trend_view, 6) + 0.0 as stable_view from hourly join up using (stream_id, t)",
+    "wavelet_trend_smoothed": f"with mn as (select event_type as kind, floor(epoch(ts) / 60)::bigint % 10080 as t, count(*)::double as n from events group by 1, 2){_wavelet('mn', 'kind', ['n'], 3, 11)} select kind, t, n, round(trend_n, 6) + 0.0 as trend_n, round(n - trend_n, 6) + 0.0 as stable_n from mn join up using (kind, t)",
+    "outlier_clamp": f"""with recursive {HOURLY}, s as (select list(click order by t) as x from hourly), r as (select 0 as i, x from s union all
+select i + 1, case when x[i + 1] - m > 1.5 * d then list_concat(x[:i], [m], x[i + 2:]) else x end from (select i, x, list_avg(x[greatest(i - 23, 1):i + 25]) as m, list_stddev_pop(x[greatest(i - 23, 1):i + 25]) as d from r where i < len(x)))
+select 'events' as stream_id, unnest(range(0, len(x))) as t, round(unnest(x), 6) + 0.0 as click from r where i = len(x)""",
+    "affiliation_inferred": f"""with {HOURLY}, {TRUTH}, {_events('label', 'truth')}, {_events('flag', 'pred')}, sp9 as (select min(start) as lo9, max(stop) as hi9 from (from truth union all from pred)),
+te as (select stream_id, t - lo9 as t, label, flag from ht, sp9 where t >= lo9 and t < hi9), g as (select 0 as g), hits as (select 0 as g, t from te where flag), {_affiliated('g')}
+select 'events' as series_id, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from af""",
     "causal_scores": _with() + _causal() + " select stream_id, stage, t, round(score, 6) as score from cs where stage >= 0",
     "ensemble_results": _with("faulty") + _causal() + _ensemble(),
     "events_from_vector": f"with {HOURLY}, {TRUTH}, {_events('label', 'truth')} select stream_id, start, stop from truth",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import series as S
 from .functions.order import numbered
 from .functions.tiles import ewma_forecasts, tiled, with_totals
+from .functions.wavelets import wavelet_trend as trend_of
 from .functions.text import name_list, natural_key, percent, site, tag_list, time_features
 from .operators import attribution, events_eval as E, policy, signals, social
 from .operators.detectors import DETECTORS, longest_runs, summarise
@@ -19,6 +20,7 @@ from .plans.deployment import told
 from .plans.observability import TRANSITIONS, metric_rollup, state_audit
 from .plans.rollout import ROLLOUTS
 from .session import workers_find_package
+from .sources.datasets import outliers_clamped_in_turn
 from .sources.synthetic import inject_drift, inject_regression, inject_spike
 
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
@@ -157,6 +159,38 @@ def spectrum(spark, sf):
     return rounded(signals.spectrum(_windowed(spark, sf), "click", 64, [*KEYS, "window_start"]), 4)
 
 
+@query
+def spectrum_2d(spark, sf):
+    """Windows of rows and channels, transformed along both."""
+    df = signals.padded_windows(staged(spark, sf), 64, 50, tuple(KEYS))
+    return rounded(signals.spectrum_2d(df, CHANNELS, 64, [*KEYS, "window_start"]), 4)
+
+
+@query
+def wavelet_trend(spark, sf):
+    return rounded(trend_of(hourly(spark, sf), ["click", "view"], ["stream_id"], tile=TILE).drop("error", "purchase", "signup"))
+
+
+@query
+def wavelet_trend_smoothed(spark, sf):
+    """The kinds of events by minutes of the week that have any, smoothed."""
+    minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60) % (7 * 24 * 60)
+    rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("kind"), minute.alias("t")).agg(F.count("*").cast("double").alias("n"))
+    return rounded(trend_of(rows, ["n"], ["kind"], level=3, smooth=True, window=11, tile=TILE))
+
+
+@query
+def outlier_clamp(spark, sf):
+    return rounded(outliers_clamped_in_turn(hourly(spark, sf), "click", ["stream_id"], threshold=1.5, width=49))
+
+
+@query
+def affiliation_inferred(spark, sf):
+    """Affiliation where no span is given: that of the events."""
+    pred, truth, _ = _event_sets(spark, sf)
+    return rounded(E.affiliation(pred.unionByName(truth), rows=TILE))
+
+
 @query
 def stream_buffer(spark, sf):
     b = signals.trailing_buffer(hourly(spark, sf), CHANNELS, 24, rows=TILE)

@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import io
+import math
 import re
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered
 from ..functions.text import natural_key
+from ..functions.tiles import tiled
+from ..session import workers_find_package
 
 
-def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
-    """``t`` from 0 within each file, by the place of rows in it."""
-    return df.withColumn("t", F.row_number().over(Window.partitionBy(*by).orderBy("__at")) - 1).drop("__at")
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``entity`` (file name), ``t, value``: the lines of text files numbered from 0 in each file.
+
+    A file is read in splits by many tasks.  A line's number is its place in its split plus the lines of the splits before
+    it in the file; only counts of splits meet in one window.
+    """
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"), "value")
+    split = ["file_path", "file_block_start"]
+    counts = lines.groupBy(*split).agg(F.min("__at").alias("__first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    entity = F.element_at(F.split(F.col("file_path"), "/"), -1)
+    return lines.join(starts, split).select(entity.alias("entity"), (F.col("__at") + F.col("__shift")).alias("t"), "value")
 
 
 def csv_series(spark: SparkSession, path: str, columns: list[str], header: bool, drop_first: bool = False, skip: int = 0) -> DataFrame:
@@ -25,8 +42,7 @@ def csv_series(spark: SparkSession, path: str, columns: list[str], header: bool,
 def csv_lines(spark: SparkSession, path: str, columns: list[str], skip: int = 0) -> DataFrame:
     """``entity`` (file name), ``t`` and text columns of CSV files in the order of their lines, without the ``skip`` first;
     quoted cells may hold commas, cells are trimmed."""
-    lines = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("entity"), F.monotonically_increasing_id().alias("__at"), "value")
-    lines = _numbered(lines, ["entity"]).where(F.col("t") >= skip)
+    lines = text_lines(spark, path).where(F.col("t") >= skip)
     schema = ", ".join(f"`{c}` string" for c in columns)
     cells = F.from_csv("value", schema, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     return lines.select("entity", (F.col("t") - skip).alias("t"), cells.alias("__c")).select("entity", "t", "__c.*")
@@ -79,15 +95,112 @@ def labelled_intervals(df: DataFrame, intervals: str = "anomaly_sequences", n: s
 
 def outliers_clamped(df: DataFrame, column: str, by: list[str], threshold: float = 3.0, width: int = 1441) -> DataFrame:
     """Values above the local mean by ``threshold`` deviations become that mean (windows of the given values)."""
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(-(width // 2), width // 2)
+    tiles = tiled(df, by, "t", width // 2, width // 2)
+    w = tiles.window.rowsBetween(-(width // 2), width // 2)
     mean, std = F.avg(column).over(w), F.stddev_pop(column).over(w)
-    return df.withColumn(column, F.when(F.col(column) - mean > threshold * std, mean).otherwise(F.col(column)))
+    return tiles.own(tiles.rows.withColumn(column, F.when(F.col(column) - mean > threshold * std, mean).otherwise(F.col(column))))
+
+
+def clamped(values: Iterator[float], threshold: float, half: int) -> Iterator[float]:
+    """Each value, or the mean of the ``2 * half + 1`` values around it where it is above that by ``threshold`` deviations;
+    values before it are taken as they were clamped.  Holds those values and their sums, summed anew once in a window."""
+    held: deque[float] = deque()
+    total = square = 0.0
+    ahead, done = 0, 0  # values after the current one, and values before it
+
+    def mended() -> float:
+        nonlocal total, square
+        x, n = held[done], len(held)
+        mean = total / n
+        std = math.sqrt(max(square / n - mean * mean, 0.0))
+        if abs(x - mean - threshold * std) <= 1e-6 * (abs(x) + abs(mean)):  # too near for running sums
+            mean = math.fsum(held) / n
+            std = math.sqrt(math.fsum((v - mean) ** 2 for v in held) / n)
+        if x - mean > threshold * std:
+            held[done] = mean
+            total += mean - x
+            square += mean * mean - x * x
+        return held[done]
+
+    count = 0
+    for v in values:
+        held.append(v)
+        total += v
+        square += v * v
+        ahead += 1
+        if ahead <= half:
+            continue
+        yield mended()
+        ahead -= 1
+        done += 1
+        count += 1
+        if done > half:
+            x = held.popleft()
+            done -= 1
+            total -= x
+            square -= x * x
+        if count % (2 * half + 1) == 0:
+            total, square = math.fsum(held), math.fsum(x * x for x in held)
+    while ahead:
+        yield mended()
+        ahead -= 1
+        done += 1
+        if done > half:
+            x = held.popleft()
+            done -= 1
+            total -= x
+            square -= x * x
+
+
+def outliers_clamped_in_turn(df: DataFrame, column: str, by: list[str], order: str = "t", threshold: float = 3.0, width: int = 1441) -> DataFrame:
+    """``by, order, column`` with outliers clamped one after another: a window sees the values before its middle as they
+    were clamped, so a series is a fold in its order, many series in parallel.
+
+    A task holds ``width`` values of one series.  Null and NaN count as 0 in a window and stay what they are.
+    """
+    workers_find_package(df.sparkSession)
+    rows = df.select(*by, order, F.col(column).cast("double").alias(column)).repartition(*by).sortWithinPartitions(*by, order)
+    half, names = width // 2, [*by, order, column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[tuple] = deque()  # keys of rows whose values are still to come
+
+        rows_in = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        row = next(rows_in, None)
+        out: list[tuple] = []
+        while row is not None:
+            key = row[: len(by)]
+
+            def series(first, key=key):
+                nonlocal row
+                row = first
+                while row is not None and row[: len(by)] == key:
+                    waiting.append(row)
+                    yield 0.0 if row[-1] is None or row[-1] != row[-1] else row[-1]
+                    row = next(rows_in, None)
+
+            for value in clamped(series(row), threshold, half):
+                was = waiting.popleft()
+                out.append((*was[:-1], value if was[-1] is not None and was[-1] == was[-1] else was[-1]))
+                if len(out) == 4096:
+                    yield _batch(out, names, types)
+                    out = []
+        if out:
+            yield _batch(out, names, types)
+
+    types = [f.type for f in rows.limit(0).toArrow().schema]
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def binary_vector(spark: SparkSession, path: str) -> DataFrame:
     """``series_id`` (file), ``t, flag`` of files (gzip too) with a 0 or 1 on each line."""
-    rows = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("series_id"), F.monotonically_increasing_id().alias("__at"), F.trim("value").cast("int").alias("flag"))
-    return _numbered(rows.where("flag is not null"), ["series_id"]).select("series_id", "t", "flag")
+    lines = text_lines(spark, path).select("entity", "t", F.trim("value").cast("int").alias("flag")).where("flag is not null")
+    rows = numbered(lines, "n", F.col("t"), by=["entity"])  # blank lines do not count
+    return rows.select(F.col("entity").alias("series_id"), (F.col("n") - 1).alias("t"), "flag")
 
 
 def entities(df: DataFrame, chosen: str = "all") -> DataFrame:
