@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..session import kept, workers_find_package
+from ..session import kept, keyed, workers_find_package
 
 TINY = 1e-8
 #: Rows that are coded at a time; a code has ``expansion`` numbers for each channel.
@@ -361,14 +361,14 @@ def fit_streams(df: DataFrame, channels: list[str], params: dict, by: str = "str
     workers_find_package(df.sparkSession)
     kind, width = df.schema[by].dataType, len(channels)
     values = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(channels)]
-    rows = df.repartition(by).sortWithinPartitions(by, *order).select(F.col(by).alias("stream"), F.lit(0).alias("t"), *values)
+    rows = keyed(df, by).sortWithinPartitions(by, *order).select(F.col(by).alias("stream"), F.lit(0).alias("t"), *values)
     rows = kept(rows.withColumn("n", F.monotonically_increasing_id()))
 
     def mapped(fn: Callable, schema: str, heads: DataFrame | None = None) -> DataFrame:
         table = rows.withColumn("head", F.lit(None).cast("array<double>"))
         if heads is not None:
             table = table.unionByName(heads.withColumns({"t": F.lit(-1), "n": F.lit(0).cast("long")}), allowMissingColumns=True)
-        table = table.repartition("stream").sortWithinPartitions("stream", "t", "n").drop("n")
+        table = keyed(table, "stream").sortWithinPartitions("stream", "t", "n").drop("n")
         return table.mapInArrow(fn, f"stream {kind.simpleString()}, {schema}")
 
     def batch(name, column: str, of: list) -> pa.RecordBatch:
@@ -423,5 +423,5 @@ def score_streams(df: DataFrame, models: DataFrame, channels: list[str], extra:
                 score = pa.array(model.scores(matrix)) if model is not None else pa.nulls(len(matrix), pa.float64())
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in out], score], [*out, "score"])
 
-    ordered = rows.repartition(by).sortWithinPartitions(by, F.col("model").asc_nulls_last())
+    ordered = keyed(rows, by).sortWithinPartitions(by, F.col("model").asc_nulls_last())
     return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", score double")

@@ -31,3 +31,9 @@ def kept(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="driftwell-"))
     return df.checkpoint()
+
+
+def keyed(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by keys to as many tasks as shuffles have, whatever its bytes: for work that takes long per row, which
+    few tasks would hold up where small partitions are merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import math
 import re
 from collections import deque
@@ -15,7 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.order import numbered
 from ..functions.text import natural_key
 from ..functions.tiles import tiled
-from ..session import workers_find_package
+from ..session import kept, keyed, workers_find_package
+from . import matrices
+
+#: Rows of a matrix that a task reads at a time, tasks at most, and stores of which workers can read a range of a file.
+MATRIX_ROWS, MATRIX_TASKS = 1 << 16, 10_000
+RANGED = ("file", "hdfs", "s3", "s3a", "gs")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -61,27 +65,25 @@ def attack_clock(text: str = "Timestamp"):
     return F.to_timestamp_ntz(F.trim(F.col(text)), F.lit("d/M/yyyy h:mm:ss a"))
 
 
-def npy_series(spark: SparkSession, path: str, width: int, chosen: DataFrame | None = None) -> DataFrame:
-    """Matrices of ``.npy`` files: ``entity`` (file name without its ending), ``t, x``; a file is read by one task.  Of
-    ``chosen`` (a table of one column) only the files that it names are read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def npy_series(spark: SparkSession, path: str, width: int, chosen: DataFrame | None = None, rows: int = MATRIX_ROWS) -> DataFrame:
+    """Matrices of ``.npy`` files: ``entity`` (file name without its ending), ``t, x``.  Of ``chosen`` (a table of one
+    column) only the files that it names are read.
+
+    A file is cut into ranges of ``rows`` rows, which many tasks read; files of a store that only Spark can open are read
+    whole, a file by one task.
+    """
+    workers_find_package(spark)
+    files = spark.read.format("binaryFile").load(path)
     if chosen is not None:
         name = F.regexp_extract("path", r"([^/]*)\.npy$", 1)
-        files = files.join(F.broadcast(chosen.toDF("__name")), name == F.col("__name"), "left_semi")
-
-    def run(frames):
-        import numpy as np
-        import pandas as pd
-
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                if m.shape[1] != width:
-                    raise ValueError(f"{name}: {m.shape[1]} channels, not {width}")
-                entity = name.rsplit("/", 1)[-1].removesuffix(".npy")
-                yield pd.DataFrame({"entity": entity, "t": np.arange(len(m)), "x": list(m.astype(float))})
-
-    return files.mapInPandas(run, "entity string, t long, x array<double>")
+        files = files.join(chosen.toDF("__name"), name == F.col("__name"), "left_semi")
+    scheme = F.regexp_extract("path", r"^([a-z0-9]+):", 1)
+    schema = "entity string, t long, x array<double>"
+    ranged = files.select("path").where(scheme.isin(*RANGED)).mapInArrow(lambda b: matrices.ranges(b, width, rows), "path string, first long, rows long, about string")
+    ranged = kept(ranged)
+    ranged = ranged.repartition(max(1, min(ranged.count(), MATRIX_TASKS)), "path", "first").mapInArrow(matrices.read_ranges, schema)
+    whole = files.select("path", "content").where(~scheme.isin(*RANGED)).mapInArrow(lambda b: matrices.read_whole(b, width), schema)
+    return ranged.unionByName(whole)
 
 
 def labelled_intervals(df: DataFrame, intervals: str = "anomaly_sequences", n: str = "num_values") -> DataFrame:
@@ -159,7 +161,8 @@ def outliers_clamped_in_turn(df: DataFrame, column: str, by: list[str], order: s
     A task holds ``width`` values of one series.  Null and NaN count as 0 in a window and stay what they are.
     """
     workers_find_package(df.sparkSession)
-    rows = df.select(*by, order, F.col(column).cast("double").alias(column)).repartition(*by).sortWithinPartitions(*by, order)
+    rows = df.select(*by, order, F.col(column).cast("double").alias(column))
+    rows = keyed(rows, *by).sortWithinPartitions(*by, order)
     half, names = width // 2, [*by, order, column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 def binary_vector(spark: SparkSession, path: str) -> DataFrame:
     """``series_id`` (file), ``t, flag`` of files (gzip too) with a 0 or 1 on each line."""
-    lines = text_lines(spark, path).select("entity", "t", F.trim("value").cast("int").alias("flag")).where("flag is not null")
+    lines = text_lines(spark, path).select("entity", "t", F.nullif(F.trim("value"), F.lit("")).cast("int").alias("flag")).where("flag is not null")
     rows = numbered(lines, "n", F.col("t"), by=["entity"])  # blank lines do not count
     return rows.select(F.col("entity").alias("series_id"), (F.col("n") - 1).alias("t"), "flag")
 

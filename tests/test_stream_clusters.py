@@ -93,8 +93,5 @@ def test_detector_of_several_streams(spark, tmp_path, monkeypatch):
 
 
 def test_streams_in_several_tasks(spark):
-    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     tasks = ahsc.fit_streams(table(spark, streams(8, 60)), ["a", "b", "c"], {}).groupBy(F.spark_partition_id().alias("p")).agg(F.count("model").alias("n")).collect()
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
     assert len(tasks) > 1 and sum(r.n for r in tasks) == 8
