@@ -7,11 +7,11 @@ import json
 import numpy as np
 from pyspark.sql import SparkSession
 
-from ..operators import ahsc, detectors, signals, thresholds
+from ..operators import ahsc, detectors, reconstruction, signals, thresholds
 from .errors import ConfigError
 
 #: Classes that a file may hold, by name.
-KNOWN = {c.__name__: c for m in (detectors, thresholds, signals, ahsc) for c in vars(m).values() if isinstance(c, type) and c.__module__ == m.__name__}
+KNOWN = {c.__name__: c for m in (detectors, thresholds, signals, ahsc, reconstruction) for c in vars(m).values() if isinstance(c, type) and c.__module__ == m.__name__}
 
 
 def encoded(value):

@@ -12,7 +12,7 @@ from .functions.order import numbered
 from .functions.tiles import ewma_forecasts, tiled, with_totals
 from .functions.wavelets import wavelet_trend as trend_of
 from .functions.text import name_list, natural_key, percent, site, tag_list, time_features
-from .operators import attribution, events_eval as E, policy, signals, social
+from .operators import attribution, events_eval as E, policy, reconstruction, signals, social  # noqa: F401
 from .operators.detectors import DETECTORS, longest_runs, summarise
 from .operators.signals import KEYS, Normaliser
 from .operators.thresholds import THRESHOLDS, fuse, robust_scaled
@@ -266,6 +266,7 @@ QUERIES["spatiotemporal_scores"] = _detector("spatiotemporal")
 QUERIES["causal_scores"] = _detector("causal")
 QUERIES["diffusion_scores"] = _detector("diffusion")
 QUERIES["habituation_scores"] = _detector("habituation", True)
+QUERIES["reconstruction_scores"] = _detector("reconstruction", True)
 
 
 @query
