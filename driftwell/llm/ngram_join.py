@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bounded_batches, remove, slices, written
+from .shared import bounded_batches, new_path, remove, scratch, slices, written
 from .words import blocks, mix, shingles, words_of
 
 BAND = 1.5
@@ -340,6 +340,14 @@ def ngram_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, i
     document; a row without an id is linked only through rows of an equal set.  Ids are integers (of other types it is an
     error).  Texts may be of any length; other columns are not read; an empty table gives none.
     """
+    with scratch(docs.sparkSession):
+        out = _classes(docs, words, num, den, id_col, text_col)
+        path = new_path(docs.sparkSession, "classes")
+        out.write.parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _classes(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     if (kind := dict(docs.dtypes)[id_col]) not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"ids are integers, not {kind}")

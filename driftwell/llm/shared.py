@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from ..session import workers_find_package
 #: Bytes of texts that a Python worker takes on at a time, unless a single text is longer.
 SLICE_BYTES = 2 << 20
 _made: dict[str, str] = {}
+#: Paths written within each open ``scratch``.
+_scratch: list[list[str]] = []
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library
@@ -47,17 +50,32 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written within when it ends; a result that reads them is written outside first."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -101,4 +119,4 @@ def trimmed() -> None:
         _libc.malloc_trim(0)
 
 
-__all__ = ["bounded_batches", "new_path", "remove", "shared_dir", "slices", "written"]
+__all__ = ["bounded_batches", "new_path", "remove", "scratch", "shared_dir", "slices", "written"]
