@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -42,9 +42,11 @@ OVERFULL = 6
 _PLACE = np.uint64(0xA0761D6478BD642F)
 #: 64-bit lanes of a parity bitmap, at least; doubled until it has two bits for each element.
 LANES = 16
-#: Documents of a block; two blocks are compared at a time, so many block pairs in a group of rows, so many pairs
-#: of rows in a step.
+#: Documents of a typical block; two blocks are compared at a time, so many block pairs in a group of rows, so many
+#: pairs of rows in a step.
 BLOCK_ROWS, GROUP_PAIRS, PAIR_ROWS = 256, 64, 1 << 17
+#: Bytes of bitmaps of a block, so that a group takes tens of megabytes at most, however long texts are.
+BLOCK_BYTES = 1 << 18
 #: Partners of a document that the first comparison within families proposes.
 NEAREST = 3
 #: Ids that may be broadcast (8 bytes each); beyond, the tables are joined by a shuffle.
@@ -400,6 +402,14 @@ def _compared(work: DataFrame, groups: int, num: int, den: int, keep: int | None
     return work.groupBy("group").applyInArrow(_across(num, den, keep), "a long, b long").distinct()
 
 
+def _in_blocks(held: DataFrame, arrays: DataFrame, name: str, order: WindowSpec) -> DataFrame:
+    """Rows with the block that they are in along an order, of BLOCK_BYTES of bitmaps or so."""
+    size = F.greatest(F.lit(8.0 * LANES), F.pow(2.0, F.ceil(F.log2(F.col("n") * 2.0))) / 8)
+    sized = held.join(arrays.select("doc_id", size.cast("long").alias("size")), "doc_id")
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn(name, F.floor((upto - F.col("size")) / BLOCK_BYTES).cast("int")).drop("size")
+
+
 def _neighbours(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that join most of a family of many components, from a number of rows that does not outgrow its documents.
 
@@ -411,7 +421,7 @@ def _neighbours(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: Da
     several = nodes.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("family")
     held = nodes.join(several, "family", "left_semi").join(rows.groupBy("doc_id").agg(F.min("key").alias("least")), "doc_id")
     order = Window.partitionBy("family").orderBy("least", "doc_id")
-    held = written(held.withColumn("p", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "blocks")
+    held = written(_in_blocks(held, arrays, "p", order), "blocks")
     groups = math.ceil(held.count() / (GROUP_PAIRS * 16)) or 1
     work = held.select(F.xxhash64("family").alias("key"), "p", F.col("p").alias("q"), "doc_id", "component", F.lit(False).alias("side"))
     return _compared(work.join(arrays.select("doc_id", "n", "bits"), "doc_id"), groups, num, den, NEAREST)
@@ -438,7 +448,7 @@ def _open_tiles(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: Da
     in_tiles = held.join(tiles.join(whole, "family", "left_anti").select("key"), "key", "left_semi").select("key", "doc_id", "component")
     held = at_once.unionByName(in_tiles)
     order = Window.partitionBy("key").orderBy("component", "doc_id")
-    members = written(held.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK_ROWS).cast("int")), "members")
+    members = written(_in_blocks(held, arrays, "part", order), "members")
     parts = members.groupBy("key", "part").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     other = parts.select("key", F.col("part").alias("part2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     duels = written(parts.join(other, "key").where("part <= part2 and not (c0 = c1 and d0 = d1 and c0 = d0)").select("key", "part", "part2"), "duels")
