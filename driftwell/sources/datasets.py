@@ -211,7 +211,7 @@ def entities(df: DataFrame, chosen: str = "all") -> DataFrame:
     if chosen == "all":
         return df
     names = df.select("entity").distinct().withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("entity")))))
-    return df.join(F.broadcast(names.where(F.col("place").isin([int(x) for x in chosen.split(",")])).select("entity")), "entity", "left_semi")
+    return df.join(names.where(F.col("place").isin([int(x) for x in chosen.split(",")])).select("entity"), "entity", "left_semi")
 
 
 def dump_rows(sql: str, table: str) -> list[tuple]:

@@ -27,7 +27,7 @@ def chained(init: DataFrame, test: DataFrame, start: str = START, order: str = "
     earlier = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)  # a row for each entity
     clock = length.select("entity", "__n", F.coalesce(F.sum(F.col("__n") - 1).over(earlier), F.lit(0)).alias("__from"))
     parts = [init.select("entity", F.lit("init").alias("part"), "t", "x", "label"), test.select("entity", F.lit("test").alias("part"), "t", "x", "label")]
-    rows = parts[0].unionByName(parts[1]).join(F.broadcast(clock), "entity")
+    rows = parts[0].unionByName(parts[1]).join(clock, "entity")
     minute = F.col("__from") + F.col("t") + F.when(F.col("part") == "test", F.col("__n") - 1).otherwise(0)
     ts = F.timestamp_add("MINUTE", minute.cast("int"), F.lit(start).cast("timestamp_ntz"))
     return rows.select("entity", "part", "t", ts.alias("ts"), "x", "label")

@@ -20,7 +20,10 @@ class SyntheticStream:
     seed: int = 0
 
     def baseline(self, n: int, offset: int = 0) -> np.ndarray:
-        """Two sines with a phase for each channel, and autoregressive noise that starts at 0."""
+        """Two sines with a phase for each channel, and autoregressive noise that starts at 0.
+
+        Fixed values: the weight and period of the second sine, the order of the draws and the offsets of the seed.
+        """
         rng = np.random.default_rng(self.seed + offset)
         t = np.arange(n)[:, None]
         phase = np.linspace(0, np.pi, self.n_channels)[None, :]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Names and columns of the tables.
@@ -39,12 +41,38 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in SCHEMAS.items()}
 
 
-def from_database(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """The tables of a database by JDBC, cast to SCHEMAS; its driver must be on the class path."""
+#: Rows of a table that a connection reads, and connections at a time.
+CONNECTION_ROWS, CONNECTIONS = 1_000_000, 64
+
+
+def database_table(spark: SparkSession, url: str, name: str, key: str | None, properties: dict[str, str] | None = None, rows: int = CONNECTION_ROWS, most: int = CONNECTIONS) -> DataFrame:
+    """A table by JDBC, read by ranges of its integer ``key`` at several connections.
+
+    The database tells the least and greatest key and the rows (one row of answer); a connection reads ``rows`` rows or so,
+    more where ``most`` connections do not suffice.  Null keys are read with the first range.  Without a key, or with few
+    rows, one connection reads all.
+    """
+    properties = properties or {}
+    if key is None:
+        return spark.read.jdbc(url, name, properties=properties)
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    told = spark.read.jdbc(url, f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi, COUNT(*) AS n FROM {name}) bounds", properties=properties).first()
+    lo, hi, n = told
+    parts = min(most, math.ceil(n / rows))
+    if parts < 2 or lo is None:
+        return spark.read.jdbc(url, name, properties=properties)
+    return spark.read.jdbc(url, name, column=key, lowerBound=int(lo), upperBound=int(hi) + 1, numPartitions=parts, properties=properties)
+
+
+def from_database(spark: SparkSession, url: str, properties: dict[str, str] | None = None, rows: int = CONNECTION_ROWS, most: int = CONNECTIONS) -> dict[str, DataFrame]:
+    """The tables of a database by JDBC, cast to SCHEMAS, those with an integer column by ranges of their first one; the
+    database's driver must be on the class path."""
     out = {}
     for name, schema in SCHEMAS.items():
-        raw = spark.read.jdbc(url, name, properties=properties or {})
-        out[name] = raw.select(*[raw[c.split()[0]].cast(c.split()[1]) for c in schema.split(", ")])
+        fields = [c.split() for c in schema.split(", ")]
+        key = next((c for c, kind in fields if kind in ("int", "long", "bigint")), None)
+        raw = database_table(spark, url, name, key, properties, rows, most)
+        out[name] = raw.select(*[raw[c].cast(kind) for c, kind in fields])
     return out
 
 

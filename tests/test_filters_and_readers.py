@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions import wavelets as W
 from driftwell.operators import signals
-from driftwell.sources import datasets as D, matrices
+from driftwell.sources import datasets as D, matrices, tables
 
 # --- wavelets ----------------------------------------------------------------------------------------------------
 
@@ -185,3 +185,19 @@ def test_a_matrix_is_read_by_several_tasks(spark, tmp_path):
     np.save(tmp_path / "long.npy", np.random.default_rng(0).normal(size=(5000, 2)))
     got = D.npy_series(spark, str(tmp_path), 2, rows=100)
     assert got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("t").alias("n")).count() > 1 and got.select("t").distinct().count() == 5000
+
+
+def test_database_tables_by_ranges(spark, tmp_path):
+    """A table of a database in memory, by one connection and by several; null keys and a table of one row."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, properties = "jdbc:derby:memory:boards;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = [(i if i % 50 else None, f"n{i}") for i in range(1, 1001)]
+    spark.createDataFrame(rows, "id long, name string").write.jdbc(url, "names", properties=properties)
+    spark.createDataFrame([(7, "x")], "id long, name string").write.jdbc(url, "single", properties=properties)
+    for per, parts in ((100, 10), (300, 4), (5000, 1)):
+        got = tables.database_table(spark, url, "names", "id", properties, rows=per)
+        assert sorted((r.id or 0, r.name) for r in got.collect()) == sorted((i or 0, n) for i, n in rows)
+        assert got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("name").alias("n")).count() == parts
+    assert tables.database_table(spark, url, "names", "id", properties, rows=1, most=3).count() == 1000
+    assert tables.database_table(spark, url, "single", "id", properties, rows=1).count() == 1
+    assert tables.database_table(spark, url, "names", None, properties).count() == 1000
