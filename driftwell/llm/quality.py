@@ -21,7 +21,7 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words
 #: A line ends with one of these, blanks aside.
 ENDINGS = ".!?:;…\"'”’»)]"
-#: Or with a sentence end, colon or closing mark of another script; the SQL has none of these.
+#: Or with a sentence end, colon or closing mark of another script.
 MORE_ENDINGS = "".join(chr(c) for a, b in (
     (0x037E, 0x037E), (0x0589, 0x0589), (0x061B, 0x061B), (0x061D, 0x061F), (0x06D4, 0x06D4), (0x0700, 0x0702), (0x07F9, 0x07F9), (0x0837, 0x0837), (0x0839, 0x0839), (0x083D, 0x083E),
     (0x0964, 0x0965), (0x0F0D, 0x0F0E), (0x104A, 0x104B), (0x1362, 0x1362), (0x1364, 0x1368), (0x166E, 0x166E), (0x1735, 0x1736), (0x17D4, 0x17D6), (0x1803, 0x1804), (0x1809, 0x1809),
@@ -197,7 +197,7 @@ def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _like = " or ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)
-_ends = ", ".join("'" + c.replace("'", "''") + "'" for c in ENDINGS)
+_ends = ", ".join("'" + c.replace("'", "''") + "'" for c in ENDINGS + MORE_ENDINGS)
 ORACLE = rf"""
 with d as (
   select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
