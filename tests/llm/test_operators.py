@@ -705,6 +705,60 @@ def test_probabilities_sum_to_one():
         assert math.isclose(p[:-1].sum() + p[-1] * (langid.ALPHABET - len(chars)), 1.0, rel_tol=1e-9)
 
 
+def plain_kneser_ney(words: list[tuple[str, int]]):
+    """Counts in dictionaries: raw ones for the longest grams and those that begin a run, kinds of predecessors for others."""
+    grams: Counter = Counter()
+    for word, n in words:
+        run = [langid.BEGIN] * (langid.ORDER - 1) + [ord(c) for c in word] + [langid.END]
+        for i in range(len(word) + 1):
+            grams[tuple(run[i : i + langid.ORDER])] += n
+    levels = {langid.ORDER: grams}
+    for k in range(langid.ORDER - 1, 0, -1):
+        shorter: Counter = Counter()
+        for g, n in levels[k + 1].items():
+            shorter[g[1:]] += n if k > 1 and g[1] == langid.BEGIN else 1
+        levels[k] = shorter
+
+    def probability(window):
+        p = 1.0 / langid.ALPHABET
+        for k in range(1, langid.ORDER + 1):
+            gram, level = tuple(window[len(window) - k :]), levels[k]
+            ones, twos = (sum(n == x for n in level.values()) for x in (1, 2))
+            d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            after = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+            if after:
+                p = max(level[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * p
+        return p
+
+    def entropy(text):
+        out, n = 0.0, 0
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            run = [langid.BEGIN] * (langid.ORDER - 1) + [ord(c) for c in word] + [langid.END]
+            for i in range(len(word) + 1):
+                out -= math.log(probability(run[i : i + langid.ORDER]))
+                n += 1
+        return out / n if n else math.nan
+
+    return entropy
+
+
+def test_entropies_equal_plain_kneser_ney():
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    kinds = {"de": "abdeinstßü", "en": "aehinorst", "xx": "ab"}
+    words = {lang: [("".join(rng.choice(list(a), rng.integers(1, 7))), int(rng.integers(1, 9))) for _ in range(60)] for lang, a in kinds.items()}
+    words = {lang: list(Counter({w: n for w, n in ws}).items()) for lang, ws in words.items()}
+    models = langid.fit(pd.DataFrame([(lang, w, n) for lang, ws in words.items() for w, n in ws], columns=["lang", "word", "n"]))
+    texts = ["an", "die sonne, the sun 42 times", "ÜBER ß!", "q日本x", "ababab", "  ", None, "a" * 50, "The Haste-Nest is here; the rest is not. " * 20]
+    got = langid.entropies(texts, models)
+    for k, lang in enumerate(models.languages):
+        entropy = plain_kneser_ney(words[lang])
+        for i, text in enumerate(texts):
+            plain = entropy(text or "")
+            assert (math.isnan(plain) and math.isnan(got[i, k])) or got[i, k] == pytest.approx(plain, rel=1e-9), (lang, text)
+
+
 # --- empty tables ------------------------------------------------------------------------------------------------
 
 
