@@ -41,12 +41,17 @@ def ranged(df: DataFrame, *order: Column, rows: int = RANGE_ROWS, ranges: int |
 
     There is a range for every ``rows`` rows (or ``ranges`` ranges).  Equal keys share a cell; CELLS cells make a range.
     """
+    return placed(df, *order, rows=rows, ranges=ranges)[0]
+
+
+def placed(df: DataFrame, *order: Column, rows: int = RANGE_ROWS, ranges: int | None = None) -> tuple[DataFrame, bool]:
+    """``ranged``, and whether all rows are in one range."""
     keyed = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     cuts = _sampled(keyed.select("__key"), rows, ranges)
     if cuts is None:
-        return keyed.withColumns({"__cell": F.lit(0), "__range": F.lit(0)})
-    placed = keyed.join(F.broadcast(cuts)).withColumn("__cell", _below("__cuts", "__key")).drop("__cuts")  # one row
-    return placed.withColumn("__range", (F.col("__cell") / CELLS).cast("int"))
+        return keyed.withColumns({"__cell": F.lit(0), "__range": F.lit(0)}), True
+    cells = keyed.join(F.broadcast(cuts)).withColumn("__cell", _below("__cuts", "__key")).drop("__cuts")  # one row
+    return cells.withColumn("__range", (F.col("__cell") / CELLS).cast("int")), False
 
 
 def _earlier(totals: DataFrame, names: list[str], by: list[str]) -> DataFrame:
@@ -67,18 +72,23 @@ def numbered(df: DataFrame, name: str, *order: Column, by: list[str] | None = No
     """Rows numbered from 1 in an order, or in that of each series ``by``; rows that the order does not tell apart are
     numbered in any order, by one task."""
     by = by or []
-    placed = ranged(df, *map(F.col, by), *order, rows=rows, ranges=ranges)
-    first = _earlier(placed.groupBy(*by, "__range").agg(F.count("*").alias("n")), ["n"], by)
+    rows_of, single = placed(df, *map(F.col, by), *order, rows=rows, ranges=ranges)
+    if single:
+        return rows_of.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("__key")).cast("long")).select(*df.columns, name)
+    first = _earlier(rows_of.groupBy(*by, "__range").agg(F.count("*").alias("n")), ["n"], by)
     place = F.row_number().over(Window.partitionBy(*by, "__range").orderBy("__key"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "__range")]
-    out = placed.withColumn("__place", place).alias("a").join(first.alias("b"), [*same], "inner")
+    out = rows_of.withColumn("__place", place).alias("a").join(first.alias("b"), [*same], "inner")
     return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("__before_n") + F.col("__place")).cast("long").alias(name))
 
 
 def running(df: DataFrame, sums: dict[str, str], *order: Column, rows: int = RANGE_ROWS, ranges: int | None = None) -> DataFrame:
     """Adds running sums (new name -> column) along an order with no two equal keys, each row's own value included."""
-    placed = ranged(df, *order, rows=rows, ranges=ranges)
-    first = _earlier(placed.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()]), list(sums), [])
+    rows_of, single = placed(df, *order, rows=rows, ranges=ranges)
+    if single:
+        whole = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
+        return rows_of.withColumns({n: F.sum(c).over(whole) for n, c in sums.items()}).select(*df.columns, *sums)
+    first = _earlier(rows_of.groupBy("__range").agg(*[F.sum(c).alias(n) for n, c in sums.items()]), list(sums), [])
     upto = Window.partitionBy("__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.withColumns({f"__own_{n}": F.sum(c).over(upto) for n, c in sums.items()}).join(first, "__range")
+    out = rows_of.withColumns({f"__own_{n}": F.sum(c).over(upto) for n, c in sums.items()}).join(first, "__range")
     return out.select(*df.columns, *[(F.col(f"__before_{n}") + F.col(f"__own_{n}")).alias(n) for n in sums])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .order import RANGE_ROWS, dealt, ranged
+from .order import RANGE_ROWS, dealt, placed
 from .series import ewma_memory
 
 
@@ -24,6 +24,8 @@ class Tiles:
     rows: DataFrame
     by: list[str]
     order: str
+    #: Whether one tile holds all rows, so that nothing is carried.
+    single: bool = False
 
     @property
     def window(self) -> WindowSpec:
@@ -67,14 +69,15 @@ def tiled(df: DataFrame, by: list[str], order: str = "t", before: int = 0, after
     A tile is a range of (series, order), so short series share one and a long one has many.  Gaps and uneven steps of the
     order do not matter; rows of a series must differ in it, and series must not be null.
     """
-    placed = ranged(df, *map(F.col, by), F.col(order), rows=rows).drop("__key").withColumn("__own", F.lit(True))
-    if not (before or after):
-        return Tiles(placed.drop("__cell"), by, order)
-    cells = placed.groupBy(*by, "__range", "__cell").agg(F.count("*").alias("n"))
+    dealt_rows, single = placed(df, *map(F.col, by), F.col(order), rows=rows)
+    dealt_rows = dealt_rows.drop("__key").withColumn("__own", F.lit(True))
+    if single or not (before or after):
+        return Tiles(dealt_rows.drop("__cell"), by, order, single)
+    cells = dealt_rows.groupBy(*by, "__range", "__cell").agg(F.count("*").alias("n"))
     halo = _halo(cells, by, before, after)
-    copies = placed.join(halo, [*by, "__cell"]).withColumn("__range", F.explode("__others")).withColumn("__own", F.lit(False))
+    copies = dealt_rows.join(halo, [*by, "__cell"]).withColumn("__range", F.explode("__others")).withColumn("__own", F.lit(False))
     names = [*df.columns, "__range", "__own"]
-    return Tiles(placed.select(*names).unionByName(copies.select(*names)), by, order)
+    return Tiles(dealt_rows.select(*names).unionByName(copies.select(*names)), by, order)
 
 
 def with_totals(df: DataFrame, by: list[str], **totals: Column) -> DataFrame:
@@ -93,6 +96,8 @@ def islands(df: DataFrame, flag: Column, name: str, by: list[str], order: str =
         same = same & (F.lag(order).over(w) + 1 == F.col(order))
     marked = tiles.rows.withColumn("__turn", F.when(same, 0).otherwise(1)).where("__own").drop("__own", "__flag")
     # A tile's first own row is counted in its turns; without rows before it, it opens the series.
+    if tiles.single:
+        return marked.withColumn(name, F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).select(*df.columns, name)
     turns = marked.groupBy(*by, "__range").agg(F.sum("__turn").alias("__turns"))
     ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = turns.select(*by, "__range", F.coalesce(F.sum("__turns").over(ahead), F.lit(0)).alias("__carried"))
@@ -106,12 +111,14 @@ def last_known(df: DataFrame, columns: dict[str, Column], by: list[str], order:
 
     What is open at the end of a tile is carried over to the next ones, so a value may hold for any number of tiles.
     """
-    placed = ranged(df.withColumns({f"__c_{n}": c for n, c in columns.items()}), *map(F.col, by), *order, rows=rows)
+    dealt_rows, single = placed(df.withColumns({f"__c_{n}": c for n, c in columns.items()}), *map(F.col, by), *order, rows=rows)
     here = Window.partitionBy(*by, "__range").orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    ends = placed.groupBy(*by, "__range").agg(*[F.max_by(f"__c_{n}", F.when(F.col(f"__c_{n}").isNotNull(), F.col("__key"))).alias(f"__p_{n}") for n in columns])
+    if single:
+        return dealt_rows.withColumns({n: F.last(f"__c_{n}", True).over(here) for n in columns}).select(*df.columns, *columns)
+    ends = dealt_rows.groupBy(*by, "__range").agg(*[F.max_by(f"__c_{n}", F.when(F.col(f"__c_{n}").isNotNull(), F.col("__key"))).alias(f"__p_{n}") for n in columns])
     ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*by, "__range", *[F.last(f"__p_{n}", True).over(ahead).alias(f"__p_{n}") for n in columns])
-    out = placed.withColumns({f"__c_{n}": F.last(f"__c_{n}", True).over(here) for n in columns}).join(dealt(carried, by), [*by, "__range"])
+    out = dealt_rows.withColumns({f"__c_{n}": F.last(f"__c_{n}", True).over(here) for n in columns}).join(dealt(carried, by), [*by, "__range"])
     return out.select(*df.columns, *[F.coalesce(f"__c_{n}", f"__p_{n}").alias(n) for n in columns])
 
 
@@ -132,6 +139,11 @@ def ewma_forecasts(df: DataFrame, columns: dict[str, Column], alpha: float, by:
     out = out.withColumns({"__k": F.row_number().over(w), **{f"__b_{c}": F.col(f"__x_{c}") * alpha for c in names}})
     for d in _doublings(ewma_memory(alpha)):
         out = out.withColumns({f"__b_{c}": F.col(f"__b_{c}") + F.coalesce(F.lag(f"__b_{c}", d).over(w), F.lit(0.0)) * keep**d for c in names})
+    power = F.pow(F.lit(keep), F.col("__k") - 1)
+    if tiles.single:
+        start = {f"__p_{c}": F.first(f"__x_{c}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in names}
+        out = out.withColumns({**start, **{f"__b_{c}": F.coalesce(F.lag(f"__b_{c}").over(w), F.lit(0.0)) for c in names}})
+        return out.select(*df.columns, *[(power * F.col(f"__p_{c}") + F.col(f"__b_{c}")).alias(c) for c in names])
     ends = out.groupBy(*by, "__range").agg(
         F.count("*").alias("__n"), *[F.max_by(f"__b_{c}", order).alias(f"__b_{c}") for c in names], *[F.min_by(f"__x_{c}", order).alias(f"__f_{c}") for c in names]
     )
@@ -144,5 +156,4 @@ def ewma_forecasts(df: DataFrame, columns: dict[str, Column], alpha: float, by:
     reach = {f"__p_{c}": F.coalesce(F.lag("__a").over(along) * F.col(f"__f_{c}") + F.lag(f"__b_{c}").over(along), F.col(f"__f_{c}")) for c in names}
     out = out.withColumns({f"__b_{c}": F.coalesce(F.lag(f"__b_{c}").over(w), F.lit(0.0)) for c in names})
     out = out.join(dealt(ends.select(*by, "__range", *[v.alias(k) for k, v in reach.items()]), by), [*by, "__range"])
-    power = F.pow(F.lit(keep), F.col("__k") - 1)
     return out.select(*df.columns, *[(power * F.col(f"__p_{c}") + F.col(f"__b_{c}")).alias(c) for c in names])
