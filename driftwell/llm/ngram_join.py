@@ -402,9 +402,9 @@ def _compared(work: DataFrame, groups: int, num: int, den: int, keep: int | None
     return work.groupBy("group").applyInArrow(_across(num, den, keep), "a long, b long").distinct()
 
 
-def _in_blocks(held: DataFrame, arrays: DataFrame, name: str, order: WindowSpec) -> DataFrame:
-    """Rows with the block that they are in along an order, of BLOCK_BYTES of bitmaps or so."""
-    size = F.greatest(F.lit(8.0 * LANES), F.pow(2.0, F.ceil(F.log2(F.col("n") * 2.0))) / 8)
+def _in_blocks(held: DataFrame, arrays: DataFrame, name: str, order: WindowSpec, rows: int = BLOCK_BYTES) -> DataFrame:
+    """Rows with the block that they are in along an order, of BLOCK_BYTES of bitmaps or so and ``rows`` rows at most."""
+    size = F.greatest(F.lit(8.0 * LANES), F.lit(float(BLOCK_BYTES // rows)), F.pow(2.0, F.ceil(F.log2(F.col("n") * 2.0))) / 8)
     sized = held.join(arrays.select("doc_id", size.cast("long").alias("size")), "doc_id")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return sized.withColumn(name, F.floor((upto - F.col("size")) / BLOCK_BYTES).cast("int")).drop("size")
@@ -421,7 +421,7 @@ def _neighbours(rows: DataFrame, family: DataFrame, found: DataFrame, arrays: Da
     several = nodes.groupBy("family").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("family")
     held = nodes.join(several, "family", "left_semi").join(rows.groupBy("doc_id").agg(F.min("key").alias("least")), "doc_id")
     order = Window.partitionBy("family").orderBy("least", "doc_id")
-    held = written(_in_blocks(held, arrays, "p", order), "blocks")
+    held = written(_in_blocks(held, arrays, "p", order, BLOCK_ROWS), "blocks")
     groups = math.ceil(held.count() / (GROUP_PAIRS * 16)) or 1
     work = held.select(F.xxhash64("family").alias("key"), "p", F.col("p").alias("q"), "doc_id", "component", F.lit(False).alias("side"))
     return _compared(work.join(arrays.select("doc_id", "n", "bits"), "doc_id"), groups, num, den, NEAREST)
