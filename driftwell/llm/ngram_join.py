@@ -8,11 +8,13 @@ elements.  A *tile* is (band, slice, digest of the slice's elements), and every
 Slices that hold nothing, or only n-grams that are common in the corpus, would gather unrelated documents; a set leaves
 them out while it has at most ``spare`` of them, which leaves at least one other slice in common.  Common n-grams are
 those in overfull buckets of a table of fixed size, into which all n-grams of all documents are counted by hash; it
-decides which tiles are made, never which documents link.
+decides which tiles are made, never which documents link.  What is left of a set's ``spare`` in a band it spends on its
+largest tiles there: all sets rank tiles alike, so the tiles that two sets leave out of those they share are the
+``spare`` largest of them at most, and the smallest stays.
 
 Work inside tiles is linear in their rows.  First each document of a tile is held against the one before it: parity
 bitmaps bound the difference from below (each differing element flips one bit at most), and pairs that pass are
-checked by intersecting the sorted hash arrays.  Then the documents that tiles connect, a family, are compared block by
+held against each other by longer bitmaps, then checked by intersecting the sorted hash arrays.  Then the documents that tiles connect, a family, are compared block by
 block, each with its closest partners.  Only tiles whose documents are after that still in different components are
 compared in full, in blocks of bounded size, and only across components; tiles that overlap are taken together as one
 where that moves fewer rows.  Copies with equal sets are one node.
@@ -35,13 +37,16 @@ from .words import blocks, mix, shingles, words_of
 
 BAND = 1.5
 #: Slices beyond those needed: two, and one for so many others.
-SLICES_PER_SPARE = 12
+SLICES_PER_SPARE = 6
+#: Lowest bits of a tile's key: its band, and whether its slice holds common n-grams alone or nothing.
+BAND_BITS, VOID = 63, 64
 #: Buckets of the table of counts; those above the median by so many times its square root are common.
 BUCKETS, BUCKET_CHUNK = 1 << 17, 1024
 OVERFULL = 6
 _PLACE = np.uint64(0xA0761D6478BD642F)
-#: 64-bit lanes of a parity bitmap, at least; doubled until it has two bits for each element.
-LANES = 16
+#: 64-bit lanes of a parity bitmap, at least; doubled until it has two bits for each element, or so many in the longer
+#: one that decides which pairs are checked.
+LANES, FINE = 16, 8
 #: Documents of a typical block; two blocks are compared at a time, so many block pairs in a group of rows, so many
 #: pairs of rows in a step.
 BLOCK_ROWS, GROUP_PAIRS, PAIR_ROWS = 256, 64, 1 << 17
@@ -83,8 +88,14 @@ def _cuts(band: int, num: int, den: int) -> np.ndarray:
 
 def tile_keys(values: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
     """The tiles of a set, given its sorted distinct hashes and which buckets are common."""
+    return tiles_of(values, num, den, common)[0]
+
+
+def tiles_of(values: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """The tiles of a set, and by band how many of them it may still leave out."""
     n, keys = len(values), []
     band = band_of(n)
+    left = [0] * band
     last = band
     while n * den >= num * BAND ** (last + 1):
         last += 1
@@ -95,6 +106,7 @@ def tile_keys(values: np.ndarray, num: int, den: int, common: np.ndarray | None
         np.cumsum(~common[(values & np.uint64(BUCKETS - 1)).astype(np.int64)], out=rare[1:])
     for b in range(band, last + 1):
         k, spare = slices_in(b, num, den)
+        left.append(spare)
         if not k:
             continue
         at = np.empty(k + 1, np.int64)
@@ -102,18 +114,23 @@ def tile_keys(values: np.ndarray, num: int, den: int, common: np.ndarray | None
         held = at[1:] - at[:-1]
         key = mix(running[at[1:]] - running[at[:-1]] + (np.arange(k, dtype=np.uint64) + np.uint64(b << 32)) * _PLACE + held.astype(np.uint64))
         void = rare[at[1:]] == rare[at[:-1]]
-        keys.append(key[~void] if void.sum() <= spare else key)
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        key = key & ~np.uint64(BAND_BITS | VOID) | void * np.uint64(VOID) | np.uint64(b)
+        if void.sum() <= spare:
+            left[b] -= int(void.sum())
+            key = key[~void]
+        keys.append(key)
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64), left
 
 
-def parity_bitmap(values: np.ndarray) -> np.ndarray:
-    """A bit for each residue of the mixed hashes, set if an odd number of elements has it."""
+def parity_bitmap(values: np.ndarray, per: int = 2) -> np.ndarray:
+    """A bit for each residue of the mixed hashes, set if an odd number of elements has it; ``per`` bits for each element
+    at least."""
     size = 64 * LANES
-    while size < 2 * len(values):
+    while size < per * len(values):
         size *= 2
-    bit = mix(values) & np.uint64(size - 1)
-    odd = np.bincount(bit.astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    odd = np.zeros(size, np.uint8)
+    np.bitwise_xor.at(odd, (mix(values) & np.uint64(size - 1)).astype(np.int64), np.uint8(1))
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 def same_width(maps: list[np.ndarray]) -> np.ndarray:
@@ -171,15 +188,17 @@ def common_buckets(docs: DataFrame, size: int) -> np.ndarray:
 def _signatures(size: int, num: int, den: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            count, d0, d1, keys = [], [], [], []
+            count, d0, d1, keys, left = [], [], [], [], []
             for one in sets_of(batch.column(1), size):
                 count.append(len(one))
                 d0.append(one.sum(dtype=np.uint64))
                 d1.append((one * one).sum(dtype=np.uint64))
-                keys.append(tile_keys(one, num, den, common) if len(one) else one)
+                own = tiles_of(one, num, den, common) if len(one) else (one, [])
+                keys.append(own[0])
+                left.append(own[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d0, d1)), _lists(keys)],
-                ["doc_id", "n_shingles", "d0", "d1", "keys"],
+                [batch.column(0), pa.array(count, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (d0, d1)), _lists(keys), pa.array(left, pa.list_(pa.int32()))],
+                ["doc_id", "n_shingles", "d0", "d1", "keys", "spare"],
             )
 
     return run
@@ -189,10 +208,10 @@ def _arrays(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             sets = list(sets_of(batch.column(1), size))
-            maps = [parity_bitmap(x).tobytes() for x in sets]
+            maps = [[parity_bitmap(x, per).tobytes() for x in sets] for per in (2, FINE)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(maps, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["doc_id", "n", "bits", "hashes"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in maps), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["doc_id", "n", "bits", "fine", "hashes"],
             )
 
     return run
@@ -328,8 +347,9 @@ def _sides(pairs: DataFrame, arrays: DataFrame, *cols: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose exact similarity is high enough."""
+    """The pairs whose exact similarity is high enough; only those that the longer bitmaps let link move their hashes."""
     pairs = written(pairs, "bounded")
+    pairs = written(_sides(pairs, arrays, "n", "fine").mapInArrow(_bound(num, den), "a long, b long"), "close")
     return written(_sides(pairs, arrays, "hashes").mapInArrow(_verify(num, den), "a long, b long"), "verified")
 
 
@@ -356,25 +376,27 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     common = common_buckets(docs, words)
-    made = written(docs.mapInArrow(_signatures(words, num, den, common), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>"), "sets")
-    base = written(made.drop("keys"), "bases")
+    made = written(docs.mapInArrow(_signatures(words, num, den, common), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, spare array<int>"), "sets")
+    base = written(made.drop("keys", "spare"), "bases")
     full = base.where("n_shingles > 0")
     same = full.groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("node"))
 
     first_ids = written(same.where("node is not null").select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    nodes = _texts_of(made.where("size(keys) > 0").select("doc_id", "keys"), first_ids)
+    nodes = _texts_of(made.where("size(keys) > 0").select("doc_id", "keys", "spare"), first_ids)
+    shared = written(_smallest(nodes), "shared")
+    remove(spark, made)
     tile = Window.partitionBy("key").orderBy("doc_id")
-    rows = nodes.select("doc_id", F.explode("keys").alias("key")).select(
+    rows = shared.select(
         "key", "doc_id", F.lag("doc_id").over(tile).alias("before"), F.lead("doc_id").over(tile).alias("after"),
         F.lag("doc_id", 2).over(tile).alias("before2"), F.lead("doc_id", 2).over(tile).alias("after2"),
     ).where("before is not null or after is not null")
     rows = written(rows.select("key", "doc_id", "before", F.expr("before is not null and after is not null or before2 is not null or after2 is not null").alias("many")), "tiles")
 
-    remove(spark, made)
+    remove(spark, shared)
     pairs = rows.where("before <> doc_id").select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct()
     tested = written(pairs, "pairs")
     ids = written(rows.select("doc_id").distinct(), "candidates")
-    arrays = written(_texts_of(docs, ids).mapInArrow(_arrays(words), "doc_id long, n long, bits binary, hashes binary"), "arrays")
+    arrays = written(_texts_of(docs, ids).mapInArrow(_arrays(words), "doc_id long, n long, bits binary, fine binary, hashes binary"), "arrays")
     bounded = _sides(tested, arrays, "n", "bits").mapInArrow(_bound(num, den), "a long, b long")
     links = _verified(bounded, arrays, num, den)
     found = written(components(links), "components")
@@ -390,6 +412,18 @@ def _classes(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     )
 
 
+def _smallest(nodes: DataFrame) -> DataFrame:
+    """``key, doc_id`` of the tiles that several rows of ``doc_id, keys, spare`` hold, without the largest that a set may
+    leave out; sets that share an id leave none out."""
+    held = nodes.select("doc_id", F.explode("keys").alias("key")).select("key", "doc_id", F.count("*").over(Window.partitionBy("key")).alias("held"))
+    held = written(held.where("held > 1"), "held")
+    spare = nodes.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("spare")).alias("spare"))
+    band = F.col("key").bitwiseAND(F.lit(BAND_BITS).cast("long")).cast("int")
+    largest = Window.partitionBy("doc_id", "band").orderBy(F.col("key").bitwiseAND(F.lit(VOID).cast("long")).desc(), F.desc("held"), F.desc("key"))
+    placed = held.join(spare, "doc_id").withColumn("band", band).withColumn("place", F.row_number().over(largest))
+    return placed.where(F.col("place") > F.coalesce(F.get("spare", F.col("band")), F.lit(0))).select("key", "doc_id")
+
+
 def _in_families(family: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id, family, component`` of every candidate."""
     nodes = family.join(found, "node", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import subprocess
@@ -151,6 +152,52 @@ def test_tiles_meet_bands_apart():
                 assert set(ngram_join.tile_keys(p, num, den)) & set(ngram_join.tile_keys(q, num, den)), (num, den, n)
 
 
+def test_largest_tiles_are_left_out():
+    """Sets that leave out their largest tiles, ranked alike, still share a tile with all that they link with."""
+    rng = np.random.default_rng(3)
+    for num, den in ((90, 100), (4, 5), (1, 2)):
+        sets = []
+        for _ in range(6):
+            base = rng.integers(0, 1 << 63, int(rng.integers(30, 400)), dtype=np.uint64) * 2
+            for _ in range(12):
+                new = rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(base) // 10)), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.random() * 0.2], new])))
+        common = np.zeros(ngram_join.BUCKETS, bool)
+        common[rng.integers(0, ngram_join.BUCKETS, ngram_join.BUCKETS // 3)] = True
+        made = [ngram_join.tiles_of(x, num, den, common) for x in sets]
+        held, kept = Counter(k for keys, _ in made for k in keys.tolist()), []
+        for keys, spare in made:
+            band = defaultdict(list)
+            for k in keys.tolist():
+                band[k & ngram_join.BAND_BITS].append((k & ngram_join.VOID, held[k], k))
+            kept.append({x[-1] for b, tiles in band.items() for x in sorted(tiles, reverse=True)[spare[b] :]})
+        assert sum(map(len, kept)) < sum(len(keys) for keys, _ in made)
+        linked = 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if not np.array_equal(sets[i], sets[j]) and ngram_join.alike(sets[i], sets[j], num, den):
+                linked += 1
+                assert kept[i] & kept[j], (num, den, i, j)
+        assert linked
+
+
+def test_ngram_pairs_under_the_limit(spark, monkeypatch):
+    """Texts that share fewer slices than linked ones must are held against each other in few tiles."""
+    texts = [" ".join([f"p{i}w{k}" for k in range(240)] + [f"p{i}s{side}w{k}" for k in range(60)]) for i in range(40) for side in "ab"]
+    texts.append(f"{texts[0]} more")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    moved, made = Counter(), ngram_join.written
+
+    def counted(rows, name, *more):
+        out = made(rows, name, *more)
+        moved[name] += out.count() if name == "tiles" else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_classes(df, 1, 9, 10).collect()}
+    assert got == {i: 0 if i == 80 else i for i in range(81)}
+    assert moved["tiles"] <= 4 * len(texts), moved
+
+
 def test_ngram_links_bands_apart(spark):
     """Sets of 4 and 8 words at 1/2, and of 11 and 18 at 3/5, link two bands apart."""
     words = [f"w{i}" for i in range(18)]
